@@ -1,0 +1,349 @@
+"""Retrieval: the k best units for each request.
+
+Every search scores in double, ranks on the score rounded to 9 digits and then on
+the key, and reports the score rounded to 6. A request may carry conditions
+(schemas.REQUEST_FILTERS); they are applied before ranking, since a filter after
+it would leave fewer than k hits.
+"""
+
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from colloquy.functions.vectors import cosine
+from colloquy.operators.encode import CorpusStats, bags, request_terms
+from colloquy.operators.joins import join_small
+from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
+from colloquy.session import Size, measure
+
+# Requests up to these bounds are one matrix that every task holds; beyond them
+# requests and vectors meet block by block.
+MATRIX = Size(rows=100_000, bytes=64 * 1024 * 1024)
+STORE_BLOCK_ROWS = 200_000
+REQUEST_BLOCK_ROWS = 50_000
+TILE = 4_000_000  # scores held at a time
+
+
+# --- conditions and ranks ------------------------------------------------------------
+
+
+def restrict(units: DataFrame, conv_ids=None, roles=None) -> DataFrame:
+    """Keep the units of some meetings and speakers, each given as a list or as a one-column table.
+
+    Lists become filters that reach the scan; tables become semi joins.
+    """
+    for column, wanted in (("conv_id", conv_ids), ("role", roles)):
+        if wanted is None:
+            continue
+        if isinstance(wanted, DataFrame):
+            keys = wanted.toDF(column).distinct()
+            units = join_small(units, keys, [column], spread_by=[c for c in units.columns if c != column], how="left_semi")
+        else:
+            units = units.filter(F.col(column).isin(list(wanted)))
+    return units
+
+
+def admitted(columns: Sequence[str]) -> Column:
+    """Whether the unit in a row meets the conditions of the request in the same row."""
+    ok = F.lit(True)
+    if "conv_ids" in columns:
+        ok = ok & (F.col("conv_ids").isNull() | F.array_contains("conv_ids", F.col("conv_id")))
+    if "roles" in columns:
+        ok = ok & (F.col("roles").isNull() | F.array_contains("roles", F.col("role")))
+    if "exclude_conv" in columns:
+        ok = ok & (F.col("exclude_conv").isNull() | (F.col("exclude_conv") != F.col("conv_id")))
+    return ok
+
+
+def _own_limit(requests: DataFrame, k: int) -> int:
+    """The largest number of hits any request asks for."""
+    if "k" not in requests.columns:
+        return k
+    return max(k, requests.agg(F.max("k")).first()[0] or 0)
+
+
+def rank_hits(scored: DataFrame, key: Sequence[str], k: int, limit: int | None = None) -> DataFrame:
+    """The best rows per request. `limit` bounds k where requests bring their own.
+
+    With a constant bound on the rank Spark keeps at most that many rows per
+    request in each task before it shuffles.
+    """
+    best = Window.partitionBy("req_id").orderBy(F.col("score").desc(), *key)
+    ranked = (
+        scored.withColumn("score", F.round("score", 9))
+        .filter(F.col("score").isNotNull())
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= (limit or k))
+    )
+    if "k" in scored.columns:
+        ranked = ranked.filter(F.col("rank") <= F.coalesce("k", F.lit(k)))
+    return ranked.select("req_id", *key, "rank", F.round("score", 6).alias("score"))
+
+
+# --- dense vectors, exact ------------------------------------------------------------
+
+
+def _block_search(requests: DataFrame, key: Sequence[str], dim: int, limit: int):
+    """Functions that run inside tasks: read Arrow rows, and keep the k best per request over batches.
+
+    Nested, so that they reach the workers without this package installed there.
+    """
+    filters = [c for c in REQUEST_FILTERS if c in requests.columns and c != "k"]
+    key = list(key)
+    names = ["req_id", *key, "score"]
+    tile = TILE
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        lengths = np.diff(column.offsets.to_numpy())
+        flat = column.flatten()
+        if column.null_count or flat.null_count or (lengths != dim).any():
+            raise ValueError(f"every vector must have {dim} values")
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+    def read_requests(table: pa.Table):
+        ids = table.column("req_id").to_numpy()
+        vectors = matrix(table.column("vec").combine_chunks())
+        length = np.sqrt((vectors * vectors).sum(axis=1))
+        use = np.flatnonzero(length > 0)
+        conditions = {c: [v for v in table.column(c).take(pa.array(use)).to_pylist()] for c in filters}
+        return ids[use], vectors[use], length[use], conditions
+
+    def blocked(conditions: dict, lo: int, hi: int, convs, roles) -> np.ndarray | None:
+        """(units, requests) pairs that a condition forbids."""
+        if not conditions:
+            return None
+        out = np.zeros((len(convs), hi - lo), dtype=bool)
+        role_codes, role_names = pd.factorize(roles) if "roles" in conditions else (None, None)
+        for j in range(lo, hi):
+            if "conv_ids" in conditions and conditions["conv_ids"][j] is not None:
+                out[:, j - lo] |= ~np.isin(convs, conditions["conv_ids"][j])
+            if "roles" in conditions and conditions["roles"][j] is not None:
+                # code -1 is a unit without a role, which no list of roles admits
+                allowed = np.append(np.isin(role_names, conditions["roles"][j]), False)
+                out[:, j - lo] |= ~allowed[role_codes]
+            if "exclude_conv" in conditions and conditions["exclude_conv"][j] is not None:
+                out[:, j - lo] |= convs == conditions["exclude_conv"][j]
+        return out
+
+    def best(state: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+        both = pd.concat([state, fresh], ignore_index=True) if len(state) else fresh
+        order = np.lexsort([*[both[c].to_numpy() for c in reversed(key)], -both["score"].to_numpy(), both["_q"].to_numpy()])
+        q = both["_q"].to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], dtype=int)
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        return both.iloc[order[place < limit]].reset_index(drop=True)
+
+    def search(reqs, batches: Iterator[pa.RecordBatch | pa.Table]) -> pa.RecordBatch | None:
+        """The best hits of all requests over all batches, as one small table."""
+        ids, vectors, length, conditions = reqs
+        n_req = len(ids)
+        floor = np.full(n_req, -np.inf)  # score of the k-th hit so far
+        state = pd.DataFrame()
+        for batch in batches:
+            vec = batch.column("vec")
+            units = matrix(vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec)
+            norms = np.sqrt((units * units).sum(axis=1))
+            use = np.flatnonzero(norms > 0)
+            if not len(use) or not n_req:
+                continue
+            units, norms = units[use], norms[use]
+            keys = {c: batch.column(c).to_numpy(zero_copy_only=False)[use] for c in key} if isinstance(vec, pa.Array) else {
+                c: batch.column(c).to_numpy()[use] for c in key
+            }
+            convs = keys.get("conv_id", keys[key[0]])
+            roles = np.asarray(batch.column("role").to_pylist(), dtype=object)[use] if "roles" in conditions else None
+            step = max(1, tile // len(use))
+            for lo in range(0, n_req, step):
+                hi = min(n_req, lo + step)
+                scores = np.round((units @ vectors[lo:hi].T) / (norms[:, None] * length[None, lo:hi]), 9)
+                forbidden = blocked(conditions, lo, hi, convs, roles)
+                if forbidden is not None:
+                    scores[forbidden] = -np.inf
+                bar = floor[lo:hi]
+                if len(use) > limit:
+                    bar = np.maximum(bar, np.partition(scores, len(use) - limit, axis=0)[len(use) - limit])
+                row, col = np.nonzero((scores >= bar) & np.isfinite(scores))
+                if not len(row):
+                    continue
+                fresh = pd.DataFrame({"_q": col + lo, **{c: keys[c][row] for c in key}, "score": scores[row, col]})
+                state = best(state, fresh)
+                q = state["_q"].to_numpy()
+                full = np.flatnonzero(np.bincount(q, minlength=n_req) >= limit)
+                last = np.r_[np.flatnonzero(q[1:] != q[:-1]), len(q) - 1]
+                lowest = np.full(n_req, -np.inf)
+                lowest[q[last]] = state["score"].to_numpy()[last]
+                floor[full] = lowest[full]
+        if not len(state):
+            return None
+        columns = [pa.array(ids[state["_q"].to_numpy()]), *[pa.array(state[c].to_numpy()) for c in key], pa.array(state["score"].to_numpy())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return read_requests, search
+
+
+def semantic_search(
+    requests: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    key: Sequence[str] = CHUNK_KEY,
+    matrix: Size = MATRIX,
+    store_block: int = STORE_BLOCK_ROWS,
+    request_block: int = REQUEST_BLOCK_ROWS,
+) -> DataFrame:
+    """Exact cosine top-k for each request (req_id, vec, conditions) over `vectors` (key, role, vec).
+
+    Requests that were measured to fit are sent to all tasks as one matrix. Each
+    task multiplies its Arrow batches with it and keeps k hits per request, so the
+    store is read once, where it lies, and only k rows per request and task are
+    shuffled. More requests than that are cut into blocks, as are the vectors, and
+    each pair of blocks meets in a task of its own: no block depends on how the
+    data are distributed, and none is larger than asked for.
+    """
+    key = list(key)
+    needs = [*key, "vec", *(["role"] if "roles" in requests.columns and "role" not in key else [])]
+    filters = [c for c in REQUEST_FILTERS if c in requests.columns]
+    requests = requests.select("req_id", "vec", *filters)
+    store = vectors.filter(F.col("vec").isNotNull()).select(*needs)
+    size = measure(requests)
+    sample = requests.first()
+    fields = [requests.schema["req_id"], *[vectors.schema[c] for c in key], T.StructField("score", T.DoubleType())]
+    hit_schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    if sample is None:
+        return rank_hits(requests.sparkSession.createDataFrame([], hit_schema), key, k)
+    limit = _own_limit(requests, k)
+    read_requests, search = _block_search(requests, key, len(sample["vec"]), limit)
+
+    if size.within(matrix.rows, matrix.bytes):
+        shared = requests.sparkSession.sparkContext.broadcast(requests.toArrow())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = search(read_requests(shared.value), batches)
+            if found is not None:
+                yield found
+
+        hits = store.mapInArrow(scan, hit_schema)
+    else:
+        n_r = -(-size.rows // request_block)
+        n_s = max(1, -(-store.count() // store_block))
+        block = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = requests.withColumns({"_i": block(["req_id"], n_r), "_j": every(n_s)})
+        right = store.withColumns({"_i": every(n_r), "_j": block(key, n_s)})
+
+        def meet(reqs: pa.Table, units: pa.Table) -> pa.Table:
+            found = search(read_requests(reqs), iter(units.to_batches(max_chunksize=10_000))) if reqs.num_rows else None
+            if found is None:
+                return arrow_schema.empty_table()
+            return pa.Table.from_batches([found])
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow_schema = to_arrow_schema(hit_schema)
+        hits = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, hit_schema)
+    if "k" in filters:
+        hits = join_small(hits, requests.select("req_id", "k"), ["req_id"], spread_by=key)
+    return rank_hits(hits, key, k, limit)
+
+
+# --- sparse vectors ------------------------------------------------------------------
+
+
+def _sum_over_terms(asked: DataFrame, postings: DataFrame, part: Column, key: Sequence[str]) -> DataFrame:
+    """Add up `part` over the words a request and a unit share.
+
+    Joined on the word, so units that share none are never looked at. Where the
+    postings are already partitioned by utterance the sum needs no shuffle.
+    """
+    filters = [c for c in REQUEST_FILTERS if c in asked.columns]
+    pairs = join_small(postings, asked, ["term"], spread_by=key).filter(admitted(filters))
+    own = [F.max("k").alias("k")] if "k" in filters else []
+    return pairs.groupBy("req_id", *key).agg(F.sum(part).alias("score"), *own)
+
+
+def term_search(request_vectors: DataFrame, unit_vectors: DataFrame, k: int, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
+    """Top-k by TF-IDF cosine: both sides are sparse unit vectors, so the sum of products is the cosine."""
+    asked = request_vectors.withColumnRenamed("weight", "_asked").drop("tf")
+    scored = _sum_over_terms(asked, unit_vectors, F.col("_asked") * F.col("weight"), key)
+    return rank_hits(scored, key, k, _own_limit(request_vectors, k))
+
+
+def bm25_search(
+    requests: DataFrame,
+    units: DataFrame,
+    k: int,
+    stats: CorpusStats,
+    k1: float = 1.2,
+    b: float = 0.75,
+    key: Sequence[str] = CHUNK_KEY,
+) -> DataFrame:
+    """Top-k by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated word of a request counts again."""
+    n = F.lit(stats.n_units)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = request_terms(requests, stats).withColumn("_asked", F.col("tf") * idf).drop("tf", "df")
+    length = F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    kept = [c for c in units.columns if c != "text"]
+    postings = (
+        bags(units.repartition(*key[:2])).withColumn("_length", length).select(*kept, "_length", F.inline("terms"))
+    )
+    mean = stats.n_words / stats.n_units if stats.n_units else 1.0
+    damped = F.col("tf") + k1 * (1 - b + b * F.col("_length") / F.lit(mean))
+    part = F.col("_asked") * F.col("tf") * (k1 + 1) / damped
+    return rank_hits(_sum_over_terms(asked, postings, part, key), key, k, _own_limit(requests, k))
+
+
+# --- dense vectors, approximate ------------------------------------------------------
+
+
+def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:
+    """(tables * bits, dim) of +1 and -1: parity of the first hex digit of md5("table:bit:dimension")."""
+    sign = lambda t, b, d: 1 - 2 * (int(hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0], 16) % 2)
+    return np.array([[sign(t, b, d) for d in range(dim)] for t in range(tables) for b in range(bits)], dtype=np.float64)
+
+
+def signatures(vectors: DataFrame, tables: int, bits: int, dim: int) -> DataFrame:
+    """Add `sig`: per table the number whose bits say on which side of each hyperplane the vector lies."""
+    planes = hyperplanes(tables, bits, dim)
+    place = 2 ** np.arange(bits)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sides(vec: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=object)
+        side = (np.stack(vec.to_numpy()).astype(np.float64) @ planes.T >= 0).reshape(len(vec), tables, bits)
+        return pd.Series(list((side * place).sum(axis=2)))
+
+    return vectors.withColumn("sig", sides(F.col("vec")))
+
+
+def lsh_search(
+    requests: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    dim: int,
+    tables: int = 8,
+    bits: int = 10,
+    key: Sequence[str] = CHUNK_KEY,
+) -> DataFrame:
+    """Approximate top-k: exact cosine, but only over units that share a signature with the request.
+
+    A pair is scored in the first table where it collides, so none comes up twice
+    and no shuffle is needed to remove duplicates.
+    """
+    filters = [c for c in REQUEST_FILTERS if c in requests.columns]
+    rename = {"vec": "_rvec", "sig": "_rsig"}
+    nonzero = F.exists("vec", lambda x: x != 0)
+    asked = signatures(requests.filter(nonzero).select("req_id", "vec", *filters), tables, bits, dim).withColumnsRenamed(rename)
+    asked = asked.select("*", F.posexplode("_rsig").alias("_table", "_code"))
+    needs = [*key, "vec", *(["role"] if "roles" in filters and "role" not in key else [])]
+    store = signatures(vectors.filter(nonzero).select(*needs), tables, bits, dim)
+    store = store.select("*", F.posexplode("sig").alias("_table", "_code"))
+    first = F.array_position(F.zip_with("_rsig", "sig", lambda a, b: a == b), True) == F.col("_table") + 1
+    pairs = join_small(store, asked, ["_table", "_code"], spread_by=key).filter(first & admitted(filters))
+    scored = pairs.withColumn("score", cosine(F.col("_rvec"), F.col("vec")))
+    return rank_hits(scored, key, k, _own_limit(requests, k))
