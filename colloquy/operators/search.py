@@ -74,10 +74,9 @@ def rank_hits(scored: DataFrame, key: Sequence[str], k: int, limit: int | None =
     With a constant bound on the rank Spark keeps at most that many rows per
     request in each task before it shuffles.
     """
-    best = Window.partitionBy("req_id").orderBy(F.col("score").desc(), *key)
+    best = Window.partitionBy("req_id").orderBy(F.round("score", 9).desc(), *key)
     ranked = (
-        scored.withColumn("score", F.round("score", 9))
-        .filter(F.col("score").isNotNull())
+        scored.filter(F.col("score").isNotNull())
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= (limit or k))
     )
@@ -97,6 +96,7 @@ def _block_search(requests: DataFrame, key: Sequence[str], dim: int, limit: int)
     filters = [c for c in REQUEST_FILTERS if c in requests.columns and c != "k"]
     key = list(key)
     names = ["req_id", *key, "score"]
+    places = 9
     tile = TILE
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -133,7 +133,7 @@ def _block_search(requests: DataFrame, key: Sequence[str], dim: int, limit: int)
 
     def best(state: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
         both = pd.concat([state, fresh], ignore_index=True) if len(state) else fresh
-        order = np.lexsort([*[both[c].to_numpy() for c in reversed(key)], -both["score"].to_numpy(), both["_q"].to_numpy()])
+        order = np.lexsort([*[both[c].to_numpy() for c in reversed(key)], -both["score"].to_numpy().round(places), both["_q"].to_numpy()])
         q = both["_q"].to_numpy()[order]
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], dtype=int)
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
@@ -161,14 +161,15 @@ def _block_search(requests: DataFrame, key: Sequence[str], dim: int, limit: int)
             step = max(1, tile // len(use))
             for lo in range(0, n_req, step):
                 hi = min(n_req, lo + step)
-                scores = np.round((units @ vectors[lo:hi].T) / (norms[:, None] * length[None, lo:hi]), 9)
+                scores = (units @ vectors[lo:hi].T) / (norms[:, None] * length[None, lo:hi])
                 forbidden = blocked(conditions, lo, hi, convs, roles)
                 if forbidden is not None:
                     scores[forbidden] = -np.inf
                 bar = floor[lo:hi]
                 if len(use) > limit:
                     bar = np.maximum(bar, np.partition(scores, len(use) - limit, axis=0)[len(use) - limit])
-                row, col = np.nonzero((scores >= bar) & np.isfinite(scores))
+                # Scores that are equal once rounded are decided by key, so they stay in for now.
+                row, col = np.nonzero((scores >= bar - 10.0**-places) & np.isfinite(scores))
                 if not len(row):
                     continue
                 fresh = pd.DataFrame({"_q": col + lo, **{c: keys[c][row] for c in key}, "score": scores[row, col]})
@@ -303,7 +304,7 @@ def bm25_search(
 def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:
     """(tables * bits, dim) of +1 and -1: parity of the first hex digit of md5("table:bit:dimension")."""
     sign = lambda t, b, d: 1 - 2 * (int(hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0], 16) % 2)
-    return np.array([[sign(t, b, d) for d in range(dim)] for t in range(tables) for b in range(bits)], dtype=np.float64)
+    return np.array([[sign(t, b, d) for d in range(dim)] for t in range(tables) for b in range(bits)], dtype=np.float64).reshape(tables * bits, dim)
 
 
 def signatures(vectors: DataFrame, tables: int, bits: int, dim: int) -> DataFrame:

@@ -48,8 +48,8 @@ def ranked(scored: str, key: str, k: int) -> str:
     hits AS (
       SELECT req_id, {key}, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score
       FROM (
-        SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, {key}) AS rank
-        FROM (SELECT req_id, {key}, round(score, 9) AS score FROM {scored} WHERE score IS NOT NULL AND NOT isnan(score)))
+        SELECT req_id, {key}, score, row_number() OVER (PARTITION BY req_id ORDER BY round(score, 9) DESC, {key}) AS rank
+        FROM {scored} WHERE score IS NOT NULL AND NOT isnan(score))
       WHERE rank <= {k})"""
 
 
