@@ -65,12 +65,3 @@ def sentence_list(text: Column) -> Column:
     pieces = F.transform(F.split(lines, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.filter(pieces, lambda x: x != "")
 
-
-def hashed_bucket(term: Column, dim: int) -> Column:
-    """Bucket of a term: the first 8 hex digits of its md5, modulo `dim`."""
-    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-
-
-def hashed_sign(term: Column) -> Column:
-    """+1 or -1 for a term: parity of the next 4 hex digits of its md5."""
-    return F.lit(1) - 2 * (F.conv(F.substring(F.md5(term), 9, 4), 16, 10).cast("int") % 2)

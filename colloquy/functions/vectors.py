@@ -18,6 +18,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def nonzero(vec: str) -> Column:
+    return F.exists(vec, lambda x: x != 0)
+
+
 def checked(vec: Column, dim: int) -> Column:
     """The vector itself; fails the job if it is missing, of another length, or has a NULL in it."""
     sound = vec.isNotNull() & (F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull())

@@ -6,6 +6,7 @@ and a model passed to `encode` are the ones that go beyond shared words.
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import hashed_bucket, hashed_sign, term_counts, words
+from colloquy.functions.text import term_counts, words
 from colloquy.functions.vectors import checked, norm
 from colloquy.operators.joins import join_small
-from colloquy.operators.prepare import bags
+from colloquy.operators.prepare import bags, by_utterance, terms
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
-from colloquy.session import materialise
+from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measure
 
 
 # --- corpus statistics ---------------------------------------------------------------
@@ -83,17 +84,23 @@ def tfidf(units: DataFrame, stats: CorpusStats | None = None, key: Sequence[str]
     the sum per unit finds its rows in place.
     """
     stats = stats or corpus_stats(units)
-    rows = bags(units.repartition(*key[:2])).select(*[c for c in units.columns if c != "text"], F.inline("terms"))
+    rows = terms(by_utterance(units))
     weighted = join_small(rows, stats.table, ["term"], spread_by=key)
     return _unit_length(weighted.withColumn("weight", _tfidf_weight(stats.n_units)).drop("df"), key)
 
 
 def request_terms(requests: DataFrame, stats: CorpusStats) -> DataFrame:
-    """Words of each request with their count and document frequency (0 if unknown), written once."""
+    """Words of each request with their count and document frequency (0 if unknown), as a written table."""
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
-    counted = materialise(requests.select("req_id", *filters, F.inline(term_counts(F.col("text")))), "request-terms")
-    known = join_small(stats.table, counted.select("term").distinct(), ["term"], spread_by=["term"], how="left_semi")
-    return materialise(join_small(counted, known, ["term"], spread_by=["req_id"], how="left").fillna({"df": 0}), "request-terms")
+    counted = requests.select("req_id", *filters, F.inline(term_counts(F.col("text"))))
+    known = stats.table
+    if measure(counted.select("req_id", "term")).within(BROADCAST_ROWS, BROADCAST_BYTES):
+        # No larger than the table just measured, while the vocabulary may be.
+        known = F.broadcast(known.join(F.broadcast(counted.select("term")), "term", "left_semi"))
+        found = counted.join(known, "term", "left")
+    else:
+        found = join_small(counted, known, ["term"], spread_by=["req_id"], how="left")
+    return materialise(found.fillna({"df": 0}), "request-terms")
 
 
 def tfidf_requests(requests: DataFrame, stats: CorpusStats) -> DataFrame:
@@ -113,30 +120,34 @@ def _vectors(df: DataFrame, encoder: str, dim: int) -> DataFrame:
 def hash_vectors(units: DataFrame, dim: int = 256) -> DataFrame:
     """Signed feature hashing: each word adds its count, with its sign, to its bucket.
 
-    md5 runs in the JVM; the dense arrays are filled batch by batch in Arrow, which
-    moves one list of buckets and counts per unit and never shuffles.
+    bucket = first 8 hex digits of the word's md5, modulo `dim`; the sign is + if the
+    next 4 hex digits are even. Words are cut in the JVM; Arrow batches of them are
+    hashed once per distinct word and summed up as arrays. Nothing is shuffled.
     """
     kept = [c for c in units.columns if c != "text"]
-    hashed = bags(units).select(
-        *kept,
-        F.transform("terms", lambda t: hashed_bucket(t["term"], dim)).alias("_at"),
-        F.transform("terms", lambda t: (t["tf"] * hashed_sign(t["term"])).cast("double")).alias("_by"),
-    )
-    schema = T.StructType([*[units.schema[c] for c in kept], T.StructField("vec", T.ArrayType(T.FloatType()))])
+    cut = units.select(*kept, words(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
+    added = [T.StructField("vec", T.ArrayType(T.FloatType())), T.StructField("norm", T.DoubleType())]
+    schema = T.StructType([*[units.schema[c] for c in kept], *added])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            at = batch.column("_at")
-            row = np.repeat(np.arange(n), np.diff(at.offsets.to_numpy()))
-            slot = row * dim + at.flatten().to_numpy(zero_copy_only=False)
-            amount = batch.column("_by").flatten().to_numpy(zero_copy_only=False)
-            dense = np.bincount(slot, weights=amount, minlength=n * dim).astype(np.float32)
+            lists = batch.column("_words")
+            coded = lists.flatten().dictionary_encode()
+            digests = [md5(word.encode()).hexdigest() for word in coded.dictionary.to_pylist()]
+            bucket = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
+            sign = np.array([1.0 - 2 * (int(d[8:12], 16) % 2) for d in digests])
+            at = coded.indices.to_numpy()
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            dense = np.bincount(row * dim + bucket[at], weights=sign[at], minlength=n * dim)
+            norms = np.sqrt((dense.reshape(n, dim) ** 2).sum(axis=1))
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
-            vec = pa.ListArray.from_arrays(offsets, pa.array(dense))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vec], names=[*kept, "vec"])
+            vec = pa.ListArray.from_arrays(offsets, pa.array(dense.astype(np.float32)))
+            columns = [*[batch.column(c) for c in kept], vec, pa.array(norms)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "vec", "norm"])
 
-    return _vectors(hashed.mapInArrow(fill, schema), f"hash-md5-{dim}", dim)
+    filled = cut.mapInArrow(fill, schema)
+    return filled.withColumns({"encoder": F.lit(f"hash-md5-{dim}"), "dim": F.lit(dim)})
 
 
 def train_word2vec(
@@ -146,7 +157,7 @@ def train_word2vec(
     min_count: int = 5,
     order_by: Sequence[str] = CHUNK_KEY,
     max_vocabulary: int = 2_000_000,
-    words_per_partition: int = 5_000_000,
+    words_per_partition: int = 1_000_000,
     **params,
 ) -> Word2VecModel:
     """Fit word vectors on all units.

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, measure
+from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, Size, measure
 
 SALTS = 64
 
@@ -16,17 +16,18 @@ def join_small(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
+    size: Size | None = None,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join `units` with `small`, measured here: `small` should be cheap to read twice.
+    """Join `units` with `small`, whose size is given or measured here (it is then read twice).
 
     Below both bounds `small` is broadcast and `units` stay where they are. Beyond
     them both sides are shuffled with a salt next to the key, so that the rows of
     one hot key (a word in a third of the units) are spread over SALTS tasks;
     `small` is repeated once per salt.
     """
-    if measure(small).within(max_rows, max_bytes):
+    if (size or measure(small)).within(max_rows, max_bytes):
         return units.join(F.broadcast(small), list(on), how)
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"{how} join cannot be salted")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from colloquy.operators.context import around_hits, assemble_context, spoken
 from colloquy.operators.encode import corpus_stats, tfidf, tfidf_requests, train_word2vec, word2vec_vectors
 from colloquy.operators.joins import join_small
-from colloquy.operators.search import semantic_search, term_search
+from colloquy.operators.dense import semantic_search
+from colloquy.operators.sparse import term_search
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS, UTTERANCE_KEY
 from colloquy.session import materialise
 

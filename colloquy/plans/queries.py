@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import context, encode, prepare, search
+from colloquy.operators import context, dense, encode, prepare, ranking, sparse
 from colloquy.plans import answer
 from colloquy.plans.store import build_store, refresh_store
 from colloquy.schemas import CHUNK_KEY, UTTERANCE, UTTERANCE_KEY
-from colloquy.session import materialise, scratch_path
+from colloquy.session import materialise, scratch_path, spread
 from colloquy.sources.transcripts import quarantine, quarantine_counts, read_log, read_transcripts
 from colloquy.sources.vector_store import read_vectors, store_vectors
 from colloquy.streaming.ingest import ingest_stream
@@ -34,7 +34,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.chunk(utterances(spark, sf_dir))
+    return prepare.chunk(spread(utterances(spark, sf_dir), *UTTERANCE_KEY))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ def restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What user and assistant said in meetings with a system turn."""
     rows = utterances(spark, sf_dir)
     meetings = rows.filter("role = 'system'").select("conv_id")
-    return search.restrict(rows, conv_ids=meetings, roles=["user", "assistant"]).select(*COLUMNS)
+    return ranking.restrict(rows, conv_ids=meetings, roles=["user", "assistant"]).select(*COLUMNS)
 
 
 # --- encoders ------------------------------------------------------------------------
@@ -198,19 +198,19 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each label the vectors closest to its mean."""
     stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = materialise(label_means(stored), "requests")
-    return search.semantic_search(asked, stored.select("vec_id", F.col("embedding").alias("vec")), 10, key=["vec_id"])
+    return dense.semantic_search(asked, stored.select("vec_id", F.col("embedding").alias("vec")), 10, key=["vec_id"])
 
 
 def hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
-    return search.semantic_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K)
+    return dense.semantic_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K)
 
 
 def restricted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that want 3 passages, said by the user."""
     asked = encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec")
     asked = asked.withColumns({"roles": F.array(F.lit("user")), "k": F.lit(3)})
-    return search.semantic_search(materialise(asked, "requests"), encode.hash_vectors(chunks(spark, sf_dir), DIM), K)
+    return dense.semantic_search(materialise(asked, "requests"), encode.hash_vectors(chunks(spark, sf_dir), DIM), K)
 
 
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +219,12 @@ def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = chunks(spark, sf_dir)
-    return search.bm25_search(requests(spark, sf_dir), units, K, encode.corpus_stats(units))
+    return sparse.bm25_search(requests(spark, sf_dir), units, K, encode.corpus_stats(units))
 
 
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
-    return search.lsh_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K, DIM)
+    return dense.lsh_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K, DIM)
 
 
 def word2vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:

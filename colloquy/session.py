@@ -52,6 +52,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """A scan of a few files, or of files that cannot be split, over all cores.
+
+    Work per row is heavy in this package (a text becomes dozens of terms), so idle
+    cores cost more than moving the rows. A scan that has a partition for every
+    core, as any large table does, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *key)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import cosine
-from colloquy.operators import encode, joins, prepare, search
+from colloquy.operators import dense, encode, joins, prepare, ranking, sparse
 from colloquy.session import Size
 
 VECTORS = "conv_id long, turn long, chunk int, role string, vec array<float>"
@@ -62,7 +62,7 @@ BLOCKS = {"matrix": TINY, "store_block": 90, "request_block": 6}
 @pytest.mark.parametrize("how", [{}, BLOCKS], ids=["matrix", "blocks"])
 @pytest.mark.parametrize("k", [1, 7, 1000])
 def test_semantic_search_equals_brute_force(asked, store, how, k):
-    hits = found(search.semantic_search(asked, store, k, **how))
+    hits = found(dense.semantic_search(asked, store, k, **how))
     agree(hits, brute([r.asDict() for r in asked.collect()], store.collect(), k))
 
 
@@ -85,33 +85,33 @@ def test_conditions_apply_before_ranking(spark, asked, store, how):
         )
 
     expected = brute([r.asDict() for r in limited.collect()], store.collect(), 2, allowed)
-    agree(found(search.semantic_search(limited, store, 2, **how)), expected)
+    agree(found(dense.semantic_search(limited, store, 2, **how)), expected)
 
 
 def test_small_tiles_change_nothing(asked, store, monkeypatch):
-    whole = found(search.semantic_search(asked, store, 5))
-    monkeypatch.setattr(search, "TILE", 300)
-    agree(found(search.semantic_search(asked, store, 5)), whole)
+    whole = found(dense.semantic_search(asked, store, 5))
+    monkeypatch.setattr(dense, "TILE", 300)
+    agree(found(dense.semantic_search(asked, store, 5)), whole)
 
 
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_result_does_not_depend_on_partitions(asked, store, parts):
-    agree(found(search.semantic_search(asked, store.repartition(parts), 5)), found(search.semantic_search(asked, store, 5)))
+    agree(found(dense.semantic_search(asked, store.repartition(parts), 5)), found(dense.semantic_search(asked, store, 5)))
 
 
 def test_vector_of_another_length_fails(spark, asked):
     bad = spark.createDataFrame([(1, 0, 0, "user", [1.0, 2.0])], VECTORS)
     with pytest.raises(PySparkException, match="8 values"):
-        search.semantic_search(asked, bad, 1).collect()
+        dense.semantic_search(asked, bad, 1).collect()
 
 
 def test_no_requests_give_no_hits(spark, asked, store):
-    assert search.semantic_search(asked.filter("req_id < 0"), store, 3).count() == 0
+    assert dense.semantic_search(asked.filter("req_id < 0"), store, 3).count() == 0
 
 
 def test_unit_is_its_own_nearest_neighbour(store):
     own = store.filter("conv_id < 13").select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), "vec")
-    top = search.semantic_search(own, store, 1).collect()
+    top = dense.semantic_search(own, store, 1).collect()
     assert all(r["score"] == 1.0 for r in top)
 
 
@@ -165,7 +165,7 @@ def join_path(request, monkeypatch):
     if request.param == "salted":
         original = joins.join_small
         small = lambda *a, **kw: original(*a, **{**kw, "max_rows": 0})
-        for module in (encode, search):
+        for module in (encode, sparse):
             monkeypatch.setattr(module, "join_small", small)
     return request.param
 
@@ -180,7 +180,7 @@ def test_term_search_equals_plain_python(spark, units, questions, join_path):
     weighted = {key[:3]: plain_tfidf(bag, df, n) for key, bag in store_bags.items()}
     stats = encode.corpus_stats(units)
     assert (stats.n_units, stats.n_words) == (120, 120 * 12)
-    hits = by_request(search.term_search(encode.tfidf_requests(questions, stats), encode.tfidf(units, stats), 5))
+    hits = by_request(sparse.term_search(encode.tfidf_requests(questions, stats), encode.tfidf(units, stats), 5))
     for q, text in [(1, "the w1 w2 w2"), (2, "w3 the unknownword")]:
         asked = plain_tfidf({w: text.split().count(w) for w in text.split()}, df, n)
         scores = {key: sum(asked[t] * w[t] for t in asked if t in w) for key, w in weighted.items() if set(asked) & set(w)}
@@ -191,7 +191,7 @@ def test_term_search_equals_plain_python(spark, units, questions, join_path):
 def test_bm25_equals_plain_python(spark, units, questions, join_path):
     store_bags = plain_bags(units.collect())
     stats = encode.corpus_stats(units)
-    hits = by_request(search.bm25_search(questions, units, 5, stats))
+    hits = by_request(sparse.bm25_search(questions, units, 5, stats))
     mean = sum(sum(b.values()) for b in store_bags.values()) / len(store_bags)
     for q, text in [(1, "the w1 w2 w2"), (2, "w3 the unknownword")]:
         scores = {}
@@ -208,7 +208,7 @@ def test_bm25_equals_plain_python(spark, units, questions, join_path):
 def test_conditions_of_term_search(spark, units, questions):
     stats = encode.corpus_stats(units)
     limited = questions.withColumns({"roles": F.array(F.lit("user")), "exclude_conv": F.lit(0).cast("long"), "k": F.lit(2)})
-    hits = search.term_search(encode.tfidf_requests(limited, stats), encode.tfidf(units, stats), 5)
+    hits = sparse.term_search(encode.tfidf_requests(limited, stats), encode.tfidf(units, stats), 5)
     said = hits.join(units, ["conv_id", "turn", "chunk"]).collect()
     assert {r["role"] for r in said} == {"user"} and 0 not in {r["conv_id"] for r in said}
     assert sorted(r["rank"] for r in said if r["req_id"] == 1) == [1, 2]
@@ -225,7 +225,7 @@ def test_tfidf_has_unit_length_and_one_shuffle_of_the_text(spark, units):
 
 def test_restrict_with_lists_and_tables(spark, units):
     wanted = spark.createDataFrame([(3,), (4,), (3,)], "c long")
-    rows = search.restrict(units, conv_ids=wanted, roles=["user"]).collect()
+    rows = ranking.restrict(units, conv_ids=wanted, roles=["user"]).collect()
     expected = [r for r in units.collect() if r["conv_id"] in (3, 4) and r["role"] == "user"]
     key = lambda r: (r["conv_id"], r["turn"], r["chunk"], r["role"], r["text"])
     assert sorted(map(key, rows)) == sorted(map(key, expected))
@@ -296,18 +296,29 @@ def test_lsh_scores_are_exact_and_near_copies_are_found(spark, asked, store):
     near = [(i, [float(x) for x in base[i] + 0.05 * rng.normal(size=16)]) for i in range(40)]
     vectors = spark.createDataFrame(rows, VECTORS)
     requests = spark.createDataFrame(near, "req_id long, vec array<float>")
-    exact = found(search.semantic_search(requests, vectors, 1))
-    approx = found(search.lsh_search(requests, vectors, 1, 16, tables=8, bits=6))
+    exact = found(dense.semantic_search(requests, vectors, 1))
+    approx = found(dense.lsh_search(requests, vectors, 1, 16, tables=8, bits=6))
     same = sum(exact[q] == approx.get(q) for q in exact)
     assert same / len(exact) >= 0.95
 
 
-@pytest.mark.parametrize("rows", [None, 0], ids=["broadcast", "salted"])
-def test_lsh_with_no_bits_is_exact(asked, store, rows, monkeypatch):
-    if rows is not None:
+@pytest.fixture(params=["matrix", "broadcast", "salted"])
+def lsh_path(request, monkeypatch):
+    if request.param == "salted":
         original = joins.join_small
-        monkeypatch.setattr(search, "join_small", lambda *a, **kw: original(*a, **{**kw, "max_rows": 0}))
-    agree(found(search.lsh_search(asked, store, 5, 8, tables=2, bits=0)), found(search.semantic_search(asked, store, 5)))
+        monkeypatch.setattr(dense, "join_small", lambda *a, **kw: original(*a, **{**kw, "max_rows": 0}))
+    return {} if request.param == "matrix" else {"matrix": TINY}
+
+
+def test_lsh_with_no_bits_is_exact(asked, store, lsh_path):
+    agree(found(dense.lsh_search(asked, store, 5, 8, tables=2, bits=0, **lsh_path)), found(dense.semantic_search(asked, store, 5)))
+
+
+def test_lsh_paths_agree(asked, store, lsh_path):
+    limited = asked.withColumns({"roles": F.array(F.lit("user")), "exclude_conv": F.lit(3).cast("long"), "k": F.lit(4)})
+    paths = [found(dense.lsh_search(limited, store, 9, 8, tables=3, bits=2, **how)) for how in ({}, lsh_path)]
+    agree(*paths)
+    assert len(paths[0]) == 4 * 20
 
 
 def test_cosine_of_a_zero_vector_is_null(spark):
