@@ -9,7 +9,6 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.functions.vectors import nonzero
+from colloquy.operators import inside
 from colloquy.operators.joins import join_small
-from colloquy.operators.ranking import PLACES, admitted, largest_k, rank_hits
+from colloquy.operators.ranking import admitted, largest_k, rank_hits
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import Size, measure
 
@@ -26,7 +26,6 @@ from colloquy.session import Size, measure
 MATRIX = Size(rows=100_000, bytes=64 * 1024 * 1024)
 STORE_BLOCK = 200_000  # rows of the store per block, where requests are more than that
 REQUEST_BLOCK = 50_000
-TILE = 4_000_000  # scores held in memory at a time
 GATHER = 50_000  # pairs whose vectors are copied out at a time
 
 
@@ -41,18 +40,15 @@ def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int,
     """Two functions for use inside tasks: one that reads requests, one that searches batches for them.
 
     With `planes` = (tables, bits) only pairs that share a signature are scored.
-    Both are nested so that they reach workers that do not have this package.
     """
     key, conditions_of = list(key), [c for c in filters if c != "k"]
-    tile, gather, places = TILE, GATHER, PLACES
+    tile, gather = inside.TILE, GATHER
+    values, forbidden = inside.make_values(), inside.make_forbidden()
+    start, candidates, offer, result = inside.make_keeper(key, limit)
     tables, bits = planes or (0, 0)
     normals = hyperplanes(tables, bits, dim).T
     powers = 2 ** np.arange(bits)
 
-    def values(column) -> np.ndarray:
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.to_numpy(zero_copy_only=False)
-
     def matrix(column) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         flat = column.flatten()
@@ -74,21 +70,6 @@ def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int,
             asked["codes"] = codes(asked["vec"])
         return asked
 
-    def forbidden(conditions: dict, lo: int, hi: int, n: int, convs, roles) -> np.ndarray:
-        """(units, requests) pairs that a condition rules out."""
-        out = np.zeros((n, hi - lo), dtype=bool)
-        role_codes, role_names = pd.factorize(roles) if "roles" in conditions else (None, None)
-        for j in range(lo, hi):
-            one = {c: listed[j] for c, listed in conditions.items() if listed[j] is not None}
-            if "conv_ids" in one:
-                out[:, j - lo] |= ~np.isin(convs, one["conv_ids"])
-            if "roles" in one:
-                # The code of a unit without a role is -1, the last place: no list of roles admits it.
-                out[:, j - lo] |= ~np.append(np.isin(role_names, one["roles"]), False)[role_codes]
-            if "exclude_conv" in one:
-                out[:, j - lo] |= convs == one["exclude_conv"]
-        return out
-
     def colliding(unit_codes: np.ndarray, request_codes: np.ndarray):
         """Pairs (unit, request) that agree in the code of some table, each once."""
         width, met = len(request_codes), []
@@ -102,19 +83,9 @@ def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int,
             met.append(row * width + order[np.repeat(first, count) + within])
         return np.divmod(np.unique(np.concatenate(met)), width)
 
-    def best(hits: pd.DataFrame) -> pd.DataFrame:
-        """The `limit` best hits of each request."""
-        by_key = [hits[c].to_numpy() for c in reversed(key)]
-        order = np.lexsort([*by_key, -hits["score"].to_numpy().round(places), hits["q"].to_numpy()])
-        q = hits["q"].to_numpy()[order]
-        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-        return hits.iloc[order[place < limit]].reset_index(drop=True)
-
     def search(asked: dict, batches: Iterator) -> pa.RecordBatch | None:
         n_asked = len(asked["id"])
-        floor = np.full(n_asked, -np.inf)  # score of the last hit of each request, once it has `limit` hits
-        state = None
+        state = start(n_asked)
         for batch in batches:
             units = matrix(batch.column("vec"))
             norms = np.sqrt((units * units).sum(axis=1))
@@ -128,44 +99,28 @@ def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int,
             step = max(1, tile // len(use))
             for lo in range(0, n_asked, step):
                 hi = min(n_asked, lo + step)
-                vectors, length, bar = asked["vec"][lo:hi], asked["length"][lo:hi], floor[lo:hi]
-                ruled_out = (
-                    forbidden(asked["conditions"], lo, hi, len(use), keys.get("conv_id"), roles) if conditions_of else None
-                )
+                vectors, length, floor = asked["vec"][lo:hi], asked["length"][lo:hi], state["floor"][lo:hi]
+                ruled_out = None
+                if conditions_of:
+                    ruled_out = forbidden(asked["conditions"], lo, hi, len(use), keys.get("conv_id"), roles)
                 if planes:
                     row, col = colliding(unit_codes, asked["codes"][lo:hi])
                     if ruled_out is not None:
                         keep = ~ruled_out[row, col]
                         row, col = row[keep], col[keep]
-                    score = np.empty(len(row))
+                    found = np.empty(len(row))
                     for at in range(0, len(row), gather):
                         part = slice(at, at + gather)
-                        score[part] = np.einsum("ij,ij->i", units[row[part]], vectors[col[part]])
-                    score /= norms[row] * length[col]
-                    # Scores that are equal once rounded are decided by key, so they stay in for now.
-                    keep = score >= bar[col] - 10.0**-places
-                    row, col, score = row[keep], col[keep], score[keep]
+                        found[part] = np.einsum("ij,ij->i", units[row[part]], vectors[col[part]])
+                    scores = np.full((len(use), hi - lo), -np.inf)
+                    scores[row, col] = found / (norms[row] * length[col])
                 else:
                     scores = (units @ vectors.T) / (norms[:, None] * length)
                     if ruled_out is not None:
                         scores[ruled_out] = -np.inf
-                    if len(use) > limit:
-                        last = len(use) - limit
-                        bar = np.maximum(bar, np.partition(scores, last, axis=0)[last])
-                    row, col = np.nonzero((scores >= bar - 10.0**-places) & np.isfinite(scores))
-                    score = scores[row, col]
-                if not len(row):
-                    continue
-                fresh = pd.DataFrame({"q": col + lo, **{c: keys[c][row] for c in key}, "score": score})
-                state = best(fresh if state is None else pd.concat([state, fresh], ignore_index=True))
-                q = state["q"].to_numpy()
-                ends = np.r_[np.flatnonzero(q[1:] != q[:-1]), len(q) - 1]
-                full = np.bincount(q, minlength=n_asked)[q[ends]] >= limit
-                floor[q[ends][full]] = state["score"].to_numpy()[ends][full]
-        if state is None:
-            return None
-        columns = [asked["id"][state["q"].to_numpy()], *[state[c].to_numpy() for c in [*key, "score"]]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["req_id", *key, "score"])
+                row, col = candidates(scores, floor)
+                offer(state, col + lo, {c: keys[c][row] for c in key}, scores[row, col])
+        return result(state, asked["id"])
 
     return read, search
 

@@ -71,22 +71,27 @@ def _tfidf_weight(n_units: int) -> Column:
     return (F.log("tf") + 1) * idf
 
 
-def _unit_length(weighted: DataFrame, key: Sequence[str]) -> DataFrame:
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*key)))
-    return weighted.withColumn("weight", F.col("weight") / length)
-
-
-def tfidf(units: DataFrame, stats: CorpusStats | None = None, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
-    """Sparse unit vectors, one row per unit and term: (1 + ln tf) * (ln((N+1)/(df+1)) + 1), L2-normalised.
+def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
+    """Sparse unit vectors, one row per unit with `terms`, an array of (term, tf, weight).
 
     The text is shuffled once by utterance, before it is split into terms. While
     the vocabulary is small enough to broadcast, nothing is shuffled after that:
-    the sum per unit finds its rows in place.
+    the terms of a unit are put together again where they are.
     """
-    stats = stats or corpus_stats(units)
-    rows = terms(by_utterance(units))
-    weighted = join_small(rows, stats.table, ["term"], spread_by=key)
-    return _unit_length(weighted.withColumn("weight", _tfidf_weight(stats.n_units)).drop("df"), key)
+    rest = [c for c in units.columns if c != "text"]
+    weighted = join_small(terms(by_utterance(units)), stats.table, ["term"], spread_by=key)
+    rows = weighted.withColumn("weight", _tfidf_weight(stats.n_units)).groupBy(*rest).agg(
+        F.collect_list(F.struct("term", "tf", "weight")).alias("terms"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
+    )
+    unit_length = lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), (t["weight"] / F.col("_length")).alias("weight"))
+    return rows.select(*rest, F.transform("terms", unit_length).alias("terms"))
+
+
+def tfidf(units: DataFrame, stats: CorpusStats | None = None, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
+    """Sparse unit vectors, one row per unit and term: (1 + ln tf) * (ln((N+1)/(df+1)) + 1), L2-normalised."""
+    rest = [c for c in units.columns if c != "text"]
+    return tfidf_rows(units, stats or corpus_stats(units), key).select(*rest, F.inline("terms"))
 
 
 def request_terms(requests: DataFrame, stats: CorpusStats) -> DataFrame:
@@ -106,7 +111,8 @@ def request_terms(requests: DataFrame, stats: CorpusStats) -> DataFrame:
 def tfidf_requests(requests: DataFrame, stats: CorpusStats) -> DataFrame:
     """Requests as sparse unit vectors, weighted by the statistics of the store they are asked of."""
     weighted = request_terms(requests, stats).withColumn("weight", _tfidf_weight(stats.n_units))
-    return _unit_length(weighted, ["req_id"]).drop("df")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("req_id")))
+    return weighted.withColumn("weight", F.col("weight") / length).drop("df")
 
 
 # --- dense vectors -------------------------------------------------------------------
@@ -157,16 +163,16 @@ def train_word2vec(
     min_count: int = 5,
     order_by: Sequence[str] = CHUNK_KEY,
     max_vocabulary: int = 2_000_000,
-    words_per_partition: int = 1_000_000,
+    words_per_partition: int = 250_000,
     **params,
 ) -> Word2VecModel:
     """Fit word vectors on all units.
 
     The trainer keeps the vocabulary on the driver, so it is counted first and the
     fit refused beyond `max_vocabulary`; a higher `min_count` makes it smaller.
-    Training is split so that no task gets more than about `words_per_partition`
-    words. A corpus below that is one partition in key order, which makes the
-    model reproducible; a larger one is trained in parallel and is not.
+    A corpus below `words_per_partition` is trained in key order in one partition,
+    which makes the model reproducible. A larger one is trained in parallel, on at
+    most as many partitions as there are cores, since each holds a whole model.
     """
     tokens = units.select(*order_by, words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
     frequency = tokens.select(F.explode("tokens").alias("word")).groupBy("word").count()
@@ -175,7 +181,8 @@ def train_word2vec(
         raise ValueError(f"no word occurs {min_count} times: lower min_count")
     if counted["kept"] > max_vocabulary:
         raise ValueError(f"{counted['kept']} words occur {min_count} times, more than {max_vocabulary}: raise min_count")
-    parts = -(-counted["words"] // words_per_partition)
+    cores = units.sparkSession.sparkContext.defaultParallelism
+    parts = min(cores, -(-counted["words"] // words_per_partition))
     ordered = tokens.repartition(parts, *order_by).sortWithinPartitions(*order_by)
     trainer = Word2Vec(
         vectorSize=dim, seed=seed, minCount=min_count, numPartitions=parts, inputCol="tokens", outputCol="_mean", **params

@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.inside import PLACES
 from colloquy.operators.joins import join_small
 
-PLACES = 9
-
 
 def restrict(units: DataFrame, conv_ids=None, roles=None) -> DataFrame:
     """Keep the units of some meetings and speakers, each given as a list or as a one-column table.

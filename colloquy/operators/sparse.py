@@ -1,34 +1,133 @@
-"""Search over words: TF-IDF cosine and BM25."""
+"""Search over words: TF-IDF cosine and BM25.
 
-from collections.abc import Sequence
+Both are a sum over the words a request and a unit share, of a weight on the side
+of the request times one on the side of the unit.
+"""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from colloquy.operators import inside
 from colloquy.operators.encode import CorpusStats, request_terms
 from colloquy.operators.joins import join_small
-from colloquy.operators.prepare import bags, by_utterance
+from colloquy.operators.prepare import bags
 from colloquy.operators.ranking import admitted, largest_k, rank_hits
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
+from colloquy.session import Size, measure
+
+# Words of requests measured to be within these bounds are sent to every task.
+WORDS = Size(rows=500_000, bytes=64 * 1024 * 1024)
+
+
+def _searcher(key: Sequence[str], filters: Sequence[str], limit: int):
+    """Two functions for use inside tasks: one that reads requests, one that searches batches for them."""
+    key, conditions_of = list(key), [c for c in filters if c != "k"]
+    tile = inside.TILE
+    values, forbidden = inside.make_values(), inside.make_forbidden()
+    start, candidates, offer, result = inside.make_keeper(key, limit)
+
+    def read(table: pa.Table) -> dict:
+        """Per word the requests that have it, and its weight in each."""
+        ids, first, q = np.unique(values(table.column("req_id")), return_index=True, return_inverse=True)
+        word = table.column("term").combine_chunks().dictionary_encode()
+        at = word.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        begins = np.searchsorted(at[order], np.arange(len(word.dictionary) + 1))
+        return {
+            "id": ids,
+            "place": {term: i for i, term in enumerate(word.dictionary.to_pylist())},
+            "begins": begins,
+            "q": q[order],
+            "weight": values(table.column("weight"))[order],
+            "conditions": {c: table.column(c).take(pa.array(first)).to_pylist() for c in conditions_of},
+        }
+
+    def search(asked: dict, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+        n_asked = len(asked["id"])
+        state = start(n_asked)
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = lists.flatten()
+            word = flat.field("term").dictionary_encode()
+            place = np.array([asked["place"].get(term, -1) for term in word.dictionary.to_pylist()], dtype=np.int64)
+            at = place[word.indices.to_numpy()] if len(place) else np.array([], dtype=np.int64)
+            unit = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            known = at >= 0
+            at, unit, weight = at[known], unit[known], values(flat.field("weight"))[known]
+            count = asked["begins"][at + 1] - asked["begins"][at]
+            keys = {c: values(batch.column(c)) for c in key}
+            roles = values(batch.column("role")) if "roles" in conditions_of else None
+            step = max(1, tile // max(1, n_asked))
+            for lo in range(0, len(lists), step):
+                n = min(len(lists) - lo, step)
+                a, b = np.searchsorted(unit, [lo, lo + n])
+                if a == b:
+                    continue
+                total = count[a:b]
+                within = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+                pair = np.repeat(asked["begins"][at[a:b]], total) + within
+                cell = np.repeat(unit[a:b] - lo, total) * n_asked + asked["q"][pair]
+                part = np.repeat(weight[a:b], total) * asked["weight"][pair]
+                scores = np.bincount(cell, weights=part, minlength=n * n_asked).reshape(n, n_asked)
+                scores[scores <= 0] = -np.inf  # no word in common
+                if conditions_of:
+                    convs = keys["conv_id"][lo : lo + n] if "conv_id" in keys else None
+                    said = roles[lo : lo + n] if roles is not None else None
+                    scores[forbidden(asked["conditions"], 0, n_asked, n, convs, said)] = -np.inf
+                row, col = candidates(scores, state["floor"])
+                offer(state, col, {c: keys[c][row + lo] for c in key}, scores[row, col])
+        return result(state, asked["id"])
 
+    return read, search
 
-def _sum_over_terms(asked: DataFrame, postings: DataFrame, part: Column, key: Sequence[str]) -> DataFrame:
-    """Add up `part` over the words a request and a unit share.
 
-    Joined on the word, so units that share none are never looked at. Where the
-    postings are already partitioned by utterance the sum needs no shuffle.
+def _best(asked: DataFrame, units: DataFrame, k: int, key: Sequence[str], limit: int, words: Size) -> DataFrame:
+    """Top-k of sums over shared words: `asked` (req_id, term, weight), `units` (key, role, terms: array of term, weight).
+
+    Requests whose words fit are sent to all tasks, which add up batches of units
+    and keep k hits per request: no pair leaves the task unless it may be a hit.
+    Otherwise both sides are joined on the word, with a salt against words that are
+    everywhere. All weights are positive, so a sum of 0 means no common word.
     """
+    key = list(key)
     filters = [c for c in REQUEST_FILTERS if c in asked.columns]
-    pairs = join_small(postings, asked, ["term"], spread_by=key).filter(admitted(filters))
-    own = [F.max("k").alias("k")] if "k" in filters else []
-    return pairs.groupBy("req_id", *key).agg(F.sum(part).alias("score"), *own)
+    roles = ["role"] if "roles" in filters and "role" not in key else []
+    asked = asked.select("req_id", "term", "weight", *filters)
+    size = measure(asked)
+    if size.within(words.rows, words.bytes):
+        read, search = _searcher(key, filters, limit)
+        shared = units.sparkSession.sparkContext.broadcast(asked.toArrow())
+        kinds = [("req_id", asked.schema["req_id"].dataType), *[(c, units.schema[c].dataType) for c in key]]
+        schema = T.StructType([T.StructField(*kind) for kind in [*kinds, ("score", T.DoubleType())]])
+        pair = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = search(read(shared.value), batches)
+            if found is not None:
+                yield found
+
+        scored = units.select(*key, *roles, pair.alias("terms")).mapInArrow(scan, schema)
+        if "k" in filters:
+            own = asked.groupBy("req_id").agg(F.max("k").alias("k"))
+            scored = join_small(scored, own, ["req_id"], spread_by=key, size=size)
+    else:
+        own = [F.max("k").alias("k")] if "k" in filters else []
+        postings = units.select(*key, *roles, F.inline("terms")).select(*key, *roles, "term", F.col("weight").alias("_weight"))
+        pairs = join_small(postings, asked, ["term"], spread_by=key, size=size).filter(admitted(filters))
+        scored = pairs.groupBy("req_id", *key).agg(F.sum(F.col("_weight") * F.col("weight")).alias("score"), *own)
+    return rank_hits(scored, key, k, limit)
 
 
-def term_search(request_vectors: DataFrame, unit_vectors: DataFrame, k: int, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
-    """Top-k by TF-IDF cosine: both sides are sparse unit vectors, so the sum of products is the cosine."""
-    asked = request_vectors.withColumnRenamed("weight", "_asked").drop("tf")
-    scored = _sum_over_terms(asked, unit_vectors, F.col("_asked") * F.col("weight"), key)
-    return rank_hits(scored, key, k, largest_k(request_vectors, k))
+def term_search(
+    request_vectors: DataFrame, unit_vectors: DataFrame, k: int, key: Sequence[str] = CHUNK_KEY, words: Size = WORDS
+) -> DataFrame:
+    """Top-k by TF-IDF cosine, of `encode.tfidf_requests` over `encode.tfidf_rows`: products of unit vectors add up to the cosine."""
+    return _best(request_vectors, unit_vectors, k, key, largest_k(request_vectors, k), words)
 
 
 def bm25_search(
@@ -39,15 +138,19 @@ def bm25_search(
     k1: float = 1.2,
     b: float = 0.75,
     key: Sequence[str] = CHUNK_KEY,
+    words: Size = WORDS,
 ) -> DataFrame:
-    """Top-k by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated word of a request counts again."""
+    """Top-k by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated word of a request counts again.
+
+    Needs no weights of the other words of a unit, so the text is not shuffled at all.
+    """
     n = F.lit(stats.n_units)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = request_terms(requests, stats).withColumn("_asked", F.col("tf") * idf).drop("tf", "df")
-    length = F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    kept = [c for c in units.columns if c != "text"]
-    postings = bags(by_utterance(units)).select(*kept, length.alias("_length"), F.inline("terms"))
+    asked = request_terms(requests, stats).withColumn("weight", F.col("tf") * idf)
     mean = stats.n_words / stats.n_units if stats.n_units else 1.0
-    damped = F.col("tf") + k1 * (1 - b + b * F.col("_length") / F.lit(mean))
-    part = F.col("_asked") * F.col("tf") * (k1 + 1) / damped
-    return rank_hits(_sum_over_terms(asked, postings, part, key), key, k, largest_k(requests, k))
+    counted = bags(units)
+    counted = counted.withColumn("_length", F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x))
+    damping = k1 * (1 - b + b * F.col("_length") / F.lit(mean))
+    weight = lambda t: F.struct(t["term"].alias("term"), (t["tf"] * (k1 + 1) / (t["tf"] + F.col("_damping"))).alias("weight"))
+    rows = counted.withColumn("_damping", damping).withColumn("terms", F.transform("terms", weight))
+    return _best(asked, rows, k, key, largest_k(requests, k), words)

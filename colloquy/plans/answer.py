@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.context import around_hits, assemble_context, spoken
-from colloquy.operators.encode import corpus_stats, tfidf, tfidf_requests, train_word2vec, word2vec_vectors
+from colloquy.operators.encode import corpus_stats, tfidf_requests, tfidf_rows, train_word2vec, word2vec_vectors
 from colloquy.operators.joins import join_small
 from colloquy.operators.dense import semantic_search
 from colloquy.operators.sparse import term_search
@@ -15,7 +15,7 @@ from colloquy.session import materialise
 def lexical_hits(requests: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """TF-IDF hits of text requests over units, with statistics of those units."""
     stats = corpus_stats(units)
-    return term_search(tfidf_requests(requests, stats), tfidf(units, stats), k)
+    return term_search(tfidf_requests(requests, stats), tfidf_rows(units, stats), k)
 
 
 def meaning_hits(requests: DataFrame, units: DataFrame, k: int, dim: int = 64, min_count: int = 5) -> DataFrame:

@@ -23,6 +23,7 @@ from colloquy.streaming.ingest import ingest_stream
 COLUMNS = [field.name for field in UTTERANCE.fields]
 DIM = 256
 K = 5
+BUCKETS = 16
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,7 +101,7 @@ def read_transcripts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed, log, checkpoint = (scratch_path(spark, name) for name in ("landed", "log", "offsets"))
     damaged_lines(utterances(spark, sf_dir)).write.text(landed)
-    ingest_stream(spark, landed, log, checkpoint)
+    ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
     return quarantine_counts(read_log(spark, log))
 
 
@@ -109,10 +110,10 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed, log, checkpoint = (scratch_path(spark, name) for name in ("landed", "log", "offsets"))
     rows = utterances(spark, sf_dir)
     export_json(rows.filter("role = 'user'"), landed)
-    ingest_stream(spark, landed, log, checkpoint)
+    ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
     export_json(rows.filter("role <> 'user'"), landed)
-    ingest_stream(spark, landed, log, checkpoint)
-    ingest_stream(spark, landed, log, checkpoint)
+    ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
+    ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
     good, _ = quarantine(read_log(spark, log))
     return good.select(*COLUMNS)
 
@@ -131,11 +132,11 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store all vectors, then replace the buckets of the meetings a system turn opens, and read all back."""
     path = scratch_path(spark, "vectors")
     vectors = encode.hash_vectors(chunks(spark, sf_dir), DIM)
-    store_vectors(vectors, path, DIM)
+    store_vectors(vectors, path, DIM, BUCKETS)
     stored = read_vectors(spark, path, f"hash-md5-{DIM}")
     touched = stored.filter("role = 'system'").select("bucket").distinct()
     again = materialise(stored.join(F.broadcast(touched), "bucket", "left_semi").drop("bucket"), "rewritten")
-    store_vectors(again, path, DIM)
+    store_vectors(again, path, DIM, BUCKETS)
     return _long(read_vectors(spark, path, f"hash-md5-{DIM}"))
 
 
@@ -145,12 +146,12 @@ def refreshed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = utterances(spark, sf_dir)
     encoder = lambda units: encode.hash_vectors(units, DIM)
     export_json(rows, landed)
-    ingest_stream(spark, landed, log, checkpoint)
-    build_store(read_log(spark, log), encoder, path, DIM)
+    ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
+    build_store(read_log(spark, log), encoder, path, DIM, BUCKETS)
     since: datetime = read_log(spark, log).agg(F.max("file_mtime")).first()[0]
     export_json(rows.filter("role = 'system'").withColumn("text", F.concat(F.lit("corrected "), F.col("text"))), landed)
-    ingest_stream(spark, landed, log, checkpoint)
-    refresh_store(spark, log, encoder, path, DIM, since)
+    ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
+    refresh_store(spark, log, encoder, path, DIM, since, BUCKETS)
     return _long(read_vectors(spark, path, f"hash-md5-{DIM}"))
 
 

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import cosine
-from colloquy.operators import dense, encode, joins, prepare, ranking, sparse
+from colloquy.operators import dense, encode, inside, joins, prepare, ranking, sparse
 from colloquy.session import Size
 
 VECTORS = "conv_id long, turn long, chunk int, role string, vec array<float>"
@@ -90,7 +90,7 @@ def test_conditions_apply_before_ranking(spark, asked, store, how):
 
 def test_small_tiles_change_nothing(asked, store, monkeypatch):
     whole = found(dense.semantic_search(asked, store, 5))
-    monkeypatch.setattr(dense, "TILE", 300)
+    monkeypatch.setattr(inside, "TILE", 300)
     agree(found(dense.semantic_search(asked, store, 5)), whole)
 
 
@@ -160,17 +160,16 @@ def by_request(hits):
     return out
 
 
-@pytest.fixture(params=["broadcast", "salted"])
-def join_path(request, monkeypatch):
+@pytest.fixture(params=["matrix", "broadcast", "salted"])
+def words_path(request, monkeypatch):
     if request.param == "salted":
         original = joins.join_small
-        small = lambda *a, **kw: original(*a, **{**kw, "max_rows": 0})
         for module in (encode, sparse):
-            monkeypatch.setattr(module, "join_small", small)
-    return request.param
+            monkeypatch.setattr(module, "join_small", lambda *a, **kw: original(*a, **{**kw, "max_rows": 0}))
+    return {} if request.param == "matrix" else {"words": TINY}
 
 
-def test_term_search_equals_plain_python(spark, units, questions, join_path):
+def test_term_search_equals_plain_python(spark, units, questions, words_path):
     store_bags = plain_bags(units.collect())
     df = {}
     for bag in store_bags.values():
@@ -180,7 +179,7 @@ def test_term_search_equals_plain_python(spark, units, questions, join_path):
     weighted = {key[:3]: plain_tfidf(bag, df, n) for key, bag in store_bags.items()}
     stats = encode.corpus_stats(units)
     assert (stats.n_units, stats.n_words) == (120, 120 * 12)
-    hits = by_request(sparse.term_search(encode.tfidf_requests(questions, stats), encode.tfidf(units, stats), 5))
+    hits = by_request(sparse.term_search(encode.tfidf_requests(questions, stats), encode.tfidf_rows(units, stats), 5, **words_path))
     for q, text in [(1, "the w1 w2 w2"), (2, "w3 the unknownword")]:
         asked = plain_tfidf({w: text.split().count(w) for w in text.split()}, df, n)
         scores = {key: sum(asked[t] * w[t] for t in asked if t in w) for key, w in weighted.items() if set(asked) & set(w)}
@@ -188,10 +187,10 @@ def test_term_search_equals_plain_python(spark, units, questions, join_path):
     assert set(hits) == {1, 2}
 
 
-def test_bm25_equals_plain_python(spark, units, questions, join_path):
+def test_bm25_equals_plain_python(spark, units, questions, words_path):
     store_bags = plain_bags(units.collect())
     stats = encode.corpus_stats(units)
-    hits = by_request(sparse.bm25_search(questions, units, 5, stats))
+    hits = by_request(sparse.bm25_search(questions, units, 5, stats, **words_path))
     mean = sum(sum(b.values()) for b in store_bags.values()) / len(store_bags)
     for q, text in [(1, "the w1 w2 w2"), (2, "w3 the unknownword")]:
         scores = {}
@@ -205,10 +204,10 @@ def test_bm25_equals_plain_python(spark, units, questions, join_path):
         assert hits[q] == plain_rank(scores, 5)
 
 
-def test_conditions_of_term_search(spark, units, questions):
+def test_conditions_of_term_search(spark, units, questions, words_path):
     stats = encode.corpus_stats(units)
     limited = questions.withColumns({"roles": F.array(F.lit("user")), "exclude_conv": F.lit(0).cast("long"), "k": F.lit(2)})
-    hits = sparse.term_search(encode.tfidf_requests(limited, stats), encode.tfidf(units, stats), 5)
+    hits = sparse.term_search(encode.tfidf_requests(limited, stats), encode.tfidf_rows(units, stats), 5, **words_path)
     said = hits.join(units, ["conv_id", "turn", "chunk"]).collect()
     assert {r["role"] for r in said} == {"user"} and 0 not in {r["conv_id"] for r in said}
     assert sorted(r["rank"] for r in said if r["req_id"] == 1) == [1, 2]
