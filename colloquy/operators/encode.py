@@ -11,6 +11,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +51,7 @@ def corpus_stats(units: DataFrame) -> CorpusStats:
     )
     counted = (
         bags(units)
-        .select(F.inline(F.array_append("terms", marker)))
+        .select(F.inline(F.when(F.col("terms").isNotNull(), F.array_append("terms", marker))))
         .groupBy("term")
         .agg(
             F.count(F.lit(1)).alias("df"),
@@ -131,12 +132,13 @@ def hash_vectors(units: DataFrame, dim: int = 256) -> DataFrame:
     hashed once per distinct word and summed up as arrays. Nothing is shuffled.
     """
     kept = [c for c in units.columns if c != "text"]
-    cut = units.select(*kept, words(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
+    cut = units.select(*kept, words(F.col("text")).alias("_words"))
     added = [T.StructField("vec", T.ArrayType(T.FloatType())), T.StructField("norm", T.DoubleType())]
     schema = T.StructType([*[units.schema[c] for c in kept], *added])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("_words")), 0))
             n = batch.num_rows
             lists = batch.column("_words")
             coded = lists.flatten().dictionary_encode()
@@ -174,7 +176,7 @@ def train_word2vec(
     which makes the model reproducible. A larger one is trained in parallel, on at
     most as many partitions as there are cores, since each holds a whole model.
     """
-    tokens = units.select(*order_by, words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    tokens = units.select(*order_by, words(F.coalesce("text", F.lit(""))).alias("tokens"))
     frequency = tokens.select(F.explode("tokens").alias("word")).groupBy("word").count()
     counted = frequency.agg(F.sum("count").alias("words"), F.count_if(F.col("count") >= min_count).alias("kept")).first()
     if not counted["kept"]:

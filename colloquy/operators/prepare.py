@@ -45,8 +45,11 @@ def sentences(utterances: DataFrame) -> DataFrame:
 
 
 def bags(units: DataFrame) -> DataFrame:
-    """Replace the text of each unit by array<struct<term, tf>>; units without words go."""
-    return units.withColumn("terms", term_counts(F.col("text"))).drop("text").filter(F.col("terms").isNotNull())
+    """Replace the text of each unit by array<struct<term, tf>>, NULL if it has no words.
+
+    Not filtered here: Catalyst would move the filter below and count twice.
+    """
+    return units.withColumn("terms", term_counts(F.col("text"))).drop("text")
 
 
 def terms(units: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions.text import let
 from colloquy.operators import inside
 from colloquy.operators.encode import CorpusStats, request_terms
 from colloquy.operators.joins import join_small
@@ -148,9 +149,8 @@ def bm25_search(
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = request_terms(requests, stats).withColumn("weight", F.col("tf") * idf)
     mean = stats.n_words / stats.n_units if stats.n_units else 1.0
-    counted = bags(units)
-    counted = counted.withColumn("_length", F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x))
-    damping = k1 * (1 - b + b * F.col("_length") / F.lit(mean))
-    weight = lambda t: F.struct(t["term"].alias("term"), (t["tf"] * (k1 + 1) / (t["tf"] + F.col("_damping"))).alias("weight"))
-    rows = counted.withColumn("_damping", damping).withColumn("terms", F.transform("terms", weight))
+    length = F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    damping = k1 * (1 - b + b * length / F.lit(mean))
+    weight = lambda t, d: F.struct(t["term"].alias("term"), (t["tf"] * (k1 + 1) / (t["tf"] + d)).alias("weight"))
+    rows = bags(units).withColumn("terms", let(damping, lambda d: F.transform("terms", lambda t: weight(t, d))))
     return _best(asked, rows, k, key, largest_k(requests, k), words)

@@ -31,7 +31,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_transcripts(spark, f"{sf_dir}/conversations.parquet").select(*COLUMNS)
+    return read_transcripts(spark, f"{sf_dir}/conversations.parquet", origin=False)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,8 @@ def versions(rows: DataFrame) -> DataFrame:
 def read_transcripts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = scratch_path(spark, "landed")
     export_json(utterances(spark, sf_dir), landed)
-    return read_transcripts(spark, landed, "json").select(*COLUMNS)
+    good, _ = quarantine(read_transcripts(spark, landed, "json"))
+    return good.select(*COLUMNS)
 
 
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:

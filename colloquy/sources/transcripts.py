@@ -34,13 +34,15 @@ def with_origin(exports: DataFrame) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, format: str = "parquet", origin: bool = True) -> DataFrame:
     """Scan a file or folder of exports into the log schema.
 
     The schema is fixed, so no pass is spent on inferring it, and on Parquet both
-    column pruning and filters reach the scan.
+    column pruning and filters reach the scan. Without `origin` the file columns are
+    left out; once asked for, Spark makes them for every row, used or not.
     """
-    return with_origin(export_reader(spark.read, format).load(path))
+    exports = export_reader(spark.read, format).load(path)
+    return with_origin(exports) if origin else exports
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
