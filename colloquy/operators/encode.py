@@ -41,22 +41,16 @@ class CorpusStats:
 def corpus_stats(units: DataFrame) -> CorpusStats:
     """Count in one pass over the text and keep the counts as a written table.
 
-    Each unit adds one row per distinct term and one row without a term that
-    carries its length. All of them are summed up before the shuffle, so what is
-    shuffled is at most the vocabulary per task, however frequent a word is.
+    Each unit adds one row per distinct word and one row without a word, which
+    counts the unit. All are summed up before the shuffle, so what is shuffled is
+    at most the vocabulary per task, however frequent a word is.
     """
-    marker = F.struct(
-        F.lit(None).cast("string").alias("term"),
-        F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("tf"),
-    )
-    counted = (
-        bags(units)
-        .select(F.inline(F.when(F.col("terms").isNotNull(), F.array_append("terms", marker))))
-        .groupBy("term")
-        .agg(
-            F.count(F.lit(1)).alias("df"),
-            F.sum(F.when(F.col("term").isNull(), F.col("tf"))).alias("n_words"),
-        )
+    said = units.select(words(F.col("text")).alias("_words"))
+    distinct = F.array_append(F.array_distinct("_words"), F.lit(None).cast("string"))
+    rows = said.select(F.size("_words").alias("_n"), F.explode(F.when(F.size("_words") > 0, distinct)).alias("term"))
+    counted = rows.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"),
+        F.sum(F.when(F.col("term").isNull(), F.col("_n"))).alias("n_words"),
     )
     table = materialise(counted, "corpus-stats")
     total = table.filter(F.col("term").isNull()).first()
@@ -77,11 +71,13 @@ def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_
 
     The text is shuffled once by utterance, before it is split into terms. While
     the vocabulary is small enough to broadcast, nothing is shuffled after that:
-    the terms of a unit are put together again where they are.
+    the terms of a unit are put together again where they are. Units are sorted
+    while they are one row each, which leaves little to do for the sort of their terms.
     """
     rest = [c for c in units.columns if c != "text"]
-    weighted = join_small(terms(by_utterance(units)), stats.table, ["term"], spread_by=key)
-    rows = weighted.withColumn("weight", _tfidf_weight(stats.n_units)).groupBy(*rest).agg(
+    in_order = by_utterance(units).sortWithinPartitions(*key)
+    weighted = join_small(terms(in_order), stats.table, ["term"], spread_by=key)
+    rows = weighted.withColumn("weight", _tfidf_weight(stats.n_units)).groupBy(*key, *[c for c in rest if c not in key]).agg(
         F.collect_list(F.struct("term", "tf", "weight")).alias("terms"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
     )

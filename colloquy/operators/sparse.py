@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import let
+from colloquy.functions.text import words as text_words
 from colloquy.operators import inside
 from colloquy.operators.encode import CorpusStats, request_terms
 from colloquy.operators.joins import join_small
@@ -25,8 +26,15 @@ from colloquy.session import Size, measure
 WORDS = Size(rows=500_000, bytes=64 * 1024 * 1024)
 
 
-def _searcher(key: Sequence[str], filters: Sequence[str], limit: int):
-    """Two functions for use inside tasks: one that reads requests, one that searches batches for them."""
+Bm25 = tuple[float, float, float]  # k1, b, and the mean number of words per unit
+
+
+def _searcher(key: Sequence[str], filters: Sequence[str], limit: int, bm25: Bm25 | None):
+    """Two functions for use inside tasks: one that reads requests, one that searches batches for them.
+
+    Units bring `terms` with their weights or, for BM25, the plain `words` of their
+    text, of which only those that a request has are counted.
+    """
     key, conditions_of = list(key), [c for c in filters if c != "k"]
     tile = inside.TILE
     values, forbidden = inside.make_values(), inside.make_forbidden()
@@ -48,18 +56,32 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int):
             "conditions": {c: table.column(c).take(pa.array(first)).to_pylist() for c in conditions_of},
         }
 
+    def places(word: pa.DictionaryArray, place: dict) -> np.ndarray:
+        known = np.array([place.get(term, -1) for term in word.dictionary.to_pylist()], dtype=np.int64)
+        return known[word.indices.to_numpy()] if len(known) else known
+
+    def weighted(lists: pa.ListArray, unit: np.ndarray, place: dict):
+        """(unit, word, weight) of the words that a request has."""
+        flat = lists.flatten()
+        if bm25 is None:
+            at = places(flat.field("term").dictionary_encode(), place)
+            known = at >= 0
+            return unit[known], at[known], values(flat.field("weight"))[known]
+        at = places(flat.dictionary_encode(), place)
+        known = at >= 0
+        cell, tf = np.unique(unit[known] * len(place) + at[known], return_counts=True)
+        of, at = np.divmod(cell, max(1, len(place)))
+        length = np.bincount(unit, minlength=len(lists))[of]
+        k1, b, mean = bm25
+        return of, at, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
     def search(asked: dict, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
         n_asked = len(asked["id"])
         state = start(n_asked)
         for batch in batches:
-            lists = batch.column("terms")
-            flat = lists.flatten()
-            word = flat.field("term").dictionary_encode()
-            place = np.array([asked["place"].get(term, -1) for term in word.dictionary.to_pylist()], dtype=np.int64)
-            at = place[word.indices.to_numpy()] if len(place) else np.array([], dtype=np.int64)
+            lists = batch.column("words" if bm25 else "terms")
             unit = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            known = at >= 0
-            at, unit, weight = at[known], unit[known], values(flat.field("weight"))[known]
+            unit, at, weight = weighted(lists, unit, asked["place"])
             count = asked["begins"][at + 1] - asked["begins"][at]
             keys = {c: values(batch.column(c)) for c in key}
             roles = values(batch.column("role")) if "roles" in conditions_of else None
@@ -87,48 +109,59 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int):
     return read, search
 
 
-def _best(asked: DataFrame, units: DataFrame, k: int, key: Sequence[str], limit: int, words: Size) -> DataFrame:
-    """Top-k of sums over shared words: `asked` (req_id, term, weight), `units` (key, role, terms: array of term, weight).
+def _in_tasks(asked: DataFrame, units: DataFrame, key: list[str], limit: int, bm25: Bm25 | None, size: Size) -> DataFrame:
+    """Send the words of the requests to all tasks, which add up batches of units and keep k hits per request."""
+    filters = [c for c in REQUEST_FILTERS if c in asked.columns]
+    read, search = _searcher(key, filters, limit, bm25)
+    shared = units.sparkSession.sparkContext.broadcast(asked.toArrow())
+    kinds = [("req_id", asked.schema["req_id"].dataType), *[(c, units.schema[c].dataType) for c in key]]
+    schema = T.StructType([T.StructField(*kind) for kind in [*kinds, ("score", T.DoubleType())]])
 
-    Requests whose words fit are sent to all tasks, which add up batches of units
-    and keep k hits per request: no pair leaves the task unless it may be a hit.
-    Otherwise both sides are joined on the word, with a salt against words that are
-    everywhere. All weights are positive, so a sum of 0 means no common word.
-    """
-    key = list(key)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = search(read(shared.value), batches)
+        if found is not None:
+            yield found
+
+    scored = units.mapInArrow(scan, schema)
+    if "k" in filters:
+        own = asked.groupBy("req_id").agg(F.max("k").alias("k"))
+        scored = join_small(scored, own, ["req_id"], spread_by=key, size=size)
+    return scored
+
+
+def _by_join(asked: DataFrame, rows: DataFrame, key: list[str], size: Size) -> DataFrame:
+    """Join both sides on the word, with a salt against words that are everywhere, and add up."""
+    filters = [c for c in REQUEST_FILTERS if c in asked.columns]
+    own = [F.max("k").alias("k")] if "k" in filters else []
+    kept = [c for c in rows.columns if c != "terms"]
+    postings = rows.select(*kept, F.inline("terms")).select(*kept, "term", F.col("weight").alias("_weight"))
+    pairs = join_small(postings, asked, ["term"], spread_by=key, size=size).filter(admitted(filters))
+    return pairs.groupBy("req_id", *key).agg(F.sum(F.col("_weight") * F.col("weight")).alias("score"), *own)
+
+
+def _sides(asked: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
     filters = [c for c in REQUEST_FILTERS if c in asked.columns]
     roles = ["role"] if "roles" in filters and "role" not in key else []
-    asked = asked.select("req_id", "term", "weight", *filters)
-    size = measure(asked)
-    if size.within(words.rows, words.bytes):
-        read, search = _searcher(key, filters, limit)
-        shared = units.sparkSession.sparkContext.broadcast(asked.toArrow())
-        kinds = [("req_id", asked.schema["req_id"].dataType), *[(c, units.schema[c].dataType) for c in key]]
-        schema = T.StructType([T.StructField(*kind) for kind in [*kinds, ("score", T.DoubleType())]])
-        pair = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = search(read(shared.value), batches)
-            if found is not None:
-                yield found
-
-        scored = units.select(*key, *roles, pair.alias("terms")).mapInArrow(scan, schema)
-        if "k" in filters:
-            own = asked.groupBy("req_id").agg(F.max("k").alias("k"))
-            scored = join_small(scored, own, ["req_id"], spread_by=key, size=size)
-    else:
-        own = [F.max("k").alias("k")] if "k" in filters else []
-        postings = units.select(*key, *roles, F.inline("terms")).select(*key, *roles, "term", F.col("weight").alias("_weight"))
-        pairs = join_small(postings, asked, ["term"], spread_by=key, size=size).filter(admitted(filters))
-        scored = pairs.groupBy("req_id", *key).agg(F.sum(F.col("_weight") * F.col("weight")).alias("score"), *own)
-    return rank_hits(scored, key, k, limit)
+    return asked.select("req_id", "term", "weight", *filters), [*key, *roles]
 
 
 def term_search(
     request_vectors: DataFrame, unit_vectors: DataFrame, k: int, key: Sequence[str] = CHUNK_KEY, words: Size = WORDS
 ) -> DataFrame:
-    """Top-k by TF-IDF cosine, of `encode.tfidf_requests` over `encode.tfidf_rows`: products of unit vectors add up to the cosine."""
-    return _best(request_vectors, unit_vectors, k, key, largest_k(request_vectors, k), words)
+    """Top-k by TF-IDF cosine, of `encode.tfidf_requests` over `encode.tfidf_rows`.
+
+    Products of unit vectors add up to the cosine. All weights are positive, so a
+    sum of 0 means no common word. Requests whose words fit are sent to all tasks,
+    and no pair leaves a task unless it may be a hit; more are joined on the word.
+    """
+    key = list(key)
+    asked, needs = _sides(request_vectors, key)
+    size, limit = measure(asked), largest_k(request_vectors, k)
+    pair = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))
+    rows = unit_vectors.select(*needs, pair.alias("terms"))
+    small = size.within(words.rows, words.bytes)
+    scored = _in_tasks(asked, rows, key, limit, None, size) if small else _by_join(asked, rows, key, size)
+    return rank_hits(scored, key, k, limit)
 
 
 def bm25_search(
@@ -143,14 +176,21 @@ def bm25_search(
 ) -> DataFrame:
     """Top-k by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated word of a request counts again.
 
-    Needs no weights of the other words of a unit, so the text is not shuffled at all.
+    Needs no weights of the other words of a unit, so the text is not shuffled at
+    all while the requests are few enough to be sent to the tasks.
     """
+    key = list(key)
     n = F.lit(stats.n_units)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = request_terms(requests, stats).withColumn("weight", F.col("tf") * idf)
+    asked, needs = _sides(request_terms(requests, stats).withColumn("weight", F.col("tf") * idf), key)
+    size, limit = measure(asked), largest_k(requests, k)
     mean = stats.n_words / stats.n_units if stats.n_units else 1.0
+    if size.within(words.rows, words.bytes):
+        said = units.select(*needs, text_words(F.coalesce("text", F.lit(""))).alias("words"))
+        return rank_hits(_in_tasks(asked, said, key, limit, (k1, b, mean), size), key, k, limit)
     length = F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x)
     damping = k1 * (1 - b + b * length / F.lit(mean))
     weight = lambda t, d: F.struct(t["term"].alias("term"), (t["tf"] * (k1 + 1) / (t["tf"] + d)).alias("weight"))
-    rows = bags(units).withColumn("terms", let(damping, lambda d: F.transform("terms", lambda t: weight(t, d))))
-    return _best(asked, rows, k, key, largest_k(requests, k), words)
+    weights = let(damping, lambda d: F.transform("terms", lambda t: weight(t, d)))
+    rows = bags(units).withColumn("terms", weights).select(*needs, "terms")
+    return rank_hits(_by_join(asked, rows, key, size), key, k, limit)

@@ -18,12 +18,14 @@ def lexical_hits(requests: DataFrame, units: DataFrame, k: int) -> DataFrame:
     return term_search(tfidf_requests(requests, stats), tfidf_rows(units, stats), k)
 
 
-def meaning_hits(requests: DataFrame, units: DataFrame, k: int, dim: int = 64, min_count: int = 5) -> DataFrame:
-    """Word2Vec hits of text requests over units, with word vectors trained on those units."""
-    model = train_word2vec(units, dim=dim, min_count=min_count)
+def meaning_hits(
+    requests: DataFrame, utterances: DataFrame, units: DataFrame, k: int, dim: int = 64, min_count: int = 5
+) -> DataFrame:
+    """Word2Vec hits of text requests over units, with word vectors trained on the utterances they are cut from."""
+    model = train_word2vec(utterances, dim=dim, min_count=min_count, order_by=UTTERANCE_KEY)
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
-    asked = word2vec_vectors(requests.select("req_id", *filters, "text"), model)
-    return semantic_search(asked, word2vec_vectors(units, model), k)
+    asked = word2vec_vectors(requests.select("req_id", *filters, "text"), model).select("req_id", *filters, "vec")
+    return semantic_search(materialise(asked, "requests"), word2vec_vectors(units, model), k)
 
 
 def utterance_hits(hits: DataFrame) -> DataFrame:

@@ -175,22 +175,25 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word2vec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = materialise(chunks(spark, sf_dir), "chunks")
-    return encode.word2vec_vectors(units, encode.train_word2vec(units))
+    """Trained on utterances, which hold each word once, and applied to chunks."""
+    model = encode.train_word2vec(spread(utterances(spark, sf_dir)), order_by=UTTERANCE_KEY)
+    return encode.word2vec_vectors(chunks(spark, sf_dir), model)
 
 
-def load_letter_model():
-    """A model of the user's own, for trying `encode`: how often each letter occurs."""
-    letters = LETTERS
+def letter_model(letters: str):
+    """A model of the user's own, for trying `encode`: how often each letter occurs in a text."""
 
-    def model(texts: list[str]) -> np.ndarray:
-        return np.array([[text.lower().count(letter) for letter in letters] for text in texts], dtype=np.float32)
+    def load():
+        def model(texts: list[str]) -> np.ndarray:
+            return np.array([[text.lower().count(letter) for letter in letters] for text in texts], dtype=np.float32)
 
-    return model
+        return model
+
+    return load
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(encode.encode(chunks(spark, sf_dir), load_letter_model, len(LETTERS), "letters"))
+    return _long(encode.encode(chunks(spark, sf_dir), letter_model(LETTERS), len(LETTERS), "letters"))
 
 
 # --- retrieval -----------------------------------------------------------------------
@@ -231,8 +234,8 @@ def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word2vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each request the 3 passages closest in meaning, with speaker and text."""
-    units = materialise(chunks(spark, sf_dir), "chunks")
-    hits = answer.meaning_hits(requests(spark, sf_dir), units, 3)
+    units = chunks(spark, sf_dir)
+    hits = answer.meaning_hits(requests(spark, sf_dir), spread(utterances(spark, sf_dir)), units, 3)
     return answer.with_text(materialise(hits, "hits"), units)
 
 
