@@ -19,14 +19,15 @@ def current(log: DataFrame) -> DataFrame:
     return log.groupBy(*UTTERANCE_KEY).agg(latest.alias("_v")).select(*UTTERANCE_KEY, "_v.role", "_v.text")
 
 
-def by_utterance(units: DataFrame) -> DataFrame:
+def by_utterance(units: DataFrame, parts: int | None = None) -> DataFrame:
     """Partition by (conv_id, turn), the finest key that keeps all parts of a text together.
 
     Sums per utterance or chunk need no further shuffle, and no meeting, however
-    long, is one partition. The number is fixed because what follows multiplies the
-    rows: adaptive execution would merge partitions by their size before that.
+    long, is one partition. The number is fixed, to spark.sql.shuffle.partitions if
+    not given, because what follows multiplies the rows: adaptive execution would
+    merge partitions by their size before that.
     """
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return units.repartition(parts, *UTTERANCE_KEY)
 
 

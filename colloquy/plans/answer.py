@@ -46,6 +46,11 @@ def contexts(requests: DataFrame, utterances: DataFrame, units: DataFrame, k: in
     return assemble_context(hits, passages, max_chars, key=UTTERANCE_KEY)
 
 
+def utterances_hit(hits: DataFrame, utterances: DataFrame) -> DataFrame:
+    """The utterances hits lie in, so that only these are cut into chunks again. `hits` should be a written table."""
+    return join_small(utterances, hits.select(*UTTERANCE_KEY).distinct(), UTTERANCE_KEY, spread_by=["text"], how="left_semi")
+
+
 def with_text(hits: DataFrame, units: DataFrame) -> DataFrame:
     """Hits with the speaker and the text of the unit. `hits` should be a written table."""
     texts = units.select(*CHUNK_KEY, "role", "text")

@@ -234,9 +234,10 @@ def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word2vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each request the 3 passages closest in meaning, with speaker and text."""
-    units = chunks(spark, sf_dir)
-    hits = answer.meaning_hits(requests(spark, sf_dir), spread(utterances(spark, sf_dir)), units, 3)
-    return answer.with_text(materialise(hits, "hits"), units)
+    rows = utterances(spark, sf_dir)
+    hits = answer.meaning_hits(requests(spark, sf_dir), spread(rows), chunks(spark, sf_dir), 3)
+    hits = materialise(hits, "hits")
+    return answer.with_text(hits, prepare.chunk(answer.utterances_hit(hits, rows)))
 
 
 # --- context -------------------------------------------------------------------------
@@ -254,8 +255,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = chunks(spark, sf_dir)
-    hits = materialise(answer.lexical_hits(requests(spark, sf_dir), units, K), "hits")
+    hits = materialise(answer.lexical_hits(requests(spark, sf_dir), chunks(spark, sf_dir), K), "hits")
+    units = prepare.chunk(answer.utterances_hit(hits, utterances(spark, sf_dir)))
     return context.assemble_context(hits, units, 600)
 
 
