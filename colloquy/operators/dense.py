@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.functions.vectors import nonzero
 from colloquy.operators import inside
+from colloquy.operators.blocks import block_by_block, hit_schema, to_all_tasks
 from colloquy.operators.joins import join_small
 from colloquy.operators.ranking import admitted, largest_k, rank_hits
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
@@ -125,39 +125,6 @@ def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int,
     return read, search
 
 
-def _scan(requests: DataFrame, store: DataFrame, read, search, hit_schema: T.StructType) -> DataFrame:
-    """Send the requests to every task; the store is read once, where it lies."""
-    shared = store.sparkSession.sparkContext.broadcast(requests.toArrow())
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = search(read(shared.value), batches)
-        if found is not None:
-            yield found
-
-    return store.mapInArrow(scan, hit_schema)
-
-
-def _block_by_block(requests: DataFrame, store: DataFrame, read, search, hit_schema, key, sizes: tuple[int, int]) -> DataFrame:
-    """Cut both sides into blocks by a hash of their keys; each pair of blocks meets in a task of its own."""
-    n_r, n_s = max(1, sizes[0]), max(1, sizes[1])
-    block = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = requests.withColumns({"_i": block(["req_id"], n_r), "_j": every(n_s)})
-    right = store.withColumns({"_i": every(n_r), "_j": block(key, n_s)})
-    arrow_schema = to_arrow_schema(hit_schema)
-
-    def meet(asked: pa.Table, units: pa.Table) -> pa.Table:
-        found = search(read(asked), iter(units.to_batches(max_chunksize=10_000))) if asked.num_rows else None
-        return arrow_schema.empty_table() if found is None else pa.Table.from_batches([found])
-
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, hit_schema)
-
-
-def _hit_schema(requests: DataFrame, vectors: DataFrame, key: Sequence[str]) -> T.StructType:
-    kinds = [("req_id", requests.schema["req_id"].dataType), *[(c, vectors.schema[c].dataType) for c in key]]
-    return T.StructType([T.StructField(*kind) for kind in [*kinds, ("score", T.DoubleType())]])
-
-
 def _needed(requests: DataFrame, vectors: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
     roles = ["role"] if "roles" in filters and "role" not in key else []
@@ -181,17 +148,17 @@ def semantic_search(
     `requests` are read more than once: pass a written table.
     """
     key = list(key)
-    schema = _hit_schema(requests, vectors, key)
+    schema = hit_schema(requests, vectors, key)
     requests, store, filters = _needed(requests, vectors, key)
     size, sample, limit = measure(requests), requests.first(), largest_k(requests, k)
     if sample is None:
         return rank_hits(requests.sparkSession.createDataFrame([], schema), key, k)
     read, search = _searcher(key, filters, len(sample["vec"]), limit, None)
     if size.within(matrix.rows, matrix.bytes):
-        hits = _scan(requests, store, read, search, schema)
+        hits = to_all_tasks(requests, store, read, search, schema)
     else:
-        sizes = -(-size.rows // request_block), -(-store.count() // store_block)
-        hits = _block_by_block(requests, store, read, search, schema, key, sizes)
+        blocks = -(-size.rows // request_block), -(-store.count() // store_block)
+        hits = block_by_block(requests, store, read, search, schema, key, blocks)
     if "k" in filters:
         hits = join_small(hits, requests.select("req_id", "k"), ["req_id"], spread_by=key, size=size)
     return rank_hits(hits, key, k, limit)
@@ -240,12 +207,12 @@ def lsh_search(
     collides, so none comes up twice.
     """
     key = list(key)
-    schema = _hit_schema(requests, vectors, key)
+    schema = hit_schema(requests, vectors, key)
     requests, store, filters = _needed(requests, vectors, key)
     size, limit = measure(requests), largest_k(requests, k)
     if size.within(matrix.rows, matrix.bytes):
         read, search = _searcher(key, filters, dim, limit, (tables, bits))
-        hits = _scan(requests, store, read, search, schema)
+        hits = to_all_tasks(requests, store, read, search, schema)
         if "k" in filters:
             hits = join_small(hits, requests.select("req_id", "k"), ["req_id"], spread_by=key, size=size)
         return rank_hits(hits, key, k, limit)

@@ -10,20 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from colloquy.functions.text import let
 from colloquy.functions.text import words as text_words
 from colloquy.operators import inside
+from colloquy.operators.blocks import block_by_block, hit_schema, to_all_tasks
 from colloquy.operators.encode import CorpusStats, request_terms
 from colloquy.operators.joins import join_small
-from colloquy.operators.prepare import bags
-from colloquy.operators.ranking import admitted, largest_k, rank_hits
+from colloquy.operators.ranking import largest_k, rank_hits
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import Size, measure
 
 # Words of requests measured to be within these bounds are sent to every task.
 WORDS = Size(rows=500_000, bytes=64 * 1024 * 1024)
+UNIT_BLOCK = 100_000  # units per block, where requests are more than that
 
 
 Bm25 = tuple[float, float, float]  # k1, b, and the mean number of words per unit
@@ -43,7 +42,8 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int, bm25: Bm25
     def read(table: pa.Table) -> dict:
         """Per word the requests that have it, and its weight in each."""
         ids, first, q = np.unique(values(table.column("req_id")), return_index=True, return_inverse=True)
-        word = table.column("term").combine_chunks().dictionary_encode()
+        word = table.column("term").combine_chunks()
+        word = (word.chunk(0) if isinstance(word, pa.ChunkedArray) else word).dictionary_encode()
         at = word.indices.to_numpy()
         order = np.argsort(at, kind="stable")
         begins = np.searchsorted(at[order], np.arange(len(word.dictionary) + 1))
@@ -109,34 +109,24 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int, bm25: Bm25
     return read, search
 
 
-def _in_tasks(asked: DataFrame, units: DataFrame, key: list[str], limit: int, bm25: Bm25 | None, size: Size) -> DataFrame:
-    """Send the words of the requests to all tasks, which add up batches of units and keep k hits per request."""
+def _best(
+    asked: DataFrame, units: DataFrame, k: int, key: list[str], bm25: Bm25 | None, words: Size, unit_block: int
+) -> DataFrame:
+    """Send requests whose words fit to all tasks; cut more than that into blocks of half as many."""
     filters = [c for c in REQUEST_FILTERS if c in asked.columns]
+    size, limit = measure(asked), largest_k(asked, k)
     read, search = _searcher(key, filters, limit, bm25)
-    shared = units.sparkSession.sparkContext.broadcast(asked.toArrow())
-    kinds = [("req_id", asked.schema["req_id"].dataType), *[(c, units.schema[c].dataType) for c in key]]
-    schema = T.StructType([T.StructField(*kind) for kind in [*kinds, ("score", T.DoubleType())]])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = search(read(shared.value), batches)
-        if found is not None:
-            yield found
-
-    scored = units.mapInArrow(scan, schema)
+    schema = hit_schema(asked, units, key)
+    if size.within(words.rows, words.bytes):
+        scored = to_all_tasks(asked, units, read, search, schema)
+    else:
+        parts = max(-(-size.rows * 2 // max(1, words.rows)), -(-size.bytes * 2 // max(1, words.bytes)))
+        blocks = parts, -(-units.count() // unit_block)
+        scored = block_by_block(asked, units, read, search, schema, key, blocks)
     if "k" in filters:
         own = asked.groupBy("req_id").agg(F.max("k").alias("k"))
         scored = join_small(scored, own, ["req_id"], spread_by=key, size=size)
-    return scored
-
-
-def _by_join(asked: DataFrame, rows: DataFrame, key: list[str], size: Size) -> DataFrame:
-    """Join both sides on the word, with a salt against words that are everywhere, and add up."""
-    filters = [c for c in REQUEST_FILTERS if c in asked.columns]
-    own = [F.max("k").alias("k")] if "k" in filters else []
-    kept = [c for c in rows.columns if c != "terms"]
-    postings = rows.select(*kept, F.inline("terms")).select(*kept, "term", F.col("weight").alias("_weight"))
-    pairs = join_small(postings, asked, ["term"], spread_by=key, size=size).filter(admitted(filters))
-    return pairs.groupBy("req_id", *key).agg(F.sum(F.col("_weight") * F.col("weight")).alias("score"), *own)
+    return rank_hits(scored, key, k, limit)
 
 
 def _sides(asked: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -146,22 +136,21 @@ def _sides(asked: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def term_search(
-    request_vectors: DataFrame, unit_vectors: DataFrame, k: int, key: Sequence[str] = CHUNK_KEY, words: Size = WORDS
+    request_vectors: DataFrame,
+    unit_vectors: DataFrame,
+    k: int,
+    key: Sequence[str] = CHUNK_KEY,
+    words: Size = WORDS,
+    unit_block: int = UNIT_BLOCK,
 ) -> DataFrame:
     """Top-k by TF-IDF cosine, of `encode.tfidf_requests` over `encode.tfidf_rows`.
 
     Products of unit vectors add up to the cosine. All weights are positive, so a
-    sum of 0 means no common word. Requests whose words fit are sent to all tasks,
-    and no pair leaves a task unless it may be a hit; more are joined on the word.
+    sum of 0 means no common word. No pair leaves a task unless it may be a hit.
     """
-    key = list(key)
     asked, needs = _sides(request_vectors, key)
-    size, limit = measure(asked), largest_k(request_vectors, k)
     pair = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))
-    rows = unit_vectors.select(*needs, pair.alias("terms"))
-    small = size.within(words.rows, words.bytes)
-    scored = _in_tasks(asked, rows, key, limit, None, size) if small else _by_join(asked, rows, key, size)
-    return rank_hits(scored, key, k, limit)
+    return _best(asked, unit_vectors.select(*needs, pair.alias("terms")), k, list(key), None, words, unit_block)
 
 
 def bm25_search(
@@ -173,24 +162,16 @@ def bm25_search(
     b: float = 0.75,
     key: Sequence[str] = CHUNK_KEY,
     words: Size = WORDS,
+    unit_block: int = UNIT_BLOCK,
 ) -> DataFrame:
     """Top-k by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated word of a request counts again.
 
     Needs no weights of the other words of a unit, so the text is not shuffled at
     all while the requests are few enough to be sent to the tasks.
     """
-    key = list(key)
     n = F.lit(stats.n_units)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked, needs = _sides(request_terms(requests, stats).withColumn("weight", F.col("tf") * idf), key)
-    size, limit = measure(asked), largest_k(requests, k)
     mean = stats.n_words / stats.n_units if stats.n_units else 1.0
-    if size.within(words.rows, words.bytes):
-        said = units.select(*needs, text_words(F.coalesce("text", F.lit(""))).alias("words"))
-        return rank_hits(_in_tasks(asked, said, key, limit, (k1, b, mean), size), key, k, limit)
-    length = F.aggregate("terms.tf", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    damping = k1 * (1 - b + b * length / F.lit(mean))
-    weight = lambda t, d: F.struct(t["term"].alias("term"), (t["tf"] * (k1 + 1) / (t["tf"] + d)).alias("weight"))
-    weights = let(damping, lambda d: F.transform("terms", lambda t: weight(t, d)))
-    rows = bags(units).withColumn("terms", weights).select(*needs, "terms")
-    return rank_hits(_by_join(asked, rows, key, size), key, k, limit)
+    said = units.select(*needs, text_words(F.coalesce("text", F.lit(""))).alias("words"))
+    return _best(asked, said, k, list(key), (k1, b, mean), words, unit_block)

@@ -160,13 +160,13 @@ def by_request(hits):
     return out
 
 
-@pytest.fixture(params=["matrix", "broadcast", "salted"])
+@pytest.fixture(params=["matrix", "blocks", "salted"])
 def words_path(request, monkeypatch):
     if request.param == "salted":
         original = joins.join_small
         for module in (encode, sparse):
             monkeypatch.setattr(module, "join_small", lambda *a, **kw: original(*a, **{**kw, "max_rows": 0}))
-    return {} if request.param == "matrix" else {"words": TINY}
+    return {} if request.param == "matrix" else {"words": Size(rows=4, bytes=10**6), "unit_block": 30}
 
 
 def test_term_search_equals_plain_python(spark, units, questions, words_path):
