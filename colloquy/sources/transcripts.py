@@ -56,29 +56,28 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.select(parsed.alias("_r"), *rest).select("_r.*", *rest)
 
 
-def is_corrupt() -> Column:
-    return F.col(CORRUPT).isNotNull()
-
-
-def is_keyless() -> Column:
-    return ~is_corrupt() & (F.col("conv_id").isNull() | F.col("turn").isNull())
+def _faults(log: DataFrame) -> tuple[Column, Column]:
+    """Whether a record is unparseable, and whether it was parsed but lacks its key. Parquet has no unparseable ones."""
+    corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in log.columns else F.lit(False)
+    return corrupt, ~corrupt & (F.col("conv_id").isNull() | F.col("turn").isNull())
 
 
 def quarantine(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a stored log into usable records and the rest. Every record is in exactly one part."""
-    bad = is_corrupt() | is_keyless()
-    return log.filter(~bad).drop(CORRUPT), log.filter(bad)
+    corrupt, keyless = _faults(log)
+    return log.filter(~(corrupt | keyless)).drop(CORRUPT), log.filter(corrupt | keyless)
 
 
 def quarantine_counts(log: DataFrame) -> DataFrame:
     """One row: how many records are usable, unparseable, without a key, or without text."""
-    bad = is_corrupt() | is_keyless()
+    corrupt, keyless = _faults(log)
+    good = ~(corrupt | keyless)
     return log.agg(
         F.count(F.lit(1)).alias("n_records"),
-        F.count_if(~bad).alias("n_good"),
-        F.count_if(is_corrupt()).alias("n_corrupt"),
-        F.count_if(is_keyless()).alias("n_keyless"),
-        F.count_if(~bad & F.col("text").isNull()).alias("n_no_text"),
+        F.count_if(good).alias("n_good"),
+        F.count_if(corrupt).alias("n_corrupt"),
+        F.count_if(keyless).alias("n_keyless"),
+        F.count_if(good & F.col("text").isNull()).alias("n_no_text"),
     )
 
 

@@ -18,7 +18,7 @@ def ingest_stream(
     max_files_per_trigger: int | None = None,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Append the files under `source` that the checkpoint has not seen to the log.
+    """Append the files in the folder `source` that the checkpoint has not seen to the log.
 
     Without `interval` it takes what is there and ends; with one ("1 minute") it
     keeps running. Nothing is dropped here: a corrected transcript is a later

@@ -85,6 +85,25 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert streamed.exceptAll(batch).count() == batch.exceptAll(streamed).count() == 0
 
 
+def test_parquet_exports_stream_too(spark, tmp_path):
+    exports = str(tmp_path / "in")
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(3).write.parquet(exports)
+    ingest_stream(spark, exports, str(tmp_path / "log"), str(tmp_path / "offsets"), format="parquet", buckets=4)
+    columns = ["conv_id", "turn", "role", "text"]
+    streamed = read_log(spark, str(tmp_path / "log")).select(columns)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, spark.read.parquet(exports).select(columns).collect()))
+
+
+def test_parquet_has_no_corrupt_records_but_may_lack_keys(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (None, 1, "user", "b"), (1, None, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "p"))
+    for origin in (True, False):
+        read = read_transcripts(spark, str(tmp_path / "p"), origin=origin)
+        good, bad = quarantine(read)
+        assert [r["text"] for r in good.collect()] == ["a"] and bad.count() == 2
+        assert quarantine_counts(read).first().asDict() == {"n_records": 3, "n_good": 1, "n_corrupt": 0, "n_keyless": 2, "n_no_text": 0}
+
+
 def test_corrected_turn_replaces_the_old_one(spark, tmp_path):
     source = tmp_path / "in"
     land(source, "b.json", [turn(1, 0, "old"), turn(1, 1, "kept")], mtime=1_700_000_000)
