@@ -28,6 +28,10 @@ from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measu
 
 # --- corpus statistics ---------------------------------------------------------------
 
+# How finely a corpus is cut for work on its terms: tasks of about this many words,
+# but no more of them than a shuffle can keep track of.
+WORDS_PER_TASK = 5_000_000
+MOST_TASKS = 100_000
 
 @dataclass(frozen=True)
 class CorpusStats:
@@ -37,6 +41,11 @@ class CorpusStats:
     n_units: int
     n_words: int
 
+    def tasks(self) -> int:
+        """Partitions for work on all terms of the corpus: by its size, and at least one per core."""
+        cores = self.table.sparkSession.sparkContext.defaultParallelism
+        return max(cores, min(MOST_TASKS, -(-self.n_words // WORDS_PER_TASK)))
+
 
 def corpus_stats(units: DataFrame) -> CorpusStats:
     """Count in one pass over the text and keep the counts as a written table.
@@ -75,7 +84,7 @@ def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_
     while they are one row each, which leaves little to do for the sort of their terms.
     """
     rest = [c for c in units.columns if c != "text"]
-    in_order = by_utterance(units).sortWithinPartitions(*key)
+    in_order = by_utterance(units, stats.tasks()).sortWithinPartitions(*key)
     weighted = join_small(terms(in_order), stats.table, ["term"], spread_by=key)
     rows = weighted.withColumn("weight", _tfidf_weight(stats.n_units)).groupBy(*key, *[c for c in rest if c not in key]).agg(
         F.collect_list(F.struct("term", "tf", "weight")).alias("terms"),

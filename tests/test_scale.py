@@ -46,6 +46,15 @@ def test_hot_meeting_is_spread_over_partitions(skewed):
     assert max(r["count"] for r in parts) < 2 * 3000 / 8
 
 
+def test_partitions_follow_the_number_of_words(spark, skewed, monkeypatch):
+    stats = encode.corpus_stats(prepare.chunk(skewed))
+    assert stats.tasks() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(encode, "WORDS_PER_TASK", 1000)
+    assert stats.tasks() == -(-stats.n_words // 1000) > 8
+    monkeypatch.setattr(encode, "MOST_TASKS", 20)
+    assert stats.tasks() == 20
+
+
 def test_no_shuffle_in_dense_encoders(spark, skewed):
     units = prepare.chunk(skewed)
     assert "Exchange" not in plan(encode.hash_vectors(units.drop("role"))).split("InMemoryRelation")[0]
