@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.ship import ship
 from colloquy.session import materialise
 
 # The pieces into which the byte-level vocabulary cuts a text, and white space as Unicode has it.
@@ -142,6 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int, end: int, keep_ids: bool
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, _n long, _task long"
     return docs.select("doc_id", "text").mapInArrow(cut, schema + (", ids array<long>" if keep_ids else ""))

@@ -8,18 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, token_counts
+from colloquy.llm import kd_search, packing, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), room=1024, end=2)
@@ -27,8 +35,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op3_warc, op7_token_counts, op8_top_k_search, op9_packing)}
+
+
+#: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
+_BASE32 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT hex, payload_bytes, max(page_id) AS first_id, count(*) AS copies FROM p GROUP BY hex, payload_bytes),
+d AS (SELECT p.*, CASE WHEN g.copies > 1 AND g.first_id IS NOT NULL AND (p.page_id IS NULL OR p.page_id < g.first_id) THEN g.first_id END AS refers_to
+      FROM p JOIN g USING (hex, payload_bytes))
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+    (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM d
+"""
+
+_TOP_K = """
+WITH e AS (
+  SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON len(q.v) = len(c.v) AND c.id IS DISTINCT FROM q.id WHERE q.id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op3_warc": _BASE32, "op8_top_k_search": _TOP_K}

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.ship import ship
+
 CACHE = 600_000  # counted parts kept per task, each of at most LONGEST characters
 LONGEST = 48
 SPACE = "▁"
@@ -126,6 +128,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int, key: str = "doc_id", t
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64())], names=[key, "n_bytes", "n_tokens"]
             )
 
+    ship(docs.sparkSession)
     slim = docs.select(
         F.col(f"`{key}`").alias(key),
         F.col(f"`{text}`").alias("_text"),
