@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import kd_search, packing, token_counts, warc
+from colloquy.llm import kd_search, packing, quality, token_counts, warc
+from colloquy.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata are languages; at most 5 % of the good documents of each are rejected by its cutoff, with 95 % confidence for all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = materialise(quality.features(docs.select("doc_id", "lang", "text")).drop("text"), "quality-features")
+    thresholds = quality.learn(scored, labels, "lang", risk=0.05, doubt=0.05)
+    return quality.judge(scored, thresholds, "lang").drop("lang")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
@@ -35,7 +44,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op7_token_counts, op8_top_k_search, op9_packing)}
+    return {f.__name__: f for f in (op3_warc, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing)}
 
 
 #: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
