@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import kd_search, packing, quality, token_counts, warc
+from colloquy.llm import chat, kd_search, mixing, packing, quality, token_counts, warc
 from colloquy.session import materialise
 
 
@@ -20,6 +20,31 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests need a whole conversation in one row; the operator's windows do not."""
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = materialise(chat.windows(rows, budget=2048, history=256), "chat")
+    told = chat.read_back(made).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"),
+        F.sum("chars").cast("long").alias("formatted_chars"),
+    )
+    turns = F.flatten(F.transform("w", lambda w: w["turns"]))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.flatten(F.transform("w", lambda w: w["targets"])), "")
+    return told.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, weights=(3, 1, 2), share=1.5, cap=2)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strata are languages; at most 5 % of the good documents of each are rejected by its cutoff, with 95 % confidence for all."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -44,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing)}
+    return {f.__name__: f for f in (op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing)}
 
 
 #: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
@@ -73,5 +98,66 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+_CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, '<s>[INST] ' || regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g') || ' [/INST] '
+  || regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g') || '</s>' AS form FROM c),
+t AS (SELECT *, ((octet_length(encode(form)) + 3) // 4)::BIGINT AS tokens FROM f),
+r AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT conv_id, tokens AS system_tokens, length(form) AS system_chars FROM r WHERE n = 0 AND role = 'system'),
+h AS (SELECT r.*, system_tokens, system_chars, greatest(2, 2048 - coalesce(system_tokens, 0) - 256) // 2 AS half
+  FROM r LEFT JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+b AS (SELECT *, tokens > half AS alone, (begin + tokens - 1) // half AS slice FROM h),
+d AS (SELECT *, 2 * sum(alone::INT) OVER (PARTITION BY conv_id, slice ORDER BY n ROWS UNBOUNDED PRECEDING) - alone::INT AS side FROM b),
+spans AS (SELECT conv_id, slice, side, min(n) AS first_n, min(begin) AS first_begin, bool_or(alone) AS alone,
+  sum(length(form)) + CASE WHEN min(n) > 0 THEN coalesce(any_value(system_chars), 0) ELSE 0 END AS chars FROM d GROUP BY conv_id, slice, side),
+told AS (SELECT p.conv_id, p.first_n, sum(length(d.form)) AS chars FROM spans p JOIN d ON p.conv_id IS NOT DISTINCT FROM d.conv_id
+  AND NOT p.alone AND d.n < p.first_n AND p.first_begin - d.begin <= 256 AND NOT (d.n = 0 AND d.system_chars IS NOT NULL) GROUP BY ALL),
+z AS (SELECT spans.conv_id, sum(spans.chars + coalesce(told.chars, 0))::BIGINT AS formatted_chars
+  FROM spans LEFT JOIN told ON spans.conv_id IS NOT DISTINCT FROM told.conv_id AND spans.first_n = told.first_n GROUP BY spans.conv_id),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss FROM r GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM g JOIN z ON g.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5(concat_ws(chr(31), 'mix', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+l AS (SELECT *, CASE WHEN size >= 4096 THEN 0.9::DOUBLE WHEN size >= 32 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS liking FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM l GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS tie, [3.0, 1.0, 2.0][((tie) % 3 + 1)::INT]::DOUBLE AS weight,
+  (2 * source_size) AS lim, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS total FROM s),
+o AS (SELECT *, lim::DOUBLE / weight AS ratio,
+  (total - coalesce(sum(lim) OVER (ORDER BY lim::DOUBLE / weight, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+  / sum(weight) OVER (ORDER BY lim::DOUBLE / weight, tie ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(lim::DOUBLE, coalesce((SELECT arg_min(level, (ratio, tie)) FROM o WHERE ratio > level) * weight, lim::DOUBLE)) AS target FROM o),
+k AS (SELECT source, liking, sum(size)::BIGINT AS size FROM l GROUP BY source, liking),
+kt AS (SELECT k.*, t.target, liking * size AS weight, 2 * size AS lim FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+ko AS (SELECT *, CASE WHEN weight > 0 THEN lim::DOUBLE / weight END AS ratio,
+  (target - coalesce(sum(lim) OVER (PARTITION BY source ORDER BY CASE WHEN weight > 0 THEN lim::DOUBLE / weight END NULLS FIRST, liking ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+  / nullif(sum(weight) OVER (PARTITION BY source ORDER BY CASE WHEN weight > 0 THEN lim::DOUBLE / weight END NULLS FIRST, liking ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM kt),
+kl AS (SELECT source, arg_min(level, (ratio, liking)) AS level FROM ko WHERE ratio > level GROUP BY source),
+km AS (SELECT ko.*, least(2.0::DOUBLE, CASE WHEN size > 0 THEN least(lim::DOUBLE, coalesce(kl.level * weight, lim::DOUBLE)) / size ELSE 0 END) AS m
+  FROM ko LEFT JOIN kl ON ko.source IS NOT DISTINCT FROM kl.source),
+kp AS (SELECT *, floor(m + 1e-12::DOUBLE)::BIGINT AS sure, greatest(0.0::DOUBLE, m - floor(m + 1e-12::DOUBLE)) AS p FROM km),
+rest AS (SELECT source, any_value(target) - sum(sure * size) AS rest FROM kp GROUP BY source),
+q AS (SELECT l.*, t.source_size, t.target, kp.sure, rest.rest,
+    CASE WHEN kp.p > 1e-12::DOUBLE AND l.size > 0 THEN (l.u / (1 - l.u)) / (kp.p / (1 - kp.p)) END AS q
+  FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source JOIN kp ON l.source IS NOT DISTINCT FROM kp.source AND l.liking = kp.liking
+  JOIN rest ON l.source IS NOT DISTINCT FROM rest.source),
+c AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, size, u ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+SELECT doc_id, size, source_size, target,
+  (size * (sure + CASE WHEN q IS NOT NULL AND upto - size < rest AND upto - rest <= rest - upto + size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_warc": _BASE32, "op8_top_k_search": _TOP_K}
+    return {"op3_warc": _BASE32, "op4_chat_windows": _CHAT, "op5_mixing": _MIX, "op8_top_k_search": _TOP_K}
