@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, kd_search, mixing, packing, quality, token_counts, warc
+from colloquy.llm import chat, kd_search, mixing, packing, quality, token_counts, toxicity, warc
 from colloquy.session import materialise
 
 
@@ -68,8 +68,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, room=1024)
 
 
+def crc_mod(column: str, n: int):
+    """crc32 of an id written as text, modulo n: the folds of the held-out queries."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, learn_from=crc_mod("doc_id", 4) != 2)
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held_out, "text"), model, limit=0.3).drop("text")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing)}
+    return {f.__name__: f for f in (op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity)}
 
 
 #: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
