@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, kd_search, mixing, packing, quality, token_counts, toxicity, warc
+from colloquy.llm import chat, kd_search, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from colloquy.session import materialise
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
 
@@ -81,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity)}
 
 
 #: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
