@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, kd_search, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from colloquy.llm import chat, kd_search, lm_score, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from colloquy.session import materialise
 
 
@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_mod(column: str, n: int):
+    """crc32 of an id written as text, modulo n: the folds of the held-out queries."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
+    model, words = lm_score.train(docs.where(~held_out))
+    return lm_score.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, words)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -72,11 +84,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, room=1024)
 
 
-def crc_mod(column: str, n: int):
-    """crc32 of an id written as text, modulo n: the folds of the held-out queries."""
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, learn_from=crc_mod("doc_id", 4) != 2)
@@ -85,7 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity)}
 
 
 #: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
