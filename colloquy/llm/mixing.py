@@ -17,7 +17,8 @@ sizes are added up per (source, bin), and only the bin with the edge is cut agai
 Results in special cases: a null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 take nothing and their source, if all are such, has target 0.
 Repeated rows (equal doc_id and text) have equal ranks and are taken or left together. An
-empty table gives an empty result. Other columns are kept. Reruns agree, since u depends on doc_id, text and seed alone.
+empty table gives an empty result. Other columns are kept, but columns named as the
+results are replaced. Reruns agree, since u depends on doc_id, text and seed alone.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Results in special cases: a null or empty text has no words and fails the base r
 null stratum is a stratum of its own; a document with several labels counts as good if all
 of them are 1, labels that are null, or of no document, count nowhere, and repeated rows
 of a labelled document count each. Empty tables of labels or documents give no cutoffs.
-Other columns are kept.
+Other columns are kept, but
+columns named as the results (ADDED) are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measure
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "badness", "kept")
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -97,7 +99,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.array_distinct(words)).cast("long").alias("d"),
         )
 
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ADDED]
     counted = docs.select(
         *[F.col(f"`{c}`") for c in own],
         let(words_of(t), counts).alias("_w"),

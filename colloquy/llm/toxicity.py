@@ -15,7 +15,7 @@ Results in special cases: a null or empty text has no hits and gets the score of
 without hits; null doc_ids are scored but never learnt from; a document with several labels
 is toxic if one says so; labels that are null are left out. Without labels of both kinds
 the score is the smoothed share of toxic labels, for every text. Repeated rows are scored
-each. Other columns are kept.
+each. Other columns are kept, but columns named score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -298,12 +298,9 @@ def score(docs: DataFrame, model: Model, limit: float) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            values = [model.score(t.as_py() or "") for t in texts]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            values = [model.score(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
 
-    slim = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").alias("_scored"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own)
-    out = slim.mapInArrow(scored, f"{kinds}, score double")
+    out = docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(scored, f"{kinds}, score double")
     return out.withColumn("predicted", (F.col("score") >= limit).cast("int"))

@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences, stage by stage.
 
-STAGES holds (name, function); each function takes (spark, docs, sf_dir). `run` writes the
-rows of every stage as Parquet in the shared folder and reads them again for the next.
+STAGES holds (name, function); each function takes (spark, docs, sf_dir), works on all rows of
+`docs` and, but for the last, returns the columns of `docs`. `run` writes the rows of every
+stage as Parquet in the shared folder and reads them again for the next.
+
+Columns of `docs` other than those a stage reads are carried along under names of their own, so
+they cannot clash with what an operator adds. Rows without a doc_id stay; empty tables pass.
 """
 
 from __future__ import annotations
@@ -10,11 +14,59 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import packing
+from colloquy.llm import mixing, near_dedup, packing, quality, toxicity
 from colloquy.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """The columns that stages read keep their names, all others get numbers."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"_own{i}") for i, c in enumerate(docs.columns)])
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c if c in READ else f"_own{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10, fitted on the labelled documents: those predicted toxic go."""
+    model = toxicity.fit(docs, _labels(spark, sf_dir))
+    return _back(toxicity.score(_apart(docs), model, limit=0.3).where("predicted = 0"), docs)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the base rules or their language's cutoff reject go."""
+    scored = quality.features(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "base_failed", "badness")
+    scored = materialise(scored, "quality-features")
+    thresholds = quality.learn(scored, _labels(spark, sf_dir), "lang", risk=0.05, doubt=0.05)
+    return _back(quality.judge(quality.features(_apart(docs)), thresholds, "lang").where("kept"), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of documents that are similar by 0.8 or more over shingles of five words, the smallest doc_id stays.
+
+    A row without doc_id is known by a negative hash of its text. Rows of one doc_id with equal texts are one.
+    """
+    stand_in = -1 - F.shiftrightunsigned(F.xxhash64("text"), 1)
+    keyed = _apart(docs).withColumn("_key", F.coalesce(F.col("doc_id"), stand_in))
+    found = near_dedup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent=80)
+    kept = found.where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    rows = keyed.join(kept, "_key", "left_semi")
+    return _back(rows.dropDuplicates(["_key", "text"]), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: every document as often as the mix takes it."""
+    mixed = mixing.mix(_apart(docs), weights=(3, 1, 2), share=1.5, cap=2).where("copies > 0")
+    return _back(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +75,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(cut, room=1024)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
-#: Learnt thresholds, sketches and tokenizers cannot be stated in SQL; tests/llm compares with brute force.
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_quality),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: Learnt lexicons and thresholds, sketches and token pieces cannot be stated in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
