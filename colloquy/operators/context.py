@@ -45,7 +45,8 @@ def meeting_details(utterances: DataFrame, speaker: str = "user") -> DataFrame:
 def neighbours(utterances: DataFrame, r: int = 1, span: int = SPAN) -> DataFrame:
     """Each utterance with up to `r` before it and `r` after it, as arrays in turn order.
 
-    (conv_id, turn) must be unique, as `current` makes it. While no meeting has more
+    (conv_id, turn) must be unique, as `current` makes it; rows without a turn come
+    first, by role and text, and rows without a meeting form one meeting. While no meeting has more
     than `span` utterances, one window per meeting does. Otherwise meetings are cut
     into spans of turns, none of which can hold more than `span` rows, and the
     spans exchange their first and last `r` utterances.
@@ -53,7 +54,7 @@ def neighbours(utterances: DataFrame, r: int = 1, span: int = SPAN) -> DataFrame
     said = F.struct("turn", "role", "text")
     longest = utterances.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     if longest <= span:
-        order = Window.partitionBy("conv_id").orderBy("turn")
+        order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
         return utterances.select(
             "conv_id",
             "turn",
@@ -64,7 +65,7 @@ def neighbours(utterances: DataFrame, r: int = 1, span: int = SPAN) -> DataFrame
         )
 
     group = Window.partitionBy("conv_id", "_span")
-    order = group.orderBy("turn")
+    order = group.orderBy("turn", "role", "text")
     rows = utterances.withColumn("_span", F.floor(F.col("turn") / F.lit(span)).cast("long")).select(
         "conv_id",
         "_span",
@@ -92,7 +93,9 @@ def neighbours(utterances: DataFrame, r: int = 1, span: int = SPAN) -> DataFrame
         F.flatten(F.collect_list("_tail").over(along.rowsBetween(-r, -1))).alias("_earlier"),
         F.flatten(F.collect_list("_head").over(along.rowsBetween(1, r))).alias("_later"),
     )
-    joined = rows.join(outside, ["conv_id", "_span"])
+    # Rows without a meeting or a turn have a place too: the join must find NULL equal to NULL.
+    outside = outside.withColumnsRenamed({"conv_id": "_conv", "_span": "_place"})
+    joined = rows.join(outside, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_span").eqNullSafe(F.col("_place")))
     earlier = F.concat("_earlier", "_before")
     start = F.greatest(F.size(earlier) - r + 1, F.lit(1))
     return joined.select(

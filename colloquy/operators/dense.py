@@ -18,7 +18,7 @@ from colloquy.functions.vectors import nonzero
 from colloquy.operators import inside
 from colloquy.operators.blocks import block_by_block, hit_schema, to_all_tasks
 from colloquy.operators.joins import join_small
-from colloquy.operators.ranking import admitted, largest_k, rank_hits
+from colloquy.operators.ranking import admitted, largest_k, rank_hits, restrict_to
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import Size, measure
 
@@ -139,16 +139,19 @@ def semantic_search(
     matrix: Size = MATRIX,
     store_block: int = STORE_BLOCK,
     request_block: int = REQUEST_BLOCK,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact cosine top-k for each request (req_id, vec, conditions) over `vectors` (key, role, vec).
 
     Requests within `matrix` go to all tasks, and only k rows per request and task
     are shuffled. More requests than that meet the vectors block by block: no block
     depends on how the data are distributed, and none is larger than asked for.
-    `requests` are read more than once: pass a written table.
+    `requests` are read more than once: pass a written table. Where all requests name
+    meetings or speakers, others are not read; `buckets` is the number of a bucketed store's.
     """
     key = list(key)
     schema = hit_schema(requests, vectors, key)
+    vectors = restrict_to(requests, vectors, buckets)
     requests, store, filters = _needed(requests, vectors, key)
     size, sample, limit = measure(requests), requests.first(), largest_k(requests, k)
     if sample is None:

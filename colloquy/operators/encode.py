@@ -1,7 +1,7 @@
 """Encoders: from text units to sparse (TF-IDF) or dense vectors.
 
-TF-IDF and feature hashing are lexical: they match words, not meaning. Word2Vec
-and a model passed to `encode` are the ones that go beyond shared words.
+TF-IDF and feature hashing are lexical: they match words, not meaning. Context
+vectors (operators.meaning) and a model passed to `encode` go beyond shared words.
 """
 
 from collections.abc import Callable, Iterator, Sequence
@@ -9,11 +9,8 @@ from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,17 +18,15 @@ from pyspark.sql import types as T
 from colloquy.functions.text import term_counts, words
 from colloquy.functions.vectors import checked, norm
 from colloquy.operators.joins import join_small
-from colloquy.operators.prepare import bags, by_utterance, terms
+from colloquy.operators.prepare import by_utterance, terms
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measure
 
 
 # --- corpus statistics ---------------------------------------------------------------
 
-# How finely a corpus is cut for work on its terms: tasks of about this many words,
-# but no more of them than a shuffle can keep track of.
+# How finely a corpus is cut for work on its terms: tasks of about this many words.
 WORDS_PER_TASK = 5_000_000
-MOST_TASKS = 100_000
 
 @dataclass(frozen=True)
 class CorpusStats:
@@ -44,7 +39,7 @@ class CorpusStats:
     def tasks(self) -> int:
         """Partitions for work on all terms of the corpus: by its size, and at least one per core."""
         cores = self.table.sparkSession.sparkContext.defaultParallelism
-        return max(cores, min(MOST_TASKS, -(-self.n_words // WORDS_PER_TASK)))
+        return max(cores, -(-self.n_words // WORDS_PER_TASK))
 
 
 def corpus_stats(units: DataFrame) -> CorpusStats:
@@ -163,47 +158,6 @@ def hash_vectors(units: DataFrame, dim: int = 256) -> DataFrame:
     return filled.withColumns({"encoder": F.lit(f"hash-md5-{dim}"), "dim": F.lit(dim)})
 
 
-def train_word2vec(
-    units: DataFrame,
-    dim: int = 64,
-    seed: int = 42,
-    min_count: int = 5,
-    order_by: Sequence[str] = CHUNK_KEY,
-    max_vocabulary: int = 2_000_000,
-    words_per_partition: int = 250_000,
-    **params,
-) -> Word2VecModel:
-    """Fit word vectors on all units.
-
-    The trainer keeps the vocabulary on the driver, so it is counted first and the
-    fit refused beyond `max_vocabulary`; a higher `min_count` makes it smaller.
-    A corpus below `words_per_partition` is trained in key order in one partition,
-    which makes the model reproducible. A larger one is trained in parallel, on at
-    most as many partitions as there are cores, since each holds a whole model.
-    """
-    tokens = units.select(*order_by, words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    frequency = tokens.select(F.explode("tokens").alias("word")).groupBy("word").count()
-    counted = frequency.agg(F.sum("count").alias("words"), F.count_if(F.col("count") >= min_count).alias("kept")).first()
-    if not counted["kept"]:
-        raise ValueError(f"no word occurs {min_count} times: lower min_count")
-    if counted["kept"] > max_vocabulary:
-        raise ValueError(f"{counted['kept']} words occur {min_count} times, more than {max_vocabulary}: raise min_count")
-    cores = units.sparkSession.sparkContext.defaultParallelism
-    parts = min(cores, -(-counted["words"] // words_per_partition))
-    ordered = tokens.repartition(parts, *order_by).sortWithinPartitions(*order_by)
-    trainer = Word2Vec(
-        vectorSize=dim, seed=seed, minCount=min_count, numPartitions=parts, inputCol="tokens", outputCol="_mean", **params
-    )
-    return trainer.fit(ordered)
-
-
-def word2vec_vectors(units: DataFrame, model: Word2VecModel, encoder: str = "word2vec") -> DataFrame:
-    """The mean of a unit's word vectors; units of unknown words only get the zero vector."""
-    means = model.transform(units.withColumn("tokens", words(F.col("text"))).drop("text"))
-    dense = means.withColumn("vec", vector_to_array("_mean", "float32")).drop("tokens", "_mean")
-    return _vectors(dense, encoder, model.getVectorSize())
-
-
 Model = Callable[[list[str]], np.ndarray]
 
 
@@ -214,14 +168,15 @@ def encode(units: DataFrame, load: Callable[[], Model], dim: int, encoder: str)
     vector that is not, fails the job.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in batches:
-            made = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), -1)
+            made = np.asarray(model([text or "" for text in texts.to_pylist()]), dtype=np.float32).reshape(len(texts), -1)
             if made.shape[1] != dim or not np.isfinite(made).all():
                 raise ValueError(f"model must give finite vectors of length {dim}, got shape {made.shape}")
-            yield pd.Series(list(made))
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+            yield pa.ListArray.from_arrays(offsets, pa.array(made.reshape(-1)))
 
     dense = units.withColumn("vec", apply(F.col("text"))).drop("text")
     return _vectors(dense.withColumn("vec", checked(F.col("vec"), dim)), encoder, dim)

@@ -27,15 +27,20 @@ def make_forbidden():
         """(units, requests) pairs that a condition of one of the requests lo..hi rules out."""
         out = np.zeros((n, hi - lo), dtype=bool)
         role_codes, role_names = pd.factorize(roles) if "roles" in conditions else (None, None)
+        alike: dict[tuple, list[int]] = {}  # requests with equal conditions share one mask
         for j in range(lo, hi):
-            one = {c: listed[j] for c, listed in conditions.items() if listed[j] is not None}
+            one = tuple((c, tuple(v) if isinstance(v, list) else v) for c, listed in conditions.items() if (v := listed[j]) is not None)
+            alike.setdefault(one, []).append(j - lo)
+        for one, places in alike.items():
+            one, mask = dict(one), np.zeros(n, dtype=bool)
             if "conv_ids" in one:
-                out[:, j - lo] |= ~np.isin(convs, one["conv_ids"])
+                mask |= ~np.isin(convs, one["conv_ids"])
             if "roles" in one:
                 # The code of a unit without a role is -1, the last place: no list of roles admits it.
-                out[:, j - lo] |= ~np.append(np.isin(role_names, one["roles"]), False)[role_codes]
+                mask |= ~np.append(np.isin(role_names, one["roles"]), False)[role_codes]
             if "exclude_conv" in one:
-                out[:, j - lo] |= convs == one["exclude_conv"]
+                mask |= convs == one["exclude_conv"]
+            out[:, places] |= mask[:, None]
         return out
 
     return forbidden
@@ -69,7 +74,9 @@ def make_keeper(key: Sequence[str], limit: int):
         if state["hits"] is not None:
             hits = pd.concat([state["hits"], hits], ignore_index=True)
         by_key = [hits[c].to_numpy() for c in reversed(key)]
-        order = np.lexsort([*by_key, -hits["score"].to_numpy().round(places), hits["q"].to_numpy()])
+        # Half up, as Spark rounds where it ranks in the end.
+        rounded = np.floor(hits["score"].to_numpy() * 10.0**places + 0.5)
+        order = np.lexsort([*by_key, -rounded, hits["q"].to_numpy()])
         q = hits["q"].to_numpy()[order]
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))

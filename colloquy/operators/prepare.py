@@ -8,13 +8,15 @@ from colloquy.schemas import UTTERANCE_KEY
 
 
 def current(log: DataFrame) -> DataFrame:
-    """The latest version of every utterance: by file time, then by file name.
+    """The latest version of every utterance: by file time, then by file name, then by role and text.
+
+    The last two decide between rows of one file that have the same key.
 
     The aggregation keeps one version per key before the shuffle, so an utterance
     that was exported over and over does not pile up in one task. The result is
     partitioned by (conv_id, turn), which chunk-level steps after it can reuse.
     """
-    version = F.struct("file_mtime", "source_file")
+    version = F.struct("file_mtime", "source_file", "role", "text")
     latest = F.max_by(F.struct("role", "text"), version)
     return log.groupBy(*UTTERANCE_KEY).agg(latest.alias("_v")).select(*UTTERANCE_KEY, "_v.role", "_v.text")
 
@@ -45,14 +47,6 @@ def sentences(utterances: DataFrame) -> DataFrame:
     return utterances.select(*UTTERANCE_KEY, "role", pieces).select(*UTTERANCE_KEY, "sentence", "role", "text")
 
 
-def bags(units: DataFrame) -> DataFrame:
-    """Replace the text of each unit by array<struct<term, tf>>, NULL if it has no words.
-
-    Not filtered here: Catalyst would move the filter below and count twice.
-    """
-    return units.withColumn("terms", term_counts(F.col("text"))).drop("text")
-
-
 def terms(units: DataFrame) -> DataFrame:
     """One row per unit and distinct word, with its count. Counted within the row: no shuffle."""
     rest = [c for c in units.columns if c != "text"]

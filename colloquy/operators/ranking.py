@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.inside import PLACES
-from colloquy.operators.joins import join_small
+from colloquy.operators.joins import SALTS, join_small
+from colloquy.sources.vector_store import in_buckets
+
+MOST_ROLES = 1_000  # roles that one filter lists
 
 
 def restrict(units: DataFrame, conv_ids=None, roles=None) -> DataFrame:
@@ -31,6 +34,25 @@ def restrict(units: DataFrame, conv_ids=None, roles=None) -> DataFrame:
     return units
 
 
+def restrict_to(requests: DataFrame, units: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Leave out units that no request admits, before they are encoded or read.
+
+    Where every request names meetings or speakers, the union of what they name is kept:
+    meetings by a semi join (and, with `buckets`, by the store's partitions), speakers by a filter
+    that reaches the scan.
+    """
+    if "conv_ids" in requests.columns and requests.filter("conv_ids IS NULL").isEmpty():
+        met = requests.select(F.explode("conv_ids").alias("conv_id")).distinct()
+        if buckets and "bucket" in units.columns:
+            units = units.filter(in_buckets(met, buckets))
+        units = restrict(units, conv_ids=met)
+    if "roles" in requests.columns and requests.filter("roles IS NULL").isEmpty():
+        named = requests.select(F.explode("roles").alias("r")).distinct().limit(MOST_ROLES + 1).collect()
+        if len(named) <= MOST_ROLES:  # the search tests roles again, so no filter is right too
+            units = restrict(units, roles=[row["r"] for row in named])
+    return units
+
+
 def admitted(columns: Sequence[str]) -> Column:
     """Whether the unit in a row meets the conditions of the request in the same row."""
     ok = F.lit(True)
@@ -54,11 +76,16 @@ def rank_hits(scored: DataFrame, key: Sequence[str], k: int, limit: int | None =
     """The best rows per request. `limit` bounds k where requests bring their own.
 
     With a constant bound on the rank Spark keeps at most that many rows per
-    request in each task before it shuffles.
+    request in each task before it shuffles. The rows of all tasks are ranked per
+    request and salt first, so that one request over many tasks is not one sort.
     """
-    best = Window.partitionBy("req_id").orderBy(F.round("score", PLACES).desc(), *key)
+    order = [F.round("score", PLACES).desc(), *key]
+    best, part = Window.partitionBy("req_id").orderBy(*order), Window.partitionBy("req_id", "_salt").orderBy(*order)
     ranked = (
         scored.filter(F.col("score").isNotNull())
+        .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
+        .withColumn("_first", F.row_number().over(part))
+        .filter(F.col("_first") <= (limit or k))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= (limit or k))
     )

@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.context import around_hits, assemble_context, spoken
-from colloquy.operators.encode import corpus_stats, tfidf_requests, tfidf_rows, train_word2vec, word2vec_vectors
+from colloquy.operators.encode import corpus_stats, tfidf_requests, tfidf_rows
 from colloquy.operators.joins import join_small
 from colloquy.operators.dense import semantic_search
+from colloquy.operators.meaning import DIM, context_counts, meaning_requests, meaning_vectors, word_vectors
 from colloquy.operators.sparse import term_search
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS, UTTERANCE_KEY
 from colloquy.session import materialise
@@ -18,14 +19,13 @@ def lexical_hits(requests: DataFrame, units: DataFrame, k: int) -> DataFrame:
     return term_search(tfidf_requests(requests, stats), tfidf_rows(units, stats), k)
 
 
-def meaning_hits(
-    requests: DataFrame, utterances: DataFrame, units: DataFrame, k: int, dim: int = 64, min_count: int = 5
-) -> DataFrame:
-    """Word2Vec hits of text requests over units, with word vectors trained on the utterances they are cut from."""
-    model = train_word2vec(utterances, dim=dim, min_count=min_count, order_by=UTTERANCE_KEY)
+def meaning_hits(requests: DataFrame, utterances: DataFrame, units: DataFrame, k: int, dim: int = DIM) -> DataFrame:
+    """Hits of text requests over units by meaning, with word vectors from the utterances the units are cut from."""
+    stats = corpus_stats(units)
+    vectors = word_vectors(context_counts(utterances, dim), dim)
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
-    asked = word2vec_vectors(requests.select("req_id", *filters, "text"), model).select("req_id", *filters, "vec")
-    return semantic_search(materialise(asked, "requests"), word2vec_vectors(units, model), k)
+    asked = meaning_requests(requests, stats, vectors, dim).select("req_id", *filters, "vec")
+    return semantic_search(materialise(asked, "requests"), meaning_vectors(units, stats, vectors, dim), k)
 
 
 def utterance_hits(hits: DataFrame) -> DataFrame:

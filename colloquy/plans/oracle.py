@@ -114,12 +114,33 @@ CONTEXT = """
 
 CORRECTED = """
     corrected AS (
-      SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'corrected ' || text ELSE text END AS text FROM conversations)"""
+      SELECT conv_id, turn, role, CASE WHEN conv_id % 7 = 0 THEN '' WHEN role = 'system' THEN 'corrected ' || text ELSE text END AS text
+      FROM conversations
+      UNION ALL SELECT conv_id + 1000000, turn, role, text FROM conversations WHERE conv_id % 5 = 0)"""
+
+MEANING = r"""
+    said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations),
+    placed AS (SELECT conv_id, turn, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM said),
+    beside AS (
+      SELECT a.term, CAST(CAST('0x' || substr(md5(b.term), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket,
+             CAST(sum(CASE WHEN CAST('0x' || substr(md5(b.term), 9, 4) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS value
+      FROM placed a JOIN placed b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 2
+      GROUP BY ALL HAVING value <> 0)"""
+
+MEANING_PAIRS = f"""
+    unit_length AS (SELECT term, bucket, value / sqrt(sum(value * value) OVER (PARTITION BY term)) AS x FROM beside),
+    uv AS (SELECT {UNIT}, bucket, sum(weight * x) AS value FROM weighted JOIN unit_length USING (term) GROUP BY ALL),
+    rv AS (SELECT req_id, bucket, sum(weight * x) AS value FROM rweighted JOIN unit_length USING (term) GROUP BY ALL),
+    un AS (SELECT {UNIT}, sqrt(sum(value * value)) AS b FROM uv GROUP BY ALL HAVING b > 0),
+    rn AS (SELECT req_id, sqrt(sum(value * value)) AS a FROM rv GROUP BY ALL HAVING a > 0),
+    dots AS (SELECT req_id, {UNIT}, sum(rv.value * uv.value) AS d FROM rv JOIN uv USING (bucket) GROUP BY ALL),
+    pairs AS (SELECT req_id, {UNIT}, coalesce(d, 0) / (a * b) AS score FROM rn CROSS JOIN un LEFT JOIN dots USING (req_id, {UNIT}))"""
 
 VERSIONS = """
     SELECT conv_id, turn, role, text, TIMESTAMP '2026-01-02' AS seen, 'export-b' AS file FROM conversations
     UNION ALL SELECT conv_id, turn, role, 'corrected: ' || text, TIMESTAMP '2026-01-03', 'export-a' FROM conversations WHERE role = 'assistant'
     UNION ALL SELECT conv_id, turn, role, 'stale: ' || text, TIMESTAMP '2026-01-01', 'export-z' FROM conversations WHERE role = 'user'
+    UNION ALL SELECT conv_id, turn, role, 'again: ' || text, TIMESTAMP '2026-01-03', 'export-a' FROM conversations WHERE role = 'assistant'
     UNION ALL SELECT conv_id, turn, role, 'tie: ' || text, TIMESTAMP '2026-01-02', 'export-c' FROM conversations WHERE role = 'system'"""
 
 ALL_TURNS = "SELECT conv_id, turn, role, text FROM conversations"
@@ -140,7 +161,7 @@ def statements() -> dict[str, str]:
         "ingest_stream": ALL_TURNS,
         "current_view": f"""
             SELECT conv_id, turn, role, text FROM ({VERSIONS})
-            QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY seen DESC, file DESC) = 1""",
+            QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY seen DESC, file DESC, role DESC, text DESC) = 1""",
         "store_vectors": f"WITH {TF}, {hashed('tf', UNIT, 'hv')} {long_form()}",
         "refresh_store": f"""
             WITH {CORRECTED}, {chunked('corrected')}, {counted('chunks', UNIT, 'tf')}, {hashed('tf', UNIT, 'hv')} {long_form()}""",
@@ -175,6 +196,29 @@ def statements() -> dict[str, str]:
         "hash_search": f"WITH {HASHED}, {ranked('pairs', UNIT, 5)} SELECT * FROM hits",
         "restricted_search": f"""
             WITH {HASHED}, said AS (SELECT * FROM pairs WHERE role = 'user'), {ranked('said', UNIT, 3)} SELECT * FROM hits""",
+        "context_vectors": f"WITH {MEANING} SELECT term, bucket, value FROM beside",
+        "meaning_search": f"""
+            WITH {TF}, {RTF}, {DF}, {WEIGHTED}, {MEANING}, {MEANING_PAIRS}, {ranked('pairs', UNIT, 3)}
+            SELECT hits.*, role, text FROM hits JOIN chunks USING ({UNIT})""",
+        "stored_search": f"""
+            WITH {HASHED}, met AS (SELECT * FROM pairs WHERE {ROLES_IN_SYSTEM_MEETINGS}), {ranked('met', UNIT, 5)} SELECT * FROM hits""",
+        "quarantine_rows": """
+            WITH lines AS (
+              SELECT conv_id, turn, role, text,
+                '{' || CASE WHEN turn <> 7 THEN '"conv_id":' || conv_id || ',' ELSE '' END || '"turn":' || turn || ',"role":' || to_json(role)
+                || CASE WHEN turn <> 6 THEN ',"text":' || to_json(text) ELSE '' END || '}' AS line FROM conversations)
+            SELECT CASE WHEN role = 'system' OR turn = 7 THEN 'bad' ELSE 'good' END AS part,
+                   CASE WHEN role <> 'system' AND turn <> 7 THEN conv_id END AS conv_id, CASE WHEN role <> 'system' THEN turn END AS turn,
+                   CASE WHEN role <> 'system' THEN role END AS role, CASE WHEN role <> 'system' AND turn <> 6 THEN text END AS text,
+                   CASE WHEN role = 'system' THEN line[1:length(line) // 2] END AS line
+            FROM lines""",
+        "parse_lines": """
+            SELECT conv_id, turn, role, CASE WHEN turn <> 6 THEN text END AS text FROM conversations WHERE role <> 'system' AND turn <> 7""",
+        "neighbours_spans": """
+            SELECT conv_id, turn, role, text,
+                   coalesce(array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ','), '') AS before,
+                   coalesce(array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS after
+            FROM conversations""",
         "term_search": f"WITH {TERM_HITS} SELECT * FROM hits",
         "bm25_search": f"WITH {TF}, {RTF}, {DF}, {BM25_SCORES}, {ranked('scored', UNIT, 5)} SELECT * FROM hits",
         "lsh_search": f"""

@@ -5,19 +5,18 @@ vector requests are the mean vectors of the labels in `embeddings`.
 """
 
 from collections.abc import Callable
-from datetime import datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import context, dense, encode, prepare, ranking, sparse
+from colloquy.operators import context, dense, encode, meaning, prepare, ranking, sparse
 from colloquy.plans import answer
 from colloquy.plans.store import build_store, refresh_store
-from colloquy.schemas import CHUNK_KEY, UTTERANCE, UTTERANCE_KEY
+from colloquy.schemas import CHUNK_KEY, CORRUPT, UTTERANCE, UTTERANCE_KEY
 from colloquy.session import materialise, scratch_path, spread
-from colloquy.sources.transcripts import quarantine, quarantine_counts, read_log, read_transcripts
-from colloquy.sources.vector_store import read_vectors, store_vectors
+from colloquy.sources.transcripts import parse_lines, quarantine, quarantine_counts, read_log, read_transcripts
+from colloquy.sources.vector_store import bucket_of, read_vectors, store_vectors
 from colloquy.streaming.ingest import ingest_stream
 
 COLUMNS = [field.name for field in UTTERANCE.fields]
@@ -70,7 +69,7 @@ def damaged_lines(rows: DataFrame) -> DataFrame:
 
 
 def versions(rows: DataFrame) -> DataFrame:
-    """A log with corrected turns, stale ones that arrived late, and ties of time broken by file name."""
+    """A log with corrected turns, stale ones that arrived late, ties of time broken by file name, and turns twice in one file."""
 
     def version(part: DataFrame, mark: str, day: str, file: str) -> DataFrame:
         return part.select(
@@ -86,6 +85,7 @@ def versions(rows: DataFrame) -> DataFrame:
         .unionByName(version(rows.filter("role = 'assistant'"), "corrected: ", "2026-01-03", "export-a"))
         .unionByName(version(rows.filter("role = 'user'"), "stale: ", "2026-01-01", "export-z"))
         .unionByName(version(rows.filter("role = 'system'"), "tie: ", "2026-01-02", "export-c"))
+        .unionByName(version(rows.filter("role = 'assistant'"), "again: ", "2026-01-03", "export-a"))
     )
 
 
@@ -106,6 +106,21 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine_counts(read_log(spark, log))
 
 
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged log record by record: which part each is in, and what was read of it."""
+    landed = scratch_path(spark, "landed")
+    damaged_lines(utterances(spark, sf_dir)).write.text(landed)
+    good, bad = quarantine(read_transcripts(spark, landed, "json"))
+    part = lambda rows, name, line: rows.select(F.lit(name).alias("part"), *COLUMNS, line.alias("line"))
+    return part(good, "good", F.lit(None).cast("string")).unionByName(part(bad, "bad", F.col(CORRUPT)))
+
+
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports that arrive as lines in a column."""
+    good, _ = quarantine(parse_lines(damaged_lines(utterances(spark, sf_dir))))
+    return good.select(*COLUMNS)
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings land in two exports; the stream runs after each, and once more on nothing new."""
     landed, log, checkpoint = (scratch_path(spark, name) for name in ("landed", "log", "offsets"))
@@ -142,17 +157,30 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refreshed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build a store from a first export, land corrected turns, refresh the buckets they touch."""
+    """Build a store from a first export, then refresh it after corrections, withdrawals and late files.
+
+    The second export has corrected system turns, and takes back all text of the meetings divisible by
+    7. The third lands files that carry the first export's time, or one before it: meetings divisible by 5 plus 1000000.
+    """
     landed, log, checkpoint, path = (scratch_path(spark, name) for name in ("landed", "log", "offsets", "vectors"))
     rows = utterances(spark, sf_dir)
     encoder = lambda units: encode.hash_vectors(units, DIM)
     export_json(rows, landed)
     ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
-    build_store(read_log(spark, log), encoder, path, DIM, BUCKETS)
-    since: datetime = read_log(spark, log).agg(F.max("file_mtime")).first()[0]
-    export_json(rows.filter("role = 'system'").withColumn("text", F.concat(F.lit("corrected "), F.col("text"))), landed)
+    first = materialise(read_log(spark, log), "first-log")
+    build_store(first, encoder, path, DIM, BUCKETS)
+    withdrawn = F.when(F.col("conv_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("corrected "), F.col("text")))
+    export_json(rows.filter("role = 'system' OR conv_id % 7 = 0").withColumn("text", withdrawn), landed)
     ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
-    refresh_store(spark, log, encoder, path, DIM, since, BUCKETS)
+    refresh_store(spark, log, encoder, path, DIM, BUCKETS)
+    late = first.filter("conv_id % 5 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000)
+    stale = F.when(F.col("turn") % 2 == 0, F.col("file_mtime")).otherwise(F.col("file_mtime") - F.expr("INTERVAL 1 DAY"))
+    late = late.withColumns({
+        "file_mtime": stale, "source_file": F.concat(F.lit("late-"), (F.col("turn") % 2).cast("string")), "bucket": bucket_of(F.col("conv_id"), BUCKETS),
+    })
+    whole = scratch_path(spark, "whole-log")
+    read_log(spark, log).unionByName(late).write.partitionBy("bucket").parquet(whole)
+    refresh_store(spark, whole, encoder, path, DIM, BUCKETS)
     return _long(read_vectors(spark, path, f"hash-md5-{DIM}"))
 
 
@@ -174,10 +202,9 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.select(*CHUNK_KEY, "term", "tf", F.round("weight", 6).alias("weight"))
 
 
-def word2vec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on utterances, which hold each word once, and applied to chunks."""
-    model = encode.train_word2vec(spread(utterances(spark, sf_dir)), order_by=UTTERANCE_KEY)
-    return encode.word2vec_vectors(chunks(spark, sf_dir), model)
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of all words by the words beside them, as sums of integers."""
+    return meaning.context_counts(spread(utterances(spark, sf_dir)))
 
 
 def letter_model(letters: str):
@@ -215,7 +242,9 @@ def restricted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that want 3 passages, said by the user."""
     asked = encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec")
     asked = asked.withColumns({"roles": F.array(F.lit("user")), "k": F.lit(3)})
-    return dense.semantic_search(materialise(asked, "requests"), encode.hash_vectors(chunks(spark, sf_dir), DIM), K)
+    asked = materialise(asked, "requests")
+    said = ranking.restrict_to(asked, spread(utterances(spark, sf_dir), *UTTERANCE_KEY))
+    return dense.semantic_search(asked, encode.hash_vectors(prepare.chunk(said), DIM), K)
 
 
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +261,7 @@ def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.lsh_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K, DIM)
 
 
-def word2vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def meaning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each request the 3 passages closest in meaning, with speaker and text."""
     rows = utterances(spark, sf_dir)
     hits = answer.meaning_hits(requests(spark, sf_dir), spread(rows), chunks(spark, sf_dir), 3)
@@ -240,6 +269,15 @@ def word2vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.with_text(hits, prepare.chunk(answer.utterances_hit(hits, rows)))
 
 
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors are stored; requests then name the meetings with a system turn, and only their buckets are read."""
+    path = scratch_path(spark, "vectors")
+    store_vectors(encode.hash_vectors(chunks(spark, sf_dir), DIM), path, DIM, BUCKETS)
+    asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
+    meetings = utterances(spark, sf_dir).filter("role = 'system'").select("conv_id").distinct()
+    return dense.semantic_search(asked, read_vectors(spark, path, f"hash-md5-{DIM}", meetings, BUCKETS), K)
+
+
 # --- context -------------------------------------------------------------------------
 
 
@@ -254,6 +292,13 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def neighbours_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two utterances on either side, with meetings cut into spans of three turns."""
+    near = context.neighbours(utterances(spark, sf_dir), r=2, span=3)
+    turns = lambda side: F.array_join(F.transform(side, lambda u: u["turn"].cast("string")), ",")
+    return near.select(*COLUMNS, turns("before").alias("before"), turns("after").alias("after"))
+
+
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = materialise(answer.lexical_hits(requests(spark, sf_dir), chunks(spark, sf_dir), K), "hits")
     units = prepare.chunk(answer.utterances_hit(hits, utterances(spark, sf_dir)))
@@ -269,6 +314,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_transcripts": utterances,
         "read_transcripts_json": read_transcripts_json,
         "quarantine": quarantined,
+        "quarantine_rows": quarantined_rows,
+        "parse_lines": parsed_lines,
         "ingest_stream": ingested,
         "current_view": current_view,
         "store_vectors": stored_vectors,
@@ -279,7 +326,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "restrict": restricted,
         "tfidf": tfidf,
         "hash_vectors": lambda spark, sf_dir: _long(encode.hash_vectors(chunks(spark, sf_dir), DIM)),
-        "word2vec_vectors": word2vec_vectors,
+        "context_vectors": context_vectors,
         "encode": encoded,
         "semantic_search": semantic_search,
         "hash_search": hash_search,
@@ -287,9 +334,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_search": term_search,
         "bm25_search": bm25_search,
         "lsh_search": lsh_search,
-        "word2vec_search": word2vec_search,
+        "meaning_search": meaning_search,
+        "stored_search": stored_search,
         "meeting_details": lambda spark, sf_dir: context.meeting_details(utterances(spark, sf_dir)),
         "neighbours": neighbours,
+        "neighbours_spans": neighbours_spans,
         "assemble_context": assembled,
         "answer_contexts": answer_contexts,
     }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import checked
+from colloquy.operators.joins import join_small
 
 BUCKETS = 64
 
@@ -40,15 +41,28 @@ def read_vectors(
     spark: SparkSession,
     path: str,
     encoder: str,
-    conv_ids: Sequence[int] | None = None,
+    conv_ids: Sequence[int] | DataFrame | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Vectors of one encoder; naming meetings prunes the scan to their buckets."""
+    """Vectors of one encoder; naming meetings, as a list or a table of conv_id, prunes the scan to their buckets."""
     stored = spark.read.parquet(path).filter(F.col("encoder") == encoder)
-    if conv_ids is not None:
-        wanted = F.lit(False)
-        for conv_id in conv_ids:
-            key = F.lit(conv_id).cast("long")
-            wanted = wanted | ((F.col("bucket") == bucket_of(key, buckets)) & (F.col("conv_id") == key))
-        stored = stored.filter(wanted)
-    return stored
+    if conv_ids is None:
+        return stored
+    if not isinstance(conv_ids, DataFrame):
+        conv_ids = spark.createDataFrame([(int(c),) for c in conv_ids], "conv_id long")
+    wanted = conv_ids.select("conv_id").filter("conv_id IS NOT NULL").distinct()
+    return join_small(stored.filter(in_buckets(wanted, buckets)), wanted, ["conv_id"], spread_by=["turn"], how="left_semi")
+
+
+def in_buckets(meetings: DataFrame, buckets: int) -> Column:
+    """Whether a row lies in a bucket of one of the meetings; the list is no longer than the number of buckets."""
+    rows = meetings.select(bucket_of(F.col("conv_id"), buckets).alias("b")).distinct().collect()
+    return F.col("bucket").isin(sorted(row["b"] for row in rows))
+
+
+def empty_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
+    """Replace buckets by tables without rows, which dynamic overwriting of rows cannot do."""
+    if buckets:
+        none = spark.read.parquet(path).drop("bucket").limit(0)
+        for bucket in buckets:
+            none.write.mode("overwrite").parquet(f"{path}/bucket={bucket}")

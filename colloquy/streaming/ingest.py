@@ -4,6 +4,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from colloquy.schemas import CORRUPT
 from colloquy.sources.transcripts import export_reader, with_origin
 from colloquy.sources.vector_store import BUCKETS, bucket_of
 
@@ -17,19 +18,26 @@ def ingest_stream(
     buckets: int = BUCKETS,
     max_files_per_trigger: int | None = None,
     interval: str | None = None,
+    max_file_age: str = "3650d",
 ) -> StreamingQuery:
     """Append the files in the folder `source` that the checkpoint has not seen to the log.
 
-    Without `interval` it takes what is there and ends; with one ("1 minute") it
+    Files count as new whatever time they carry, up to `max_file_age` before the newest:
+    the stream remembers the names of that period. Without `interval` it takes what is there and ends; with one ("1 minute") it
     keeps running. Nothing is dropped here: a corrected transcript is a later
     version, and `current` picks it. A stateful de-duplication would keep the old
     text, and its state would grow for ever. The log is partitioned like the
     vector store, so that replacing a bucket reads only that bucket.
     """
-    reader = export_reader(spark.readStream, format)
+    reader = export_reader(spark.readStream, format).option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = with_origin(reader.load(source)).withColumn("bucket", bucket_of(F.col("conv_id"), buckets))
+    rows = with_origin(reader.load(source))
+    # Records without a meeting are put aside later; until then they are spread, not heaped in one bucket.
+    own = F.xxhash64("turn", "role", "text", CORRUPT, "source_file")
+    bucket = F.when(F.col("conv_id").isNull(), F.pmod(own, F.lit(buckets)).cast("int")).otherwise(bucket_of(F.col("conv_id"), buckets))
+    # One task per bucket writes one file per micro-batch, however many tasks read.
+    rows = rows.withColumn("bucket", bucket).repartition("bucket")
     writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")

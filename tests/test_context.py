@@ -69,3 +69,11 @@ def test_surroundings_of_hits(spark, said):
 
 def test_line_without_a_speaker(spark):
     assert spark.range(1).select(context.spoken(F.lit(None).cast("string"), F.lit("x"))).first()[0] == "x"
+
+
+@pytest.mark.parametrize("span", [1, 2, 5, 100])
+def test_rows_without_turn_or_meeting_keep_their_place_in_every_span(spark, span):
+    rows = [(1, t, "user", f"t{t}") for t in range(9)] + [(1, None, "user", "n1"), (1, None, "user", "n2"), (None, 3, "user", "m"), (None, None, "user", "o")]
+    said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(repr, context.neighbours(said, r=2, span=span).collect()))
+    assert got == sorted(map(repr, context.neighbours(said, r=2, span=1000).collect())) and len(got) == 13

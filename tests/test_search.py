@@ -1,15 +1,17 @@
 """Encoders and searches: exactness, conditions, ties, and the paths for large requests."""
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from colloquy.functions.vectors import cosine
-from colloquy.operators import dense, encode, inside, joins, prepare, ranking, sparse
+from colloquy.operators import dense, encode, inside, joins, meaning, prepare, ranking, sparse
 from colloquy.session import Size
+from colloquy.sources.vector_store import read_vectors, store_vectors
 
 VECTORS = "conv_id long, turn long, chunk int, role string, vec array<float>"
 UNITS = "conv_id long, turn long, chunk int, role string, text string"
@@ -249,26 +251,33 @@ def test_hash_vectors_equal_plain_python(spark, units):
 # --- models ---------------------------------------------------------------------------
 
 
-def test_word2vec_is_reproducible_while_small_and_covers_all_units(spark, units):
-    a = encode.word2vec_vectors(units, encode.train_word2vec(units, dim=8, min_count=2))
-    b = encode.word2vec_vectors(units.repartition(5), encode.train_word2vec(units.repartition(5), dim=8, min_count=2))
-    key = ["conv_id", "turn", "chunk"]
-    left, right = a.orderBy(key).collect(), b.orderBy(key).collect()
-    assert len(left) == 121 and [r["vec"] for r in left] == [r["vec"] for r in right]
-    assert left[-1]["norm"] == 0.0
-
-
-def test_word2vec_trains_in_parallel_beyond_the_bound(spark, units):
-    model = encode.train_word2vec(units, dim=8, min_count=2, words_per_partition=500)
-    assert model.getNumPartitions() == 3
-    assert encode.word2vec_vectors(units, model).count() == 121
-
-
-def test_word2vec_refuses_a_vocabulary_the_driver_cannot_hold(spark, units):
-    with pytest.raises(ValueError, match="raise min_count"):
-        encode.train_word2vec(units, max_vocabulary=3, min_count=1)
-    with pytest.raises(ValueError, match="lower min_count"):
-        encode.train_word2vec(units, min_count=10_000)
+def test_context_vectors_are_the_sums_of_the_index_vectors_beside(spark):
+    said = spark.createDataFrame([("a b c d",), ("a b",), (None,), ("",), ("x",)], "text string")
+    got = {(r["term"], r["bucket"]): r["value"] for r in meaning.context_counts(said, 8, 2).collect()}
+    expected = {}
+    for words in (["a", "b", "c", "d"], ["a", "b"]):
+        for i, w in enumerate(words):
+            for j, c in enumerate(words):
+                if 1 <= abs(i - j) <= 2:
+                    h = hashlib.md5(c.encode()).hexdigest()
+                    at = (w, int(h[:8], 16) % 8)
+                    expected[at] = expected.get(at, 0) + (1 if int(h[8:12], 16) % 2 == 0 else -1)
+    assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_meaning_does_not_depend_on_partitions_or_on_the_path(spark, units):
+    said = units.select("text")
+    counts = [sorted(map(tuple, meaning.context_counts(said.repartition(n)).collect())) for n in (1, 13)]
+    assert counts[0] == counts[1] and counts[0]
+    stats, vectors = encode.corpus_stats(units), meaning.word_vectors(meaning.context_counts(said))
+    for made in (
+        lambda small: meaning.meaning_vectors(units, stats, vectors, small=small).orderBy("conv_id", "turn", "chunk"),
+        lambda small: meaning.meaning_requests(
+            units.select(F.col("conv_id").alias("req_id"), "text").dropDuplicates(["req_id"]), stats, vectors, small=small
+        ).orderBy("req_id"),
+    ):
+        here, joined = (np.array([r["vec"] for r in made(small).collect()]) for small in (meaning.SMALL, TINY))
+        assert here.shape == joined.shape and np.allclose(here, joined) and np.abs(here).sum() > 0
 
 
 def test_encode_applies_the_users_model(spark, units):
@@ -320,9 +329,20 @@ def test_lsh_paths_agree(asked, store, lsh_path):
     assert len(paths[0]) == 4 * 20
 
 
-def test_cosine_of_a_zero_vector_is_null(spark):
-    row = spark.sql("SELECT array(0f, 0f) AS a, array(1f, 2f) AS b").select(cosine(F.col("a"), F.col("b")), cosine(F.col("b"), F.col("b"))).first()
-    assert row[0] is None and row[1] == pytest.approx(1.0)
+def test_conditions_of_all_requests_reach_the_scan(spark, tmp_path):
+    rows = [(c, 0, 0, "user" if c % 2 else "assistant", [1.0, float(c)], "toy", 2, 1.0) for c in range(40)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, chunk int, role string, vec array<float>, encoder string, dim int, norm double")
+    store_vectors(table, str(tmp_path / "s"), 2, buckets=8)
+    asked = spark.createDataFrame([(1, [1.0, 0.0], [3, 4]), (2, [0.0, 1.0], [4])], "req_id long, vec array<float>, conv_ids array<long>")
+    kept = ranking.restrict_to(asked, read_vectors(spark, str(tmp_path / "s"), "toy"), buckets=8)
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|INSET)", text)
+    assert sorted(r["conv_id"] for r in kept.collect()) == [3, 4]
+    roles = asked.select("req_id", "vec", F.array(F.lit("user")).alias("roles"))
+    text = ranking.restrict_to(roles, table.drop("vec").select("role", "conv_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "user" in text
+    free = spark.createDataFrame([(1, [1.0], None), (2, [1.0], [4])], "req_id long, vec array<float>, conv_ids array<long>")
+    assert ranking.restrict_to(free, table) is table
 
 
 def test_chunks_feed_the_encoders(spark):
