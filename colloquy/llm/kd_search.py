@@ -16,8 +16,8 @@ Results in special cases: vectors that are null, empty, or hold null or non-fini
 components take no part; a null id takes no part as a query, and as a candidate it comes
 last among equal scores; vectors of other lengths than the query's are no candidates. A
 query is left out of its own candidates by id, so repeated rows of its id are too. Repeated
-rows of another id are candidates each; equal rows are told apart by nothing but their
-rank. Components are integers after `scale`; sums are exact while they stay below 2**53,
+rows of a query are asked once; rows of one id with different vectors are queries each, under
+that id. Repeated rows of another id are candidates each, told apart by their rank alone. Components are integers after `scale`; sums are exact while they stay below 2**53,
 and a vector too large for that raises an error. An empty table gives an empty result.
 """
 
@@ -116,8 +116,8 @@ def scaled(vectors: DataFrame, scale: int, key: str = "vec_id", vector: str = "e
     return vectors.where(x.isNotNull() & (F.size(x) > 0) & ~bad).select(F.col(f"`{key}`").cast("long").alias("id"), whole.alias("v"))
 
 
-def _search_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Candidates of the block's queries from every shard."""
+def _search_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, first: int) -> DataFrame:
+    """Candidates of the block's queries, which are numbered from `first`, from every shard."""
     sent = rows.sparkSession.sparkContext.broadcast((ids, queries))
     dim = queries.shape[1]
 
@@ -135,8 +135,8 @@ def _search_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
                 if hits:
                     place, scores, found = (np.concatenate(x) for x in zip(*((np.full(len(s), i), s, f) for i, s, f in hits), strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[place]), pa.array(found, mask=found == NO_ID), pa.array(scores.astype(np.int64))],
-                        names=["query_id", "vec_id", "score"],
+                        [pa.array(place + first), pa.array(own[place]), pa.array(found, mask=found == NO_ID), pa.array(scores.astype(np.int64))],
+                        names=["_q", "query_id", "vec_id", "score"],
                     )
 
     def start(own, q):
@@ -150,14 +150,14 @@ def _search_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
         return kth
 
     fitting = rows.where(F.size("v") == dim)
-    return fitting.mapInArrow(candidates, "query_id long, vec_id long, score long")
+    return fitting.mapInArrow(candidates, "_q long, query_id long, vec_id long, score long")
 
 
 def ranked(found: DataFrame, k: int, salts: int = 64) -> DataFrame:
     """The k best of each query: first per salt, so that no task holds all candidates of a query."""
     order = [F.desc("score"), F.asc_nulls_last("vec_id")]
-    part = F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))
-    whole = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    part = F.row_number().over(Window.partitionBy("_q", "_salt").orderBy(*order))
+    whole = F.row_number().over(Window.partitionBy("_q").orderBy(*order))
     salted = found.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
     best = salted.withColumn("_r", part).where(F.col("_r") <= k)
     return best.withColumn("rank", whole).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -168,12 +168,12 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int, key: str = "vec_id",
     spark = vectors.sparkSession
     ship(spark)
     rows = scaled(vectors, scale, key, vector)
-    asked = rows.where(F.col("id").isNotNull() & is_query)
+    asked = rows.where(F.col("id").isNotNull() & is_query).dropDuplicates(["id", "v"])
     # Blocks of queries of one length, cut by ranges of ids, so that a block is a narrow scan
     # of the table of queries and nothing but a block passes the driver.
     asked = materialise(asked.withColumn("d", F.size("v")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "queries")
     counts = asked.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
-    blocks = []
+    blocks, asked_so_far = [], 0
     for c in counts:
         parts = -(-c["n"] // (BLOCK // 2))
         for i in range(parts):
@@ -184,7 +184,8 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int, key: str = "vec_id",
             block = block.combine_chunks().to_batches()[0]
             for at in range(0, block.num_rows, BLOCK):
                 ids, matrix = _matrix(block.slice(at, BLOCK), c["d"])
-                blocks.append(materialise(_search_block(rows, ids, matrix, k), "candidates"))
+                blocks.append(materialise(_search_block(rows, ids, matrix, k, asked_so_far), "candidates"))
+                asked_so_far += len(ids)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = blocks[0]
