@@ -89,14 +89,17 @@ def mix(
 ) -> DataFrame:
     """Adds size, source_size, target and copies to every document; `docs` has `key`, `text` and source."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    uniform = F.md5(F.concat_ws("\x1f", F.lit(seed), F.col(f"`{key}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    # The table's own columns get numbers meanwhile, so that none clashes with what is added.
+    carried = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(own)]
+    docs = docs.select(*carried, F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), "source")
+    uniform = F.md5(F.concat_ws("\x1f", F.lit(seed), F.col("_key").cast("string"), F.md5(F.coalesce("_text", F.lit("")))))
     u = (F.conv(F.substring(uniform, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
     liking = F.lit(LIKING[0][1])
     for least, value in LIKING[1:]:
         liking = F.when(F.col("size") >= least, F.lit(value)).otherwise(liking)
     # The narrow table of sizes is written once; texts are not moved for the decisions.
     rows = materialise(
-        sized(docs, text).select("source", "size", u.alias("_u"), liking.alias("_like")), "sizes"
+        sized(docs, "_text").select("source", "size", u.alias("_u"), liking.alias("_like")), "sizes"
     )
     goals = targets(rows, weights, share, cap)
     levels = rows.groupBy("source", "_like").agg(F.sum("size").alias("_size"))
@@ -129,7 +132,7 @@ def mix(
     edges = taken.groupBy("source").agg(F.max(F.struct("_q", "size", "_u")).alias("_e"))
     edges = edges.select("source", F.col("_e._q").alias("_lq"), F.col("_e.size").alias("_lsize"), F.col("_e._u").alias("_lu"))
     cut = _join(_join(edge, fine, "source"), materialise(edges, "last"), "source")
-    chosen = _join(ranked(sized(docs, text).withColumn("_u", u).withColumn("_like", liking)), materialise(cut, "cuts"), "source")
+    chosen = _join(ranked(sized(docs, "_text").withColumn("_u", u).withColumn("_like", liking)), materialise(cut, "cuts"), "source")
     here, last_taken = F.struct("_q", "size", "_u"), F.struct("_lq", "_lsize", "_lu")
     extra = (
         F.when(F.col("_q").isNull(), False)
@@ -140,4 +143,4 @@ def mix(
         .otherwise(F.col("_lq").isNotNull() & (here <= last_taken))
     )
     count = F.col("_sure") + F.coalesce(extra, F.lit(False)).cast("long")
-    return chosen.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", count.cast("long").alias("copies"))
+    return chosen.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(own)], "size", "source_size", "target", count.cast("long").alias("copies"))
