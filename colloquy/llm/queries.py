@@ -182,5 +182,40 @@ FROM c
 """
 
 
+_GRID = ", ".join(map(str, quality.GRID))
+_QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+ws AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+places AS (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM ws WHERE len(w) >= 5),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i+4], ' ')) AS times FROM places),
+rep AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + 5)) AS p FROM win WHERE times > 1) GROUP BY rid),
+c AS (SELECT ws.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(list_distinct(w)) AS n_distinct,
+  length(t) - length(replace(t, '!', '')) AS shouts, len(regexp_extract_all(t, '\p{{Lu}}')) AS capitals,
+  length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines
+  FROM ws LEFT JOIN rep ON ws.rid = rep.rid),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  greatest(n_symbols / greatest(n_words, 1)::DOUBLE / 0.3::DOUBLE, shouts / greatest(n_words, 1)::DOUBLE / 0.3::DOUBLE,
+    capitals / greatest(word_chars, 1)::DOUBLE / 0.4::DOUBLE, n_repeat_words / greatest(n_words, 1)::DOUBLE / 0.2::DOUBLE,
+    n_dup_lines / n_lines::DOUBLE / 0.3::DOUBLE,
+    CASE WHEN n_words >= 50 THEN 1 - n_distinct / greatest(n_words, 1)::DOUBLE ELSE 0 END / 0.8::DOUBLE) AS badness FROM c),
+g AS (SELECT doc_id, (min(quality) = 1)::INT AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT f.lang, badness, good FROM f JOIN g ON f.doc_id = g.doc_id WHERE NOT base_failed),
+t AS (SELECT lang, cut, sum(good) AS n_good, sum(CASE WHEN badness > cut THEN good ELSE 0 END)::BIGINT AS k,
+  sum(CASE WHEN badness > cut THEN 1 - good ELSE 0 END) AS poor
+  FROM h, (SELECT unnest([{_GRID}])::DOUBLE AS cut) GROUP BY lang, cut),
+p AS (SELECT *, CASE WHEN k >= n_good * 0.05 THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(k + 1), lambda j:
+  exp((CASE WHEN j = 0 THEN 0 ELSE lgamma(n_good + 1.0) - lgamma(j + 1.0) - lgamma(n_good - j + 1.0) END)
+    + j * ln(0.05::DOUBLE) + (n_good - j) * ln(0.95::DOUBLE)))) END AS tail FROM t),
+a AS (SELECT lang, arg_max(cut, (poor - k, cut)) AS cut FROM p
+  WHERE tail <= 0.05 / (len([{_GRID}]) * (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT lang FROM h))) GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, badness,
+  NOT base_failed AND NOT coalesce(badness > cut, false) AS kept
+FROM f LEFT JOIN a ON f.lang IS NOT DISTINCT FROM a.lang
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_warc": _BASE32, "op4_chat_windows": _CHAT, "op5_mixing": _MIX, "op8_top_k_search": _TOP_K}
+    return {"op3_warc": _BASE32, "op4_chat_windows": _CHAT, "op5_mixing": _MIX, "op6_quality_rules": _QUALITY, "op8_top_k_search": _TOP_K}
