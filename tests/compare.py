@@ -26,7 +26,7 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(normal(row[i]) for i in order) for row in rows), key=repr)
 
 
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+TYPES = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 
 
 def both(spark, connection, query, sql: str, sf: str):
