@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21  # bytes hashed at once; bounds the arrays of 8 bytes per byte
+SLICE = 1 << 20  # bytes hashed at once; bounds the arrays of 8 bytes per byte
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -129,7 +129,7 @@ def shingles(keys: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
         return mix(total + size.astype(np.uint64)), start_of_run
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cut a batch so that a piece holds about `most` bytes of `column`, one row at least."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
     sizes = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
