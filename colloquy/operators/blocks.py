@@ -1,4 +1,4 @@
-"""Bringing requests and units together in tasks: the requests go to all, or block meets block."""
+"""Bringing requests and units together in tasks: the requests go to all, at once or block by block."""
 
 from collections.abc import Iterator, Sequence
 
@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from colloquy.session import materialise
 
 
 def hit_schema(requests: DataFrame, units: DataFrame, key: Sequence[str]) -> T.StructType:
@@ -26,24 +27,15 @@ def to_all_tasks(requests: DataFrame, units: DataFrame, read, search, schema: T.
     return units.mapInArrow(scan, schema)
 
 
-def block_by_block(
-    requests: DataFrame, units: DataFrame, read, search, schema: T.StructType, key: Sequence[str], blocks: tuple[int, int]
-) -> DataFrame:
-    """Cut both sides into blocks by a hash of their keys; each pair of blocks meets in a task of its own.
+def block_by_block(requests: DataFrame, units: DataFrame, read, search, schema: T.StructType, blocks: int) -> DataFrame:
+    """Cut the requests into blocks by a hash of their ids; one pass over the units per block, where these lie.
 
-    The blocks are even however the data are distributed, and a task returns only
-    the best hits of its requests: pairs are never written out.
+    What a task holds is one block. The units are never shuffled or copied, and a pass
+    writes no more than the best hits of each task.
     """
-    n_r, n_u = max(1, blocks[0]), max(1, blocks[1])
-    block = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = requests.withColumns({"_i": block(["req_id"], n_r), "_j": every(n_u)})
-    right = units.withColumns({"_i": every(n_r), "_j": block(key, n_u)})
-    arrow_schema = to_arrow_schema(schema)
-
-    def meet(asked: pa.Table, found_in: pa.Table) -> pa.Table:
-        batches = iter(found_in.combine_chunks().to_batches(max_chunksize=10_000))
-        found = search(read(asked), batches) if asked.num_rows else None
-        return arrow_schema.empty_table() if found is None else pa.Table.from_batches([found])
-
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, schema)
+    place = F.pmod(F.xxhash64("req_id"), F.lit(max(1, blocks)))
+    found = None
+    for block in range(max(1, blocks)):
+        hits = materialise(to_all_tasks(requests.filter(place == block), units, read, search, schema), "hits")
+        found = hits if found is None else found.unionAll(hits)
+    return found

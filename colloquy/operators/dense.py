@@ -24,8 +24,7 @@ from colloquy.session import Size, measure
 
 # Requests measured to be within these bounds are one matrix that every task holds.
 MATRIX = Size(rows=100_000, bytes=64 * 1024 * 1024)
-STORE_BLOCK = 200_000  # rows of the store per block, where requests are more than that
-REQUEST_BLOCK = 50_000
+MOST_HITS = 10_000_000  # hits that a task keeps: requests of a block times k
 GATHER = 50_000  # pairs whose vectors are copied out at a time
 
 
@@ -137,15 +136,13 @@ def semantic_search(
     k: int,
     key: Sequence[str] = CHUNK_KEY,
     matrix: Size = MATRIX,
-    store_block: int = STORE_BLOCK,
-    request_block: int = REQUEST_BLOCK,
     buckets: int | None = None,
 ) -> DataFrame:
     """Exact cosine top-k for each request (req_id, vec, conditions) over `vectors` (key, role, vec).
 
     Requests within `matrix` go to all tasks, and only k rows per request and task
-    are shuffled. More requests than that meet the vectors block by block: no block
-    depends on how the data are distributed, and none is larger than asked for.
+    are shuffled. More requests than that, or more hits than a task should keep, are cut
+    into blocks, each of which goes to all tasks in turn; the vectors stay where they are.
     `requests` are read more than once: pass a written table. Where all requests name
     meetings or speakers, others are not read; `buckets` is the number of a bucketed store's.
     """
@@ -157,11 +154,11 @@ def semantic_search(
     if sample is None:
         return rank_hits(requests.sparkSession.createDataFrame([], schema), key, k)
     read, search = _searcher(key, filters, len(sample["vec"]), limit, None)
-    if size.within(matrix.rows, matrix.bytes):
+    parts = max(-(-size.rows * limit // MOST_HITS), -(-size.rows // max(1, matrix.rows)), -(-size.bytes // max(1, matrix.bytes)))
+    if parts <= 1:
         hits = to_all_tasks(requests, store, read, search, schema)
     else:
-        blocks = -(-size.rows // request_block), -(-store.count() // store_block)
-        hits = block_by_block(requests, store, read, search, schema, key, blocks)
+        hits = block_by_block(requests, store, read, search, schema, 2 * parts)
     if "k" in filters:
         hits = join_small(hits, requests.select("req_id", "k"), ["req_id"], spread_by=key, size=size)
     return rank_hits(hits, key, k, limit)

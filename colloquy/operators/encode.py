@@ -20,13 +20,15 @@ from colloquy.functions.vectors import checked, norm
 from colloquy.operators.joins import join_small
 from colloquy.operators.prepare import by_utterance, terms
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
-from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measure
+from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, Size, materialise, measure
 
 
 # --- corpus statistics ---------------------------------------------------------------
 
 # How finely a corpus is cut for work on its terms: tasks of about this many words.
 WORDS_PER_TASK = 5_000_000
+SMALL = Size(BROADCAST_ROWS, BROADCAST_BYTES)
+HOT_WORDS = 50_000  # words that are sent to all tasks where the vocabulary is not
 
 @dataclass(frozen=True)
 class CorpusStats:
@@ -70,18 +72,24 @@ def _tfidf_weight(n_units: int) -> Column:
     return (F.log("tf") + 1) * idf
 
 
-def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
+def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_KEY, small: Size = SMALL) -> DataFrame:
     """Sparse unit vectors, one row per unit with `terms`, an array of (term, tf, weight).
 
-    The text is shuffled once by utterance, before it is split into terms. While
-    the vocabulary is small enough to broadcast, nothing is shuffled after that:
-    the terms of a unit are put together again where they are. Units are sorted
-    while they are one row each, which leaves little to do for the sort of their terms.
+    While the vocabulary is small enough to broadcast, the terms of a unit are weighted
+    where they are: nothing is shuffled. Beyond that, the most frequent words are sent to
+    all tasks, which leaves no hot key, all others meet the vocabulary in a join, and units
+    are put together again.
     """
     rest = [c for c in units.columns if c != "text"]
-    in_order = by_utterance(units, stats.tasks()).sortWithinPartitions(*key)
-    weighted = join_small(terms(in_order), stats.table, ["term"], spread_by=key)
-    rows = weighted.withColumn("weight", _tfidf_weight(stats.n_units)).groupBy(*key, *[c for c in rest if c not in key]).agg(
+    if measure(stats.table).within(small.rows, small.bytes):
+        return _weighted_in_place(units, stats, rest)
+    many = stats.table.orderBy(F.desc("df"), "term").limit(HOT_WORDS)
+    split = terms(by_utterance(units, stats.tasks()))
+    hot = split.join(F.broadcast(many), "term")
+    rare = stats.table.join(F.broadcast(many.select("term")), "term", "left_anti")
+    cold = split.join(F.broadcast(many.select("term")), "term", "left_anti").join(rare.hint("shuffle_merge"), "term")
+    weighted = hot.unionByName(cold).withColumn("weight", _tfidf_weight(stats.n_units))
+    rows = weighted.groupBy(*key, *[c for c in rest if c not in key]).agg(
         F.collect_list(F.struct("term", "tf", "weight")).alias("terms"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
     )
@@ -89,6 +97,38 @@ def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_
     return rows.select(*rest, F.transform("terms", unit_length).alias("terms"))
 
 
+def _weighted_in_place(units: DataFrame, stats: CorpusStats, rest: list[str]) -> DataFrame:
+    """The vocabulary, measured to be small, goes to all tasks; a batch's terms are looked up in it as one column."""
+    shared = units.sparkSession.sparkContext.broadcast(stats.table.toArrow())
+    n_units = stats.n_units
+    counted = units.select(*rest, term_counts(F.col("text")).alias("terms"))
+    schema = T.StructType([*[units.schema[c] for c in rest], T.StructField("terms", T.ArrayType(T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("weight", T.DoubleType()),
+    ])))])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.column("term").combine_chunks()
+        df = shared.value.column("df").to_numpy()
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("terms")), 0))
+            lists = batch.column("terms")
+            flat = lists.flatten()
+            at = pc.index_in(flat.field("term"), value_set=known).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            keep = ~np.isnan(at)  # words of units that the statistics do not cover
+            tf, row = flat.field("tf").to_numpy()[keep], row[keep]
+            weight = (np.log(tf) + 1) * (np.log((n_units + 1) / (df[at[keep].astype(np.int64)] + 1)) + 1)
+            length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=batch.num_rows))
+            made = pa.StructArray.from_arrays(
+                [flat.field("term").filter(pa.array(keep)), pa.array(tf), pa.array(weight / length[row])], names=["term", "tf", "weight"]
+            )
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.ListArray.from_arrays(offsets, made)], names=[*rest, "terms"])
+            yield out.filter(pc.greater(pc.list_value_length(out.column("terms")), 0))
+
+    return counted.mapInArrow(weigh, schema)
+
+
 def tfidf(units: DataFrame, stats: CorpusStats | None = None, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
     """Sparse unit vectors, one row per unit and term: (1 + ln tf) * (ln((N+1)/(df+1)) + 1), L2-normalised."""
     rest = [c for c in units.columns if c != "text"]

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +88,7 @@ def _summed(rows: DataFrame, vectors: DataFrame, key: Sequence[str], dim: int, s
         for batch in batches:
             lists = batch.column("terms")
             flat = lists.flatten()
-            at = pa.compute.index_in(flat.field("term"), value_set=known).fill_null(-1).to_numpy()
+            at = pc.index_in(flat.field("term"), value_set=known).fill_null(-1).to_numpy()
             weight = flat.field("weight").to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             out = np.zeros((batch.num_rows, dim))

@@ -22,7 +22,7 @@ from colloquy.session import Size, measure
 
 # Words of requests measured to be within these bounds are sent to every task.
 WORDS = Size(rows=500_000, bytes=64 * 1024 * 1024)
-UNIT_BLOCK = 100_000  # units per block, where requests are more than that
+MOST_HITS = 10_000_000  # hits that a task keeps: requests of a block times k
 
 
 Bm25 = tuple[float, float, float]  # k1, b, and the mean number of words per unit
@@ -110,19 +110,18 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int, bm25: Bm25
 
 
 def _best(
-    asked: DataFrame, units: DataFrame, k: int, key: list[str], bm25: Bm25 | None, words: Size, unit_block: int
+    asked: DataFrame, units: DataFrame, k: int, key: list[str], bm25: Bm25 | None, words: Size
 ) -> DataFrame:
     """Send requests whose words fit to all tasks; cut more than that into blocks of half as many."""
     filters = [c for c in REQUEST_FILTERS if c in asked.columns]
     size, limit = measure(asked), largest_k(asked, k)
     read, search = _searcher(key, filters, limit, bm25)
     schema = hit_schema(asked, units, key)
-    if size.within(words.rows, words.bytes):
+    parts = max(-(-size.rows * limit // MOST_HITS), -(-size.rows // max(1, words.rows)), -(-size.bytes // max(1, words.bytes)))
+    if parts <= 1:
         scored = to_all_tasks(asked, units, read, search, schema)
     else:
-        parts = max(-(-size.rows * 2 // max(1, words.rows)), -(-size.bytes * 2 // max(1, words.bytes)))
-        blocks = parts, -(-units.count() // unit_block)
-        scored = block_by_block(asked, units, read, search, schema, key, blocks)
+        scored = block_by_block(asked, units, read, search, schema, 2 * parts)
     if "k" in filters:
         own = asked.groupBy("req_id").agg(F.max("k").alias("k"))
         scored = join_small(scored, own, ["req_id"], spread_by=key, size=size)
@@ -141,7 +140,6 @@ def term_search(
     k: int,
     key: Sequence[str] = CHUNK_KEY,
     words: Size = WORDS,
-    unit_block: int = UNIT_BLOCK,
 ) -> DataFrame:
     """Top-k by TF-IDF cosine, of `encode.tfidf_requests` over `encode.tfidf_rows`.
 
@@ -150,7 +148,7 @@ def term_search(
     """
     asked, needs = _sides(request_vectors, key)
     pair = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))
-    return _best(asked, unit_vectors.select(*needs, pair.alias("terms")), k, list(key), None, words, unit_block)
+    return _best(asked, unit_vectors.select(*needs, pair.alias("terms")), k, list(key), None, words)
 
 
 def bm25_search(
@@ -162,7 +160,6 @@ def bm25_search(
     b: float = 0.75,
     key: Sequence[str] = CHUNK_KEY,
     words: Size = WORDS,
-    unit_block: int = UNIT_BLOCK,
 ) -> DataFrame:
     """Top-k by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated word of a request counts again.
 
@@ -174,4 +171,4 @@ def bm25_search(
     asked, needs = _sides(request_terms(requests, stats).withColumn("weight", F.col("tf") * idf), key)
     mean = stats.n_words / stats.n_units if stats.n_units else 1.0
     said = units.select(*needs, text_words(F.coalesce("text", F.lit(""))).alias("words"))
-    return _best(asked, said, k, list(key), (k1, b, mean), words, unit_block)
+    return _best(asked, said, k, list(key), (k1, b, mean), words)

@@ -58,7 +58,7 @@ def found(hits):
     return {(r["req_id"], r["rank"]): (r["conv_id"], r["turn"], r["chunk"], r["score"]) for r in hits.collect()}
 
 
-BLOCKS = {"matrix": TINY, "store_block": 90, "request_block": 6}
+BLOCKS = {"matrix": Size(rows=12, bytes=10**6)}
 
 
 @pytest.mark.parametrize("how", [{}, BLOCKS], ids=["matrix", "blocks"])
@@ -168,7 +168,7 @@ def words_path(request, monkeypatch):
         original = joins.join_small
         for module in (encode, sparse):
             monkeypatch.setattr(module, "join_small", lambda *a, **kw: original(*a, **{**kw, "max_rows": 0}))
-    return {} if request.param == "matrix" else {"words": Size(rows=4, bytes=10**6), "unit_block": 30}
+    return {} if request.param == "matrix" else {"words": Size(rows=20, bytes=10**6)}
 
 
 def test_term_search_equals_plain_python(spark, units, questions, words_path):
@@ -215,13 +215,30 @@ def test_conditions_of_term_search(spark, units, questions, words_path):
     assert sorted(r["rank"] for r in said if r["req_id"] == 1) == [1, 2]
 
 
-def test_tfidf_has_unit_length_and_one_shuffle_of_the_text(spark, units):
+def test_large_vocabularies_are_split_by_frequency(spark, units, monkeypatch):
+    stats = encode.corpus_stats(units)
+    monkeypatch.setattr(encode, "HOT_WORDS", 5)
+    flat = lambda rows: rows.select("conv_id", "turn", "chunk", F.inline("terms")).orderBy("conv_id", "turn", "chunk", "term").collect()
+    joined = encode.tfidf_rows(units, stats, small=TINY)
+    here, there = flat(encode.tfidf_rows(units, stats)), flat(joined)
+    assert [r[:5] for r in here] == [r[:5] for r in there] and np.allclose([r["weight"] for r in here], [r["weight"] for r in there])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan and "SortMergeJoin" in plan
+
+
+def test_blocks_of_requests_leave_the_store_where_it_is(spark, asked, store):
+    hits = dense.semantic_search(asked, store, 5, **BLOCKS)
+    scanned = hits._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in scanned and "Exchange hashpartitioning(req_id" in scanned
+
+
+def test_tfidf_has_unit_length_and_moves_no_text(spark, units):
     stats = encode.corpus_stats(units)
     weighted = encode.tfidf(units, stats)
     lengths = weighted.groupBy("conv_id", "turn", "chunk").agg(F.sum(F.col("weight") ** 2).alias("l")).collect()
     assert len(lengths) == 120 and all(abs(r["l"] - 1) < 1e-9 for r in lengths)
-    plan = weighted._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    plan = weighted._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange" not in plan
 
 
 def test_restrict_with_lists_and_tables(spark, units):
