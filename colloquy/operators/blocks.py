@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.session import materialise
+from colloquy.session import Size, materialise
+
+MOST_HITS = 10_000_000  # hits that a task keeps: requests of a block times k
 
 
 def hit_schema(requests: DataFrame, units: DataFrame, key: Sequence[str]) -> T.StructType:
@@ -27,6 +29,12 @@ def to_all_tasks(requests: DataFrame, units: DataFrame, read, search, schema: T.
     return units.mapInArrow(scan, schema)
 
 
+def parts_of(size: Size, bound: Size, k: int) -> int:
+    """How many times the bound the requests are, in rows, bytes or hits kept; no more than there are requests."""
+    over = max(-(-size.rows * k // MOST_HITS), -(-size.rows // max(1, bound.rows)), -(-size.bytes // max(1, bound.bytes)))
+    return min(over, max(1, size.rows))
+
+
 def block_by_block(requests: DataFrame, units: DataFrame, read, search, schema: T.StructType, blocks: int) -> DataFrame:
     """Cut the requests into blocks by a hash of their ids; one pass over the units per block, where these lie.
 

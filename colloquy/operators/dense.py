@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.vectors import nonzero
 from colloquy.operators import inside
-from colloquy.operators.blocks import block_by_block, hit_schema, to_all_tasks
+from colloquy.operators.blocks import block_by_block, hit_schema, parts_of, to_all_tasks
 from colloquy.operators.joins import join_small
 from colloquy.operators.ranking import admitted, largest_k, rank_hits, restrict_to
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
@@ -24,7 +24,6 @@ from colloquy.session import Size, measure
 
 # Requests measured to be within these bounds are one matrix that every task holds.
 MATRIX = Size(rows=100_000, bytes=64 * 1024 * 1024)
-MOST_HITS = 10_000_000  # hits that a task keeps: requests of a block times k
 GATHER = 50_000  # pairs whose vectors are copied out at a time
 
 
@@ -154,8 +153,8 @@ def semantic_search(
     if sample is None:
         return rank_hits(requests.sparkSession.createDataFrame([], schema), key, k)
     read, search = _searcher(key, filters, len(sample["vec"]), limit, None)
-    parts = max(-(-size.rows * limit // MOST_HITS), -(-size.rows // max(1, matrix.rows)), -(-size.bytes // max(1, matrix.bytes)))
-    if parts <= 1:
+    parts = parts_of(size, matrix, limit)
+    if parts <= 1 and size.within(matrix.rows, matrix.bytes):
         hits = to_all_tasks(requests, store, read, search, schema)
     else:
         hits = block_by_block(requests, store, read, search, schema, 2 * parts)

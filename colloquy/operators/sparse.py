@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import words as text_words
 from colloquy.operators import inside
-from colloquy.operators.blocks import block_by_block, hit_schema, to_all_tasks
+from colloquy.operators.blocks import block_by_block, hit_schema, parts_of, to_all_tasks
 from colloquy.operators.encode import CorpusStats, request_terms
 from colloquy.operators.joins import join_small
 from colloquy.operators.ranking import largest_k, rank_hits
@@ -22,7 +22,6 @@ from colloquy.session import Size, measure
 
 # Words of requests measured to be within these bounds are sent to every task.
 WORDS = Size(rows=500_000, bytes=64 * 1024 * 1024)
-MOST_HITS = 10_000_000  # hits that a task keeps: requests of a block times k
 
 
 Bm25 = tuple[float, float, float]  # k1, b, and the mean number of words per unit
@@ -117,8 +116,8 @@ def _best(
     size, limit = measure(asked), largest_k(asked, k)
     read, search = _searcher(key, filters, limit, bm25)
     schema = hit_schema(asked, units, key)
-    parts = max(-(-size.rows * limit // MOST_HITS), -(-size.rows // max(1, words.rows)), -(-size.bytes // max(1, words.bytes)))
-    if parts <= 1:
+    parts = parts_of(size, words, limit)
+    if parts <= 1 and size.within(words.rows, words.bytes):
         scored = to_all_tasks(asked, units, read, search, schema)
     else:
         scored = block_by_block(asked, units, read, search, schema, 2 * parts)
