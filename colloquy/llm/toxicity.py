@@ -39,7 +39,7 @@ CANDIDATES = 50_000  # most terms that are tried
 FUZZY = 5  # terms of so many letters or more may have one error
 STEMS = (4, 5, 6)
 NEAR = 6  # words on each side of a hit
-CACHE = 600_000
+CACHE = 200_000
 _TOKEN = re.compile(r"\w(?:[\w*@$!]*\w)?|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
 N_FEATURES = 7
