@@ -34,18 +34,24 @@ def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:
     return np.array(rows, dtype=np.float64).reshape(tables * bits, dim)
 
 
-def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int, planes: tuple[int, int] | None):
+def probes(bits: int, flips: int) -> list[int]:
+    """All numbers of `bits` bits with at most `flips` of them set: what to xor a code with to reach the codes near it."""
+    return [code for code in range(1 << bits) if code.bit_count() <= flips]
+
+
+def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int, planes: tuple[int, int, int] | None):
     """Two functions for use inside tasks: one that reads requests, one that searches batches for them.
 
-    With `planes` = (tables, bits) only pairs that share a signature are scored.
+    With `planes` = (tables, bits, flips) only pairs whose codes differ in at most `flips` bits in some table are scored.
     """
     key, conditions_of = list(key), [c for c in filters if c != "k"]
     tile, gather = inside.TILE, GATHER
     values, forbidden = inside.make_values(), inside.make_forbidden()
     start, candidates, offer, result = inside.make_keeper(key, limit)
-    tables, bits = planes or (0, 0)
+    tables, bits, flips = planes or (0, 0, 0)
     normals = hyperplanes(tables, bits, dim).T
     powers = 2 ** np.arange(bits)
+    masks = np.array(probes(bits, flips))
 
     def matrix(column) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -69,17 +75,19 @@ def _searcher(key: Sequence[str], filters: Sequence[str], dim: int, limit: int,
         return asked
 
     def colliding(unit_codes: np.ndarray, request_codes: np.ndarray):
-        """Pairs (unit, request) that agree in the code of some table, each once."""
-        width, met = len(request_codes), []
+        """Pairs (unit, request) whose codes are near in some table, each once."""
+        width = len(request_codes)
+        met = np.zeros(len(unit_codes) * width, dtype=bool)
         for t in range(tables):
-            order = np.argsort(request_codes[:, t], kind="stable")
-            ordered = request_codes[order, t]
+            probed = (request_codes[:, t, None] ^ masks).ravel()
+            order = np.argsort(probed, kind="stable")
+            ordered = probed[order]
             first = np.searchsorted(ordered, unit_codes[:, t], "left")
             count = np.searchsorted(ordered, unit_codes[:, t], "right") - first
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             row = np.repeat(np.arange(len(unit_codes)), count)
-            met.append(row * width + order[np.repeat(first, count) + within])
-        return np.divmod(np.unique(np.concatenate(met)), width)
+            met[row * width + order[np.repeat(first, count) + within] // len(masks)] = True
+        return np.divmod(np.flatnonzero(met), width)
 
     def search(asked: dict, batches: Iterator) -> pa.RecordBatch | None:
         n_asked = len(asked["id"])
@@ -193,33 +201,38 @@ def lsh_search(
     vectors: DataFrame,
     k: int,
     dim: int,
-    tables: int = 8,
+    tables: int = 32,
     bits: int = 10,
     key: Sequence[str] = CHUNK_KEY,
     matrix: Size = MATRIX,
+    flips: int = 1,
 ) -> DataFrame:
-    """Approximate top-k: exact cosine, but only over units that share a signature with the request.
+    """Approximate top-k: exact cosine, but only over units whose signature is near the request's.
 
+    Near is: in some table at most `flips` of the `bits` bits differ. What share of the true hits that
+    finds depends on how alike these are to the requests; the README has measured figures.
     Requests within `matrix` go to all tasks, as in `semantic_search`. More than that
-    are joined with the vectors on (table, code), with a salt so that one crowded
-    code is spread over many tasks; a pair is scored in the first table where it
-    collides, so none comes up twice.
+    are joined with the vectors on (table, code), each with all codes near its own, with a salt
+    so that one crowded code is spread over many tasks; a pair is scored in the first table
+    where it meets, so none comes up twice.
     """
     key = list(key)
     schema = hit_schema(requests, vectors, key)
     requests, store, filters = _needed(requests, vectors, key)
     size, limit = measure(requests), largest_k(requests, k)
     if size.within(matrix.rows, matrix.bytes):
-        read, search = _searcher(key, filters, dim, limit, (tables, bits))
+        read, search = _searcher(key, filters, dim, limit, (tables, bits, flips))
         hits = to_all_tasks(requests, store, read, search, schema)
         if "k" in filters:
             hits = join_small(hits, requests.select("req_id", "k"), ["req_id"], spread_by=key, size=size)
         return rank_hits(hits, key, k, limit)
     asked = signatures(requests.filter(nonzero("vec")), tables, bits, dim).withColumnsRenamed({"vec": "_vec", "sig": "_sig"})
-    asked = asked.select("*", F.posexplode("_sig").alias("_table", "_code"))
+    masks = probes(bits, flips)
+    asked = asked.select("*", F.posexplode("_sig").alias("_table", "_own"))
+    asked = asked.select("*", F.explode(F.array(*[F.col("_own").bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("_code")).drop("_own")
     store = signatures(store.filter(nonzero("vec")), tables, bits, dim)
     store = store.select("*", F.posexplode("sig").alias("_table", "_code"))
-    first = F.array_position(F.zip_with("_sig", "sig", lambda a, b: a == b), True) == F.col("_table") + 1
-    pairs = join_small(store, asked, ["_table", "_code"], spread_by=key, size=Size(size.rows * tables, size.bytes * tables))
+    first = F.array_position(F.zip_with("_sig", "sig", lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= flips), True) == F.col("_table") + 1
+    pairs = join_small(store, asked, ["_table", "_code"], spread_by=key, size=Size(size.rows * tables * len(masks), size.bytes * tables * len(masks)))
     scored = pairs.filter(first & admitted(filters)).withColumn("score", _cosine_udf()(F.col("_vec"), F.col("vec")))
     return rank_hits(scored, key, k, limit)

@@ -226,6 +226,11 @@ def statements() -> dict[str, str]:
             met AS (SELECT DISTINCT req_id, {UNIT} FROM rsig JOIN usig USING (t, code)),
             near AS (SELECT req_id, {UNIT}, score FROM pairs JOIN met USING (req_id, {UNIT})),
             {ranked('near', UNIT, 5)} SELECT * FROM hits""",
+        "lsh_near_search": f"""
+            WITH {HASHED}, {SIDES.replace('range(8)', 'range(32)')}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
+            met AS (SELECT DISTINCT req_id, {UNIT} FROM rsig JOIN usig USING (t) WHERE bit_count(xor(rsig.code::BIGINT, usig.code::BIGINT)) <= 1),
+            near AS (SELECT req_id, {UNIT}, score FROM pairs JOIN met USING (req_id, {UNIT})),
+            {ranked('near', UNIT, 5)} SELECT * FROM hits""",
         "meeting_details": r"""
             SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_speakers,
                    CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars,

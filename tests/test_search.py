@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from colloquy.operators import dense, encode, inside, joins, meaning, prepare, ranking, sparse
+from colloquy.plans import queries
 from colloquy.session import Size
 from colloquy.sources.vector_store import read_vectors, store_vectors
 
@@ -346,6 +347,21 @@ def test_lsh_paths_agree(asked, store, lsh_path):
     assert len(paths[0]) == 4 * 20
 
 
+def test_lsh_paths_agree_on_near_codes(asked, store, lsh_path):
+    paths = [found(dense.lsh_search(asked, store, 5, 8, tables=2, bits=5, flips=2, **how)) for how in ({}, lsh_path)]
+    agree(*paths)
+    assert paths[0]
+
+
+def test_lsh_finds_most_of_the_true_hits(spark):
+    """recall@5 on the registered queries' own data, against exact search."""
+    sf_dir, key = "/root/testdata/sf0.1", ["req_id", "conv_id", "turn", "chunk"]
+    exact = {tuple(r) for r in queries.hash_search(spark, sf_dir).select(key).collect()}
+    near = {tuple(r) for r in queries.lsh_near_search(spark, sf_dir).select(key).collect()}
+    assert len(exact) == 1000
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_conditions_of_all_requests_reach_the_scan(spark, tmp_path):
     rows = [(c, 0, 0, "user" if c % 2 else "assistant", [1.0, float(c)], "toy", 2, 1.0) for c in range(40)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, chunk int, role string, vec array<float>, encoder string, dim int, norm double")
