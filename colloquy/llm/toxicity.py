@@ -9,7 +9,9 @@ which words stand beside it, weighed by what labelled documents have there. A lo
 regression over the hits of a document gives its score.
 
 The lexicon and the regression are fitted on at most `sample` labelled documents, chosen by
-the hash of doc_id, near copies counted once; every document is scored over its whole text.
+the hash of doc_id; every document is scored over its whole text. Of labelled rows of one kind
+whose `SKETCH` least shingle hashes are all equal (all hashes, in shorter texts), the smallest
+doc_id counts alone; rows that merely share a passage all count.
 
 Results in special cases: a null or empty text has no hits and gets the score of a text
 without hits; null doc_ids are scored but never learnt from; a document with several labels
@@ -20,6 +22,7 @@ each. Other columns are kept, but columns named score and predicted are replaced
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -36,6 +39,7 @@ from colloquy.session import materialise
 SAMPLE = 20_000  # labelled documents that lexicon and regression are fitted on
 TERMS = 5_000  # most terms of a lexicon
 CANDIDATES = 50_000  # most terms that are tried
+SKETCH = 16  # least shingle hashes that near copies have in common
 FUZZY = 5  # terms of so many letters or more may have one error
 STEMS = (4, 5, 6)
 NEAR = 6  # words on each side of a hit
@@ -202,6 +206,26 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
+def _counted_once(rows: DataFrame) -> DataFrame:
+    """(toxic, mark, doc_id, text): of near copies of one kind the row with the smallest doc_id."""
+
+    def marked(batches):
+        for whole in batches:
+            for batch in by_bytes(whole, "text"):
+                words = Words(batch.column("text"))
+                runs, first = shingles(words.keys(), words.first, 5)
+                marks = [hashlib.md5(np.unique(runs[a:b])[:SKETCH].tobytes()).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_toxic"), batch.column("doc_id"), batch.column("text"), pa.array(marks, pa.binary())],
+                    names=["toxic", "doc_id", "text", "mark"],
+                )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    marks = rows.select("_toxic", "doc_id", "text").mapInArrow(marked, f"toxic int, doc_id {kind}, text string, mark binary")
+    least = marks.groupBy("toxic", "mark").agg(F.min(F.struct("doc_id", "text")).alias("least"))
+    return least.select("toxic", "mark", F.col("least.doc_id").alias("doc_id"), F.col("least.text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from=None) -> Model:
     """Lexicon, context weights and regression from labelled documents; `learn_from` is a condition on labels' doc_id."""
     spark = docs.sparkSession
@@ -216,18 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from=Non
     # At most `sample` rows of two numbers: small enough to broadcast at any size of the tables.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_key"))
 
-    def marked(batches):
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                words = Words(batch.column("text"))
-                runs, first = shingles(words.keys(), words.first, 5)
-                least = np.array([runs[a:b].min() if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_toxic"), batch.column("text"), pa.array(least.view(np.int64))], names=["toxic", "text", "mark"]
-                )
-
-    marks = rows.select("_toxic", "text").mapInArrow(marked, "toxic int, text string, mark long")
-    held = materialise(marks.dropDuplicates(["toxic", "mark"]), "toxic-sample")
+    held = materialise(_counted_once(rows), "toxic-sample")
     kinds = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = kinds.get(1, 0), kinds.get(0, 0)
     if not toxic or not other:

@@ -140,6 +140,16 @@ def test_held_out_documents_are_told_apart(talked, none):
     assert toxicity.score(none, model, 0.3).count() == 0
 
 
+def test_rows_that_share_a_passage_all_count(spark):
+    """A long common header, in which most of the least shingle hashes lie, makes no copies; copies leave the smallest doc_id."""
+    header = " ".join(f"head{i}" for i in range(300))
+    rows = [(100 + i, f"{header} " + " ".join(f"own{i}x{j}" for j in range(60)), 1) for i in range(40)]
+    rows += [(500 - i, "the same few words in every one of these rows", 1) for i in range(20)]
+    rows += [(900, "the same few words in every one of these rows", 0)]
+    held = toxicity._counted_once(spark.createDataFrame(rows, "doc_id long, text string, _toxic int").repartition(5)).collect()
+    assert sorted(r["doc_id"] for r in held) == [*range(100, 140), 481, 900]
+
+
 def test_without_labels_every_text_gets_one_score(talked, none):
     docs, labels, _ = talked
     for d, given in ((docs, labels.limit(0)), (docs, labels.where("toxic = 0")), (none, labels)):
