@@ -37,8 +37,6 @@ from colloquy.llm.words import Words, by_bytes, shingles
 from colloquy.session import materialise
 
 SAMPLE = 20_000  # labelled documents that lexicon and regression are fitted on
-TERMS = 5_000  # most terms of a lexicon
-CANDIDATES = 50_000  # most terms that are tried
 SKETCH = 16  # least shingle hashes that near copies have in common
 FUZZY = 5  # terms of so many letters or more may have one error
 STEMS = (4, 5, 6)
@@ -149,32 +147,43 @@ def _log_tail(k: int, n: int, p: float) -> float:
     return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
 
 
-def choose(counts: list[tuple[str, bool, int, int]], sizes: dict[int, int], toxic: int, other: int) -> list[tuple[str, bool]]:
-    """Terms beyond chance: of all as frequent, less than one half is expected to look so by accident."""
+def beyond_chance(sizes: dict[int, int], toxic: int, other: int):
+    """A test of (t, c), documents with a term: of all terms as frequent, less than one half is expected to look so by accident."""
     share = toxic / (toxic + other)
     as_frequent, total = {}, 0
     for size in sorted(sizes, reverse=True):
         total += sizes[size]
         as_frequent[size] = total
-    good = {}
-    for term, stem, t, c in counts:
+
+    def passes(t: int, c: int) -> bool:
         pure = t / toxic / (t / toxic + (c + 0.5) / (other + 1))
-        if pure >= 0.8 and t >= 4 * c and _log_tail(t, t + c, share) + math.log(as_frequent[t + c]) <= math.log(0.5):
-            good[term, stem] = t
+        return pure >= 0.8 and t >= 4 * c and _log_tail(t, t + c, share) + math.log(as_frequent[t + c]) <= math.log(0.5)
+
+    return passes
+
+
+def choose(counts: list[tuple[str, bool, int, int]], sizes: dict[int, int], toxic: int, other: int) -> list[tuple[str, bool]]:
+    """All terms beyond chance, less those that others cover."""
+    passes = beyond_chance(sizes, toxic, other)
+    good = {(term, stem): t for term, stem, t, c in counts if passes(t, c)}
+    longer: dict[str, int] = {}  # the most that a stem one letter longer says
+    for (term, stem), t in good.items():
+        if stem:
+            longer[term[:-1]] = max(t, longer.get(term[:-1], 0))
     # A stem makes way for a longer one that says nearly as much; what a chosen stem covers is left out.
     chosen: list[tuple[str, bool]] = []
     stems: set[str] = set()
     for (term, stem), t in sorted(good.items(), key=lambda x: (len(x[0][0]), not x[0][1], x[0][0])):
         if any(term[:k] in stems for k in STEMS):
             continue
-        if stem and any(s and len(w) == len(term) + 1 and w.startswith(term) and x >= 0.9 * t for (w, s), x in good.items()):
+        if stem and longer.get(term, 0) >= 0.9 * t:
             continue
         if stem and good.get((term, False), 0) >= 0.9 * t:
             continue  # a plain word, not a stem
         chosen.append((term, stem))
         if stem:
             stems.add(term)
-    return chosen[:TERMS]
+    return chosen
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -270,8 +279,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from=Non
     counts = counts.groupBy("term", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t + c >= 3")
     counts = materialise(counts, "toxic-terms")
     sizes = {r["k"]: r["n"] for r in counts.groupBy((F.col("t") + F.col("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    likely = counts.where(f"t >= 4 * c AND t / {toxic} >= 4 * (c / {other})").orderBy(F.desc("t"), "c", "term", "stem").limit(CANDIDATES)
-    lexicon = Lexicon(choose([(r["term"], r["stem"], r["t"], r["c"]) for r in likely.collect()], sizes, toxic, other))
+    passes = beyond_chance(sizes, toxic, other)
+
+    def tested(batches):
+        for batch in batches:
+            t, c = batch.column("t").to_pylist(), batch.column("c").to_pylist()
+            yield batch.filter(pa.array([passes(*x) for x in zip(t, c, strict=True)], pa.bool_()))
+
+    # The test itself bounds what is collected: every term that passes it is used, however many there are.
+    likely = counts.select("term", "stem", "t", "c").mapInArrow(tested, "term string, stem boolean, t long, c long").collect()
+    lexicon = Lexicon(choose([(r["term"], r["stem"], r["t"], r["c"]) for r in likely], sizes, toxic, other))
 
     def beside(batches):
         for batch in batches:
@@ -287,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from=Non
 
     around = held.select("toxic", "text").mapInArrow(beside, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # A word tells apart only where both kinds of documents have hits; ten occurrences of each are added.
-    around = around.where("c > 0").orderBy(F.desc("c"), "w").limit(TERMS).collect()
+    around = around.where("c > 0").orderBy("w").collect()
     n_t, n_c = sum(r["t"] for r in around) + 10, sum(r["c"] for r in around) + 10
     context = {r["w"]: math.log((r["t"] + 10) / n_t) - math.log((r["c"] + 10) / n_c) for r in around}
 

@@ -150,6 +150,13 @@ def test_rows_that_share_a_passage_all_count(spark):
     assert sorted(r["doc_id"] for r in held) == [*range(100, 140), 481, 900]
 
 
+def test_no_term_beyond_chance_is_cut():
+    """More terms than 5,000, the longest of them with the most documents."""
+    counts = [(f"term{i}", False, 40, 0) for i in range(10_000, 16_000)] + [("much_longer_term_than_these", False, 400, 0)]
+    chosen = toxicity.choose(counts, {40: 6000, 400: 1}, 500, 5000)
+    assert sorted(chosen) == sorted((term, stem) for term, stem, _, _ in counts)
+
+
 def test_without_labels_every_text_gets_one_score(talked, none):
     docs, labels, _ = talked
     for d, given in ((docs, labels.limit(0)), (docs, labels.where("toxic = 0")), (none, labels)):
