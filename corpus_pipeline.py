@@ -53,14 +53,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of documents that are similar by 0.8 or more over shingles of five words, the smallest doc_id stays.
 
-    A row without doc_id is known by a negative hash of its text. Rows of one doc_id with equal texts are one.
+    A row without doc_id stays only where its whole group has none; of rows that share the smallest doc_id the one with
+    the smallest digest of its text stays. Rows of one doc_id with equal texts are one, texts without words too.
     """
-    stand_in = -1 - F.shiftrightunsigned(F.xxhash64("text"), 1)
-    keyed = _apart(docs).withColumn("_key", F.coalesce(F.col("doc_id"), stand_in))
+    keyed = materialise(_apart(docs).withColumn("_key", F.monotonically_increasing_id()), "near-copies-keyed")  # numbered once, in a table
     found = near_dedup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    rows = keyed.join(kept, "_key", "left_semi")
-    return _back(rows.dropDuplicates(["_key", "text"]), docs)
+    names = keyed.select("_key", F.col("doc_id").alias("_id"), F.md5("text").alias("_digest"))
+    group = found.select(F.col("doc_id").alias("_key"), "component_id").join(names, "_key")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_digest", "_key")).alias("first")
+    kept = group.groupBy("component_id").agg(first).select("first._id", "first._digest", "first._key")
+    kept = kept.groupBy("_id", "_digest").agg(F.min("_key").alias("_key")).select("_key")
+    return _back(keyed.join(kept, "_key", "left_semi"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

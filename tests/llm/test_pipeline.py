@@ -1,6 +1,7 @@
 """The pipeline stage by stage against plain Python, and as a whole."""
 
 import collections
+import hashlib
 import random
 
 import pytest
@@ -84,6 +85,22 @@ def test_every_stage_does_its_work_and_no_more(spark, sf_dir):
     assert max(used.values()) <= 1024 and len(used) <= 1.05 * sum(used.values()) / 1024 + 1
 
 
+def test_near_copies_of_one_id_and_of_none_are_one(spark, odd):
+    text = [f"word{i}" for i in range(80)]
+    near = lambda end: " ".join([*text, end])
+    ids = [(5, "a"), (5, "b"), (None, "c"), (None, "a"), (9, "d")]
+    other = [" ".join(f"{w}{i}" for i in range(50)) for w in ("x", "y")]
+    texts = [(d, near(e)) for d, e in ids] + [(None, other[0]), (None, other[0] + " z"), (3, other[1]), (3, other[1]), (3, ""), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", None, 0.1, "x", 1) for d, t in texts], odd.schema).repartition(4)
+    kept = pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    rows = sorted(((r["doc_id"] or -1, r["text"]) for r in kept.collect()), key=str)
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    five = min(near("a"), near("b"), key=digest)
+    without = min(other[0], other[0] + " z", key=digest)
+    assert rows == sorted([(5, five), (-1, without), (3, other[1]), (3, ""), (4, "")], key=str)
+
+
 def test_run_equals_its_stages_and_passes_empty_tables(spark, sf_dir):
     folder, _ = sf_dir
     whole = pipeline.run(spark, folder)
