@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, kd_search, lm_score, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from colloquy.llm import byte_bpe, chat, fill_middle, kd_search, lm_score, manifest, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from colloquy.session import materialise
 
 
@@ -91,8 +91,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out, "text"), model, limit=0.3).drop("text")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    back = byte_bpe.decode_ids(encoded.select("doc_id", "ids"), ranks)
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1).drop("text")
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document by its id's crc32 is folded with the line ends of its text deleted."""
+    fields = lambda text: (*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    text = F.col("text")
+    other = F.when(crc_mod("doc_id", 2) == 0, F.translate(text, "\n", "")).otherwise(text)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", manifest.leaf_of(*fields(text)).alias("leaf"), manifest.leaf_of(*fields(other)).alias("found"))
+    proven = manifest.manifest(rows, "source", "doc_id")
+    reached = manifest.folded(F.col("found"), F.col("proof")).alias("folded_root")
+    proven = proven.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), reached)
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_warc, op4_chat_windows, op5_mixing, op6_quality_rules, op7_token_counts, op8_top_k_search, op9_packing, op10_toxicity, op11_byte_bpe, op12_fill_middle, op13_manifest)}
 
 
 #: DuckDB has no base32, so the digest's 32 signs are read off its 40 hexadecimal ones, five of these at a time.
@@ -217,5 +244,54 @@ FROM f LEFT JOIN a ON f.lang IS NOT DISTINCT FROM a.lang
 """
 
 
+_FILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+#: crc32 bit by bit: DuckDB has no such function. The trees are climbed level by level, then every leaf is folded up.
+_MANIFEST = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, *,
+    (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, (i + 1)::BIGINT, 1))::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda r, k: xor(r >> 1, 3988292384 * (r & 1))))) % 2 = 0 AS other FROM documents),
+e AS (SELECT rid, doc_id, source, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text,
+    CASE WHEN other THEN replace(text, chr(10), '') ELSE text END AS told FROM d),
+l AS (SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(told) || ':' || told, '-')) AS found FROM e),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (
+  SELECT g, 0 AS level, pos, n, leaf AS h FROM p
+  UNION ALL SELECT g, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, level, pos // 3),
+top AS (
+  SELECT 0 AS level, g AS pos, count(*) OVER () AS n, h FROM up WHERE n = 1
+  UNION ALL SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 3),
+around AS (
+  SELECT a.g, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM up a LEFT JOIN up b ON a.g = b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos WHERE a.n > 1 GROUP BY ALL),
+above AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM top a LEFT JOIN top b ON a.level = b.level AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos WHERE a.n > 1 GROUP BY ALL),
+steps AS (
+  SELECT p.rid, a.level, a.l, a.r FROM p JOIN around a ON a.g = p.g AND a.pos = p.pos // (3 ** a.level)::BIGINT
+  UNION ALL SELECT p.rid, 100 + a.level, a.l, a.r FROM p JOIN above a ON a.pos = p.g // (3 ** a.level)::BIGINT),
+ways AS (SELECT rid, list({'l': l, 'r': r} ORDER BY level) AS s, string_agg(l || r, '' ORDER BY level) AS beside FROM steps GROUP BY rid),
+fold AS (
+  SELECT p.rid, 1 AS k, found AS h FROM p
+  UNION ALL SELECT f.rid, k + 1, sha256(s[k].l || h || s[k].r) FROM fold f JOIN ways w ON f.rid = w.rid WHERE k <= len(s)),
+done AS (SELECT rid, arg_max(h, k) AS folded FROM fold GROUP BY rid)
+SELECT p.doc_id, leaf, u.h AS subroot, t.h AS root, sha256(coalesce(beside, '')) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM p JOIN done ON p.rid = done.rid LEFT JOIN ways w ON p.rid = w.rid JOIN up u ON u.g = p.g AND u.n = 1 JOIN top t ON t.n = 1
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_warc": _BASE32, "op4_chat_windows": _CHAT, "op5_mixing": _MIX, "op6_quality_rules": _QUALITY, "op8_top_k_search": _TOP_K}
+    return {"op3_warc": _BASE32, "op4_chat_windows": _CHAT, "op5_mixing": _MIX, "op6_quality_rules": _QUALITY, "op8_top_k_search": _TOP_K, "op12_fill_middle": _FILL, "op13_manifest": _MANIFEST}

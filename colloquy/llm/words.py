@@ -46,10 +46,10 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and where each row starts (one entry more than rows); a null is empty."""
+    """All bytes of a column of strings or bytes, and where each row starts (one entry more than rows); a null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
@@ -131,7 +131,7 @@ def shingles(keys: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cut a batch so that a piece holds about `most` bytes of `column`, one row at least."""
-    texts = batch.column(column).cast(pa.large_string()).fill_null("")
+    texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
     sizes = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     at = 0
     while at < batch.num_rows:
