@@ -39,7 +39,7 @@ from colloquy.llm.ship import ship
 from colloquy.llm.words import by_bytes, flat
 
 LEAF = 4  # bytes merged directly
-SHORT, MERGED = 24, 300_000  # encodings of so many bytes at most are remembered, and so many of them
+SHORT, MERGED = 24, 150_000  # encodings of so many bytes at most are remembered, and so many of them
 BLOCK = 4096  # characters matched at once in a text that is taken whole
 SLICE = 4 << 20
 NONE = 1 << 40  # the rank of what is no token

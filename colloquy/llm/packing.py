@@ -16,28 +16,21 @@ shared folder, so a task run again finds the same numbers.
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.pretokens import ColumnEncoder
 from colloquy.llm.ship import ship
-from colloquy.session import materialise
+from colloquy.llm.words import by_bytes
+from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measure
 
-# The pieces into which the byte-level vocabulary cuts a text, and white space as Unicode has it.
-WHITE = r"\t-\r \x85\xa0  -     　"
-PRETOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-
-# The sign that a byte-level vocabulary shows for each byte: printable ones as they are, the others from 256 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
-
-CACHE = 800_000  # encoded pretokens kept per task, each of at most LONGEST characters
-LONGEST = 48
+TOGETHER = 100  # words handed to the library as one text
+SLICE = 12 << 20  # bytes of text encoded at once
 
 
 class Encoder:
@@ -45,8 +38,9 @@ class Encoder:
 
     def __init__(self, file: str):
         import json
+        import os
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(file)
@@ -55,38 +49,31 @@ class Encoder:
         if cut["normalizer"] or (cut["pre_tokenizer"] or {}) | byte_level != cut["pre_tokenizer"] or cut["model"]["type"] != "BPE":
             raise ValueError("only byte-level BPE files that leave the text as it is are read")
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        # A space before a word begins a pretoken, so words are looked up whole, pretokens for unknown words only.
-        self.words = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.known = _Known(_Known(tokenizer.model.tokenize).__getitem__, regex.compile(PRETOKENS).findall)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given the task one core
+        tokenizer.encode_special_tokens = True  # special strings are cut out here, for speed
+        self.batch = tokenizer.encode_batch_fast
+        self.line_end = np.frombuffer(self._plain("\n"), "<u4")
+        self.columns = ColumnEncoder(lambda piece: self.encode(piece.decode()), self.words if len(self.line_end) == 1 else None, list(self.special))
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.batch([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and where each word's begin and end. They are put into lines, TOGETHER at a time: a line end between two words touches neither."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        bounds = pa.array([*range(0, len(words), TOGETHER), len(words)], pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(bounds, words.cast(pa.binary())), b"\n").cast(pa.string()).to_pylist()
+        made = [part for x in self.batch(lines, add_special_tokens=False) for part in (np.array(x.ids, "<u4"), self.line_end)]
+        ids = np.concatenate(made)
+        ends = np.flatnonzero(ids == self.line_end[0])
+        return np.delete(ids, ends), np.append(0, ends - np.arange(len(ends)))
 
     def encode(self, text: str) -> bytes:
-        known = self.known.__getitem__
         if self.cut and any(s in text for s in self.special):
-            return b"".join(
-                self.special[x] if i % 2 else b"".join(map(known, self.words(x))) for i, x in enumerate(self.cut(text))
-            )
-        return b"".join(map(known, self.words(text)))
-
-
-class _Known(dict):
-    """Ids by text, made on demand and bounded in number and length; with `parts`, put together from those of the parts."""
-
-    def __init__(self, make, parts=None):
-        super().__init__()
-        self.make, self.parts = make, parts
-
-    def __missing__(self, text: str) -> bytes:
-        if self.parts:
-            ids = b"".join(map(self.make, self.parts(text)))
-        else:
-            tokens = self.make(text.encode().decode("latin-1").translate(_SHOWN))
-            ids = np.array([token.id for token in tokens], "<u4").tobytes()
-        if len(text) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[text] = ids
-        return ids
+            return b"".join(self.special[x] if i % 2 else self._plain(x) for i, x in enumerate(self.cut(text)))
+        return self._plain(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -104,42 +91,36 @@ def pieces(docs: DataFrame, tokenizer: str, room: int, end: int, keep_ids: bool
     def cut(batches):
         from pyspark import TaskContext
 
-        encode, task = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        columns, task = encoder(tokenizer).columns, TaskContext.get().partitionId()
         seen = np.zeros(room + 1, dtype=np.int64)
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            owner, rows, kept = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + tail
-                n = len(ids) // 4
-                start, stop = 0, (n - 1) % room + 1  # the first piece takes what is left over
-                for k in count():
-                    part = ids[4 * start : 4 * stop]
-                    length = stop - start
-                    owner.append(i)
-                    rows.append((k, start, length, zlib.crc32(part), int(seen[length])))
-                    if keep_ids:
-                        kept.append(part)
-                    seen[length] += 1
-                    if stop == n:
-                        break
-                    start, stop = stop, stop + room
-                if len(rows) >= 100_000:
-                    yield made(batch, owner, rows, kept, task)
-                    owner, rows, kept = [], [], []
-            if rows:
-                yield made(batch, owner, rows, kept, task)
-
-    def made(batch, owner, rows, kept, task):
-        k, start, length, crc, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            for part in by_bytes(batch, "text", SLICE):
+                ids, first = columns.encode(part.column(1))
+                yield made(part.column(0), np.insert(ids.to_numpy(), first[1:], end).astype("<u4"), np.diff(first) + 1, seen, task)
+
+    def made(docs, ids, sizes, seen, task):
+        """Pieces of rows whose ids lie one after the other; `seen` counts the task's pieces by length."""
+        parts = (sizes - 1) // room + 1
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        head = ((sizes - 1) % room + 1)[owner]  # the first piece takes what is left over
+        start = np.where(k > 0, head + (k - 1) * room, 0)
+        length = np.where(k > 0, room, head)
+        ends = np.cumsum(length)
+        view = memoryview(ids).cast("B")
+        crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+        order = np.argsort(length, kind="stable")
+        ordered = length[order]
+        number = np.empty(len(length), dtype=np.int64)
+        number[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
+        seen += np.bincount(length, minlength=room + 1)
         columns = [
-            batch.column(0).take(pa.array(owner, pa.int64())),
-            pa.array(k.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(n),
-            pa.array(np.full(len(n), task, np.int64)),
+            docs.take(pa.array(owner)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+            pa.array(number), pa.array(np.full(len(k), task, np.int64)),
         ]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "_n", "_task"]
         if keep_ids:
-            columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in kept], pa.list_(pa.int64())))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int64))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -304,5 +285,7 @@ def pack(cut: DataFrame, room: int) -> DataFrame:
             yield from out.to_batches()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
-    joined = cut.join(sizes.select("_task", "length", "_before"), ["_task", "length"]).select(*names, "_n", "_before")
+    sizes = sizes.select("_task", "length", "_before")
+    sizes = F.broadcast(sizes) if measure(sizes).within(BROADCAST_ROWS, BROADCAST_BYTES) else sizes.hint("shuffle_merge")
+    joined = cut.join(sizes, ["_task", "length"]).select(*names, "_n", "_before")
     return joined.mapInArrow(placed, f"{kinds}, sequence_id long, offset long")

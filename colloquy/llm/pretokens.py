@@ -9,7 +9,7 @@ and puts the ids together, so no Python object is made per piece.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from colloquy.llm.words import _SPACE, flat
 WIDE_WHITE = "\x85\xa0  -     　"
 WHITE = rf"\t-\r {WIDE_WHITE}"
 
-KNOWN = 500_000  # pieces kept per task, each of at most LONGEST bytes
+KNOWN = 300_000  # pieces kept per task, each of at most LONGEST bytes
 LONGEST = 64
 
 
@@ -50,28 +50,37 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def together(made: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids of pieces, one after the other, and where each piece's begin and end."""
+    return np.frombuffer(b"".join(made), "<u4"), np.cumsum([0, *map(len, made)]) // 4
+
+
 class ColumnEncoder:
-    """Ids of columns by `ids_of(piece) -> bytes`, little-endian 32-bit numbers; a piece is UTF-8.
+    """Ids of columns. `ids_of(piece)` gives a piece's ids as little-endian 32-bit numbers; a piece is UTF-8.
 
-    Rows with one of the strings `special`, or with white space beyond ASCII, are passed to `ids_of` whole.
+    `words(pieces)`, if given, does the same for a column of distinct words at once and returns what `together` does: a word has no
+    white space but for a blank at its front. Rows with one of the strings `special`, or with white space beyond ASCII, are one piece each.
     """
 
-    def __init__(self, ids_of: Callable[[bytes], bytes], special: list[str] = ()):
+    def __init__(self, ids_of: Callable[[bytes], bytes], words: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None, special: Sequence[str] = ()):
         import re
 
-        self.ids_of = ids_of
+        self.ids_of, self.words = ids_of, words or (lambda pieces: together(self._ids(pieces.to_pylist())))
         self.apart = "|".join([f"[{WIDE_WHITE}]", *map(re.escape, special)])
         self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, piece: bytes) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.ids_of(piece)
-            if len(piece) <= LONGEST:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        out = []
+        for piece in pieces:
+            ids = self.known.get(piece)
+            if ids is None:
+                ids = self.ids_of(piece)
+                if len(piece) <= LONGEST:
+                    if len(self.known) >= KNOWN:
+                        self.known.clear()
+                    self.known[piece] = ids
+            out.append(ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(ids of all rows one after the other, first id of every row and the end)."""
@@ -79,12 +88,15 @@ class ColumnEncoder:
         raw, offsets = flat(texts)
         whole = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False)
         start = cuts(raw, offsets, whole)
-        bounds = pa.py_buffer(np.append(start, len(raw)).astype(np.int64))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, bounds, pa.py_buffer(np.ascontiguousarray(raw))])
+        bounds = np.append(start, len(raw)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = pieces.dictionary_encode()
-        made = [self._ids(piece) for piece in coded.dictionary.to_pylist()]
-        ends = np.cumsum([0, *map(len, made)]) // 4
-        values = pa.array(np.frombuffer(b"".join(made), "<u4"), pa.uint32())
-        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).take(coded.indices)
-        of_piece = lists.offsets.to_numpy()
-        return lists.values, of_piece[np.searchsorted(start, offsets)]
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        first = np.searchsorted(start, offsets)  # piece of every row
+        word = np.zeros(len(distinct), dtype=bool)  # a piece ends in white space only if it is nothing else
+        word[codes] = ~_SPACE[raw[bounds[1:] - 1]] & ~np.repeat(whole, np.diff(first))
+        parts = self.words(distinct.filter(pa.array(word))), together(self._ids(distinct.filter(pa.array(~word)).to_pylist()))
+        lists = pa.concat_arrays([pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.uint32())) for ids, ends in parts])
+        place = np.where(word, np.cumsum(word) - 1, word.sum() + np.cumsum(~word) - 1)
+        lists = lists.take(pa.array(place[codes]))
+        return lists.values, lists.offsets.to_numpy()[first]
