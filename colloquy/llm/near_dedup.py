@@ -37,6 +37,7 @@ from colloquy.llm.words import Words, by_bytes, mix, shingles
 from colloquy.session import materialise, measure
 
 BLOCK = 1024  # members of a list that meet in one task
+SHINGLES = 4_000_000  # shingles of one block of a list, about: 32 MB
 SENT_ROWS, SENT_BYTES = 2_000_000, 64 << 20  # wanted classes are broadcast below both, else joined by shuffle
 _A, _B = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
@@ -171,9 +172,10 @@ def _decided(percent: int):
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
-    """Members of a list dealt to pairs of blocks (i <= j): a list of L members has L / BLOCK blocks."""
-    counts = entries.groupBy("v").agg(F.count(F.lit(1)).alias("_l"))
-    joined = entries.join(counts, "v").withColumn("_nb", F.ceil(F.col("_l") / BLOCK).cast("int"))
+    """Members of a list dealt to pairs of blocks (i <= j): as many blocks as BLOCK members, or SHINGLES of their shingles, call for."""
+    sums = entries.groupBy("v").agg(F.count(F.lit(1)).alias("_l"), F.sum("n").alias("_s"))
+    blocks = F.greatest(F.ceil(F.col("_l") / BLOCK), F.least("_l", F.ceil(F.col("_s") / SHINGLES))).cast("int")
+    joined = entries.join(sums.select("v", blocks.alias("_nb")), "v")
     own = F.pmod(F.xxhash64("cid"), F.col("_nb")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_nb") - 1),
@@ -183,14 +185,26 @@ def _blocks(entries: DataFrame) -> DataFrame:
     return dealt.select(*entries.columns, F.col("_own").alias("own"), F.col("_p.i").alias("i"), F.col("_p.j").alias("j"))
 
 
+def _spread(still: DataFrame, sketch: DataFrame, listed: DataFrame) -> DataFrame:
+    """Members with their sketches, each pair of blocks where its own hash says: by the list alone, all of a hot list would be one task."""
+    return _blocks(still).join(sketch, "cid").join(listed, "cid").repartition("v", "i", "j")
+
+
+def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column of lists of numbers, as views."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    at, values = whole.offsets.to_numpy(), whole.values.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _members(k: int, least: int, percent: int):
     """In one pair of blocks of a list: the members that have a partner in another component whose estimate passes."""
 
     def found(key, table):
         v, i, j = (x.as_py() for x in key)
         cid, comp, n, own = (table[c].to_numpy() for c in ("cid", "comp", "n", "own"))
-        whole = [np.array(x, np.int64) for x in table["sketch"].to_pylist()]
-        listed = [np.array(x, np.int64) for x in table["listed"].to_pylist()]
+        whole, listed = _slices(table["sketch"]), _slices(table["listed"])
         values, at = _dense(whole)
         owner = np.repeat(np.arange(len(whole)), np.diff(at))
         lv, lat = _dense_in(listed, values)
@@ -256,7 +270,7 @@ def _joined(percent: int):
     def linked(key, table):
         _, i, j = (x.as_py() for x in key)
         cid, comp, own = (table[c].to_numpy() for c in ("cid", "comp", "own"))
-        rows = [np.array(x, np.int64) for x in table["values"].to_pylist()]
+        rows = _slices(table["values"])
         values, at = _dense(rows)
         owner, size = np.repeat(np.arange(len(rows)), np.diff(at)), np.diff(at)
         _, root = np.unique(comp, return_inverse=True)  # components of the list, merged as links are found
@@ -316,9 +330,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int
     placed = materialise(placed, "entries")
     several = placed.groupBy("v").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("v")
     still = placed.join(several, "v", "left_semi")
-    full = still.join(sketch, "cid").join(ranked.select("cid", "listed"), "cid")
+    full = _spread(still, sketch, ranked.select("cid", "listed"))
     members = "v long, i int, j int, cid long, comp long, own int"
-    met = _blocks(full).groupBy("v", "i", "j").applyInArrow(_members(k, least, percent), members)
+    met = full.groupBy("v", "i", "j").applyInArrow(_members(k, least, percent), members)
     met = materialise(met, "members")
     sets = _wanted_sets(docs, materialise(met.select("cid").distinct().join(ids, "cid"), "wanted"), width)
     rest = met.join(sets, "cid").groupBy("v", "i", "j").applyInArrow(_joined(percent), "a long, b long")

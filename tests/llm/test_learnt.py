@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -256,3 +257,25 @@ def test_digest_does_not_depend_on_order():
     values = np.array([3, 1, 2], np.uint64)
     assert near_dedup._digest(values) == near_dedup._digest(values[::-1]) != near_dedup._digest(values[:2])
     assert pa.types.is_list(near_dedup._lists([values, values[:0]]).type)
+
+
+def test_blocks_of_a_hot_list_are_spread(spark):
+    still = spark.range(3000).select(F.greatest(F.least("id", F.lit(7)), F.lit(7)).alias("v"), F.col("id").alias("cid"), F.lit(100).cast("long").alias("n"), F.col("id").alias("comp"))
+    lists = F.array(F.lit(7).cast("long"))
+    spread = near_dedup._spread(still, still.select("cid", lists.alias("sketch")), still.select("cid", lists.alias("listed")))
+    plan = spread.groupBy("v", "i", "j").applyInArrow(near_dedup._members(64, 35, 85), "v long")._jdf.queryExecution().toString()
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert any(re.search(r"hashpartitioning\(v#\w+, i#\w+, j#\w+", line) for line in exchanges), exchanges
+    assert spread.groupBy("v", "i", "j").count().count() == 6  # three blocks, paired
+
+
+def test_long_unlinked_texts_of_one_list(spark, monkeypatch):
+    """Fifty texts of 20,000 words that share a passage in pairs of three quarters, and two that are linked."""
+    monkeypatch.setattr(near_dedup, "SHINGLES", 100_000)
+    rng = random.Random(5)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(15_000)]
+    texts = [" ".join(shared + [f"o{i}x{rng.randrange(10**6)}" for _ in range(5_000)]) for i in range(49)]
+    texts.append(texts[7] + " one more end")
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 7 if i == 49 else i for i in range(50)}
+    assert min(r["n_shingles"] for r in got) > 19_000
