@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,8 @@ from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, Size, materialise,
 # How finely a corpus is cut for work on its terms: tasks of about this many words.
 WORDS_PER_TASK = 5_000_000
 SMALL = Size(BROADCAST_ROWS, BROADCAST_BYTES)
-HOT_WORDS = 50_000  # words that are sent to all tasks where the vocabulary is not
+HOT_WORDS = 50_000  # words at most that are sent to all tasks where the vocabulary is not
+
 
 @dataclass(frozen=True)
 class CorpusStats:
@@ -38,6 +40,10 @@ class CorpusStats:
     n_units: int
     n_words: int
 
+    def hot(self) -> DataFrame:
+        """Words in so many units that there can be no more than HOT_WORDS of them: their frequencies add up to `n_words` at most."""
+        return self.table.filter(F.col("df") * HOT_WORDS >= self.n_words)
+
     def tasks(self) -> int:
         """Partitions for work on all terms of the corpus: by its size, and at least one per core."""
         cores = self.table.sparkSession.sparkContext.defaultParallelism
@@ -83,7 +89,7 @@ def tfidf_rows(units: DataFrame, stats: CorpusStats, key: Sequence[str] = CHUNK_
     rest = [c for c in units.columns if c != "text"]
     if measure(stats.table).within(small.rows, small.bytes):
         return _weighted_in_place(units, stats, rest)
-    many = stats.table.orderBy(F.desc("df"), "term").limit(HOT_WORDS)
+    many = stats.hot()
     split = terms(by_utterance(units, stats.tasks()))
     hot = split.join(F.broadcast(many), "term")
     rare = stats.table.join(F.broadcast(many.select("term")), "term", "left_anti")
@@ -107,17 +113,18 @@ def _weighted_in_place(units: DataFrame, stats: CorpusStats, rest: list[str]) ->
     ])))])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.column("term").combine_chunks()
+        known = pd.Index(shared.value.column("term").to_numpy())
         df = shared.value.column("df").to_numpy()
         for batch in batches:
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column("terms")), 0))
             lists = batch.column("terms")
             flat = lists.flatten()
-            at = pc.index_in(flat.field("term"), value_set=known).to_numpy(zero_copy_only=False)
+            coded = flat.field("term").dictionary_encode()
+            at = known.get_indexer(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            keep = ~np.isnan(at)  # words of units that the statistics do not cover
+            keep = at >= 0  # others are words of units that the statistics do not cover
             tf, row = flat.field("tf").to_numpy()[keep], row[keep]
-            weight = (np.log(tf) + 1) * (np.log((n_units + 1) / (df[at[keep].astype(np.int64)] + 1)) + 1)
+            weight = (np.log(tf) + 1) * (np.log((n_units + 1) / (df[at[keep]] + 1)) + 1)
             length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=batch.num_rows))
             made = pa.StructArray.from_arrays(
                 [flat.field("term").filter(pa.array(keep)), pa.array(tf), pa.array(weight / length[row])], names=["term", "tf", "weight"]

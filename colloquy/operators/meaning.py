@@ -9,15 +9,14 @@ bits, and no vocabulary is held in one place. Words used alike get vectors alike
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import let, words
 from colloquy.operators.encode import CorpusStats, tfidf_requests, tfidf_rows
-from colloquy.operators.joins import join_small
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, Size, materialise, measure
 
@@ -52,59 +51,76 @@ def context_counts(utterances: DataFrame, dim: int = DIM, window: int = WINDOW)
     return summed.filter("value <> 0")
 
 
-def word_vectors(counts: DataFrame, dim: int = DIM) -> DataFrame:
-    """(term, vec): context vectors of length 1, as a written table. A word without context has none."""
-    entries = F.map_from_entries(F.collect_list(F.struct("bucket", "value")))
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).cast("double"))
-    whole = counts.groupBy("term").agg(entries.alias("_e"), length.alias("_l"))
+def _unit_vectors(counts: DataFrame, dim: int, *own: Column) -> DataFrame:
+    """(term, vec, own columns): entries (term, bucket, value) put together; a term without a bucket from 0 on has no vec."""
+    inside = F.when(F.col("bucket") >= 0, F.struct("bucket", "value"))
+    length = F.sqrt(F.sum(F.when(F.col("bucket") >= 0, F.col("value") * F.col("value"))).cast("double"))
+    whole = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(inside)).alias("_e"), length.alias("_l"), *own)
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_e", i), F.lit(0)) / F.col("_l"))
-    return materialise(whole.select("term", vec.alias("vec")), "word-vectors")
+    return whole.withColumn("vec", F.when(F.col("_l") > 0, vec)).drop("_e", "_l")
 
 
-def _summed(rows: DataFrame, vectors: DataFrame, key: Sequence[str], dim: int, small: Size) -> DataFrame:
-    """`rows` with `terms` (term, weight) become rows with `vec`; those without a known word get zeros.
+def word_vectors(counts: DataFrame, dim: int = DIM) -> DataFrame:
+    """(term, vec): context vectors of length 1, as a written table. A word without context has none."""
+    return materialise(_unit_vectors(counts, dim), "word-vectors")
 
-    Word vectors measured to be small go to all tasks and the terms of a row are summed
-    where they are. Beyond that, terms meet the vectors in a join and sums are shuffled.
-    """
-    rest = [c for c in rows.columns if c != "terms"]
-    size = measure(vectors)
-    if not size.within(small.rows, small.bytes):
-        entries = vectors.select("term", F.posexplode("vec").alias("i", "x")).filter("x <> 0")
-        terms = rows.select(*key, F.explode("terms").alias("t")).select(*key, F.col("t.term").alias("term"), F.col("t.weight").alias("w"))
-        met = join_small(terms, entries, ["term"], spread_by=key, size=Size(size.rows * dim, size.bytes * 2))
-        parts = met.groupBy(*key, "i").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        sums = parts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("_m"))
-        vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-        return rows.drop("terms").join(sums, list(key), "left").select(*rest, vec.alias("vec"))
-
-    shared = rows.sparkSession.sparkContext.broadcast(vectors.orderBy("term").toArrow())
-    schema = T.StructType([*[rows.schema[c] for c in rest], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+def _folded(rows: DataFrame, vectors: DataFrame, dim: int, name: str = "vec") -> DataFrame:
+    """`rows` with the sum of the vectors of their `terms` as far as `vectors`, which goes to all tasks, has them."""
+    shared = rows.sparkSession.sparkContext.broadcast(vectors.select("term", "vec").toArrow())
+    kept = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        known = table.column("term").combine_chunks()
-        matrix = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        known = pd.Index(table.column("term").to_numpy())
+        matrix = table.column("vec").combine_chunks()
+        matrix = (matrix.chunk(0) if isinstance(matrix, pa.ChunkedArray) else matrix).flatten().to_numpy().reshape(-1, dim)
         for batch in batches:
             lists = batch.column("terms")
             flat = lists.flatten()
-            at = pc.index_in(flat.field("term"), value_set=known).fill_null(-1).to_numpy()
-            weight = flat.field("weight").to_numpy()
+            coded = flat.field("term").dictionary_encode()
+            at = known.get_indexer(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             out = np.zeros((batch.num_rows, dim))
-            use = at >= 0
-            np.add.at(out, row[use], weight[use, None] * matrix[at[use]])
+            use = np.flatnonzero(at >= 0)
+            if len(use):
+                begins = np.flatnonzero(np.r_[True, row[use][1:] != row[use][:-1]])  # terms of a row lie side by side
+                out[row[use][begins]] = np.add.reduceat(flat.field("weight").to_numpy()[use, None] * matrix[at[use]], begins)
             vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], vec], names=[*rest, "vec"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vec], names=[*kept, name])
 
-    return rows.select(*rest, "terms").mapInArrow(fold, schema)
+    return rows.mapInArrow(fold, schema)
+
+
+def _summed(rows: DataFrame, vectors: DataFrame, key: Sequence[str], dim: int, small: Size, hot: DataFrame) -> DataFrame:
+    """`rows` with `terms` (term, weight) become rows with `vec`; those without a known word get zeros.
+
+    Word vectors measured to be small go to all tasks and the terms of a row are summed where they
+    are. Beyond that only the `hot` words, bounded in number, go to all tasks. What a row has of others
+    meets its vectors in a join on the word, which no hot word is left in, and a row's few
+    are put together again.
+    """
+    rest = [c for c in rows.columns if c != "terms"]
+    if measure(vectors).within(small.rows, small.bytes):
+        return _folded(rows, vectors, dim).select(*rest, "vec")
+    hot = hot.select("term")
+    many = vectors.join(F.broadcast(hot), "term", "left_semi")
+    terms = rows.select(*key, F.explode("terms").alias("t")).select(*key, F.col("t.term").alias("term"), F.col("t.weight").alias("w"))
+    cold = terms.join(F.broadcast(hot), "term", "left_anti").join(vectors.hint("shuffle_merge"), "term")
+    parts = cold.groupBy(*key).agg(F.collect_list(F.struct("term", "w", "vec")).alias("_parts"))
+    vec = F.aggregate(
+        F.sort_array("_parts"), F.col("_hot"), lambda acc, p: F.zip_with(acc, p["vec"], lambda a, x: a + p["w"] * x)
+    )
+    made = _folded(rows, many, dim, "_hot").drop("terms").join(parts, list(key), "left")
+    return made.select(*rest, F.when(F.col("_parts").isNull(), F.col("_hot")).otherwise(vec).alias("vec"))
 
 
 def meaning_vectors(
     units: DataFrame, stats: CorpusStats, vectors: DataFrame, dim: int = DIM, key: Sequence[str] = CHUNK_KEY, small: Size = SMALL
 ) -> DataFrame:
     """Units with the sum of their words' vectors, weighted by TF-IDF, instead of the text."""
-    return _summed(tfidf_rows(units, stats, key), vectors, key, dim, small)
+    return _summed(tfidf_rows(units, stats, key), vectors, key, dim, small, stats.hot())
 
 
 def meaning_requests(requests: DataFrame, stats: CorpusStats, vectors: DataFrame, dim: int = DIM, small: Size = SMALL) -> DataFrame:
@@ -112,4 +128,42 @@ def meaning_requests(requests: DataFrame, stats: CorpusStats, vectors: DataFrame
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
     terms = tfidf_requests(requests, stats)
     rows = terms.groupBy("req_id").agg(*[F.first(c).alias(c) for c in filters], F.collect_list(F.struct("term", "weight")).alias("terms"))
-    return _summed(rows, vectors, ["req_id"], dim, small)
+    named = terms.select("term").distinct()
+    if measure(named).within(small.rows, small.bytes):  # no more vectors than words are needed, however many there are
+        vectors = materialise(vectors.join(F.broadcast(named), "term", "left_semi"), "request-vectors")
+    return _summed(rows, vectors, ["req_id"], dim, small, stats.hot())
+
+
+# --- the model as a table ----------------------------------------------------------------
+
+# Places of a term's row of counts beside its context: the units it is in. The counts of the whole corpus have no term.
+DF, UNITS, WORDS = -1, -1, -2
+MODEL = T.StructType().add("term", "string").add("bucket", "integer").add("value", "long")
+
+
+def model_counts(utterances: DataFrame, units: DataFrame, dim: int = DIM, window: int = WINDOW) -> DataFrame:
+    """All counts that context vectors and their weights depend on, as MODEL rows: integer sums over utterances and their units.
+
+    Counts of parts of a corpus add up to those of the whole; what is taken back is added with the opposite sign.
+    """
+    said = units.select(words(F.col("text")).alias("_words"))
+    distinct = F.array_append(F.array_distinct("_words"), F.lit(None).cast("string"))
+    rows = said.select(F.size("_words").alias("_n"), F.explode(F.when(F.size("_words") > 0, distinct)).alias("term"))
+    seen = rows.select("term", F.inline(F.array(
+        F.struct(F.lit(DF).alias("bucket"), F.lit(1).cast("long").alias("value")),
+        F.struct(F.when(F.col("term").isNull(), F.lit(WORDS)).alias("bucket"), F.col("_n").cast("long").alias("value")),
+    ))).filter("bucket IS NOT NULL")
+    context = context_counts(utterances, dim, window).select("term", "bucket", F.col("value").cast("long").alias("value"))
+    return added(context.unionByName(seen))
+
+
+def added(counts: DataFrame) -> DataFrame:
+    """MODEL rows summed up; what has been taken back altogether is gone."""
+    return counts.groupBy("term", "bucket").agg(F.sum("value").alias("value")).filter("value <> 0")
+
+
+def words_of(counts: DataFrame, dim: int = DIM) -> DataFrame:
+    """(term, df, vec) of MODEL rows. The row without a term has the number of units as df."""
+    df = F.coalesce(F.max(F.when(F.col("bucket") == DF, F.col("value"))), F.lit(0)).alias("df")
+    total = F.max(F.when(F.col("bucket") == WORDS, F.col("value"))).alias("n_words")
+    return _unit_vectors(counts, dim, df, total)

@@ -119,7 +119,7 @@ CORRECTED = """
       UNION ALL SELECT conv_id + 1000000, turn, role, text FROM conversations WHERE conv_id % 5 = 0)"""
 
 MEANING = r"""
-    said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations),
+    said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM SOURCE),
     placed AS (SELECT conv_id, turn, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM said),
     beside AS (
       SELECT a.term, CAST(CAST('0x' || substr(md5(b.term), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket,
@@ -127,6 +127,11 @@ MEANING = r"""
       FROM placed a JOIN placed b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 2
       GROUP BY ALL HAVING value <> 0)"""
 
+
+def meaning(source: str = "conversations") -> str:
+    return MEANING.replace("SOURCE", source)
+
+
 MEANING_PAIRS = f"""
     unit_length AS (SELECT term, bucket, value / sqrt(sum(value * value) OVER (PARTITION BY term)) AS x FROM beside),
     uv AS (SELECT {UNIT}, bucket, sum(weight * x) AS value FROM weighted JOIN unit_length USING (term) GROUP BY ALL),
@@ -196,10 +201,14 @@ def statements() -> dict[str, str]:
         "hash_search": f"WITH {HASHED}, {ranked('pairs', UNIT, 5)} SELECT * FROM hits",
         "restricted_search": f"""
             WITH {HASHED}, said AS (SELECT * FROM pairs WHERE role = 'user'), {ranked('said', UNIT, 3)} SELECT * FROM hits""",
-        "context_vectors": f"WITH {MEANING} SELECT term, bucket, value FROM beside",
+        "context_vectors": f"WITH {meaning()} SELECT term, bucket, value FROM beside",
         "meaning_search": f"""
-            WITH {TF}, {RTF}, {DF}, {WEIGHTED}, {MEANING}, {MEANING_PAIRS}, {ranked('pairs', UNIT, 3)}
+            WITH {TF}, {RTF}, {DF}, {WEIGHTED}, {meaning()}, {MEANING_PAIRS}, {ranked('pairs', UNIT, 3)}
             SELECT hits.*, role, text FROM hits JOIN chunks USING ({UNIT})""",
+        "stored_meaning_search": f"WITH {TF}, {RTF}, {DF}, {WEIGHTED}, {meaning()}, {MEANING_PAIRS}, {ranked('pairs', UNIT, 3)} SELECT * FROM hits",
+        "refresh_meaning": f"""
+            WITH {CORRECTED}, {chunked('corrected')}, {counted('chunks', UNIT, 'tf')}, {RTF}, {DF}, {WEIGHTED}, {meaning('corrected')},
+            {MEANING_PAIRS}, {ranked('pairs', UNIT, 3)} SELECT * FROM hits""",
         "stored_search": f"""
             WITH {HASHED}, met AS (SELECT * FROM pairs WHERE {ROLES_IN_SYSTEM_MEETINGS}), {ranked('met', UNIT, 5)} SELECT * FROM hits""",
         "quarantine_rows": """
@@ -221,6 +230,7 @@ def statements() -> dict[str, str]:
             FROM conversations""",
         "term_search": f"WITH {TERM_HITS} SELECT * FROM hits",
         "bm25_search": f"WITH {TF}, {RTF}, {DF}, {BM25_SCORES}, {ranked('scored', UNIT, 5)} SELECT * FROM hits",
+        "stored_bm25_search": f"WITH {TF}, {RTF}, {DF}, {BM25_SCORES}, {ranked('scored', UNIT, 5)} SELECT * FROM hits",
         "lsh_search": f"""
             WITH {HASHED}, {SIDES}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
             met AS (SELECT DISTINCT req_id, {UNIT} FROM rsig JOIN usig USING (t, code)),

@@ -10,11 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import context, dense, encode, meaning, prepare, ranking, sparse
-from colloquy.plans import answer
+from colloquy.operators import context, dense, encode, indexed, meaning, prepare, ranking, sparse
+from colloquy.plans import answer, meaning_store
 from colloquy.plans.store import build_store, refresh_store
 from colloquy.schemas import CHUNK_KEY, CORRUPT, UTTERANCE, UTTERANCE_KEY
 from colloquy.session import materialise, scratch_path, spread
+from colloquy.sources import term_index
 from colloquy.sources.transcripts import parse_lines, quarantine, quarantine_counts, read_log, read_transcripts
 from colloquy.sources.vector_store import bucket_of, read_vectors, store_vectors
 from colloquy.streaming.ingest import ingest_stream
@@ -256,6 +257,13 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.bm25_search(requests(spark, sf_dir), units, K, encode.corpus_stats(units))
 
 
+def stored_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all passages are stored; requests read the postings of their words."""
+    path = scratch_path(spark, "terms")
+    term_index.store_terms(chunks(spark, sf_dir), path, buckets=BUCKETS)
+    return indexed.stored_bm25_search(spark, requests(spark, sf_dir), path, K)
+
+
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As its SQL states it: equal codes in one of 8 tables of 10 bits, which miss most of the true hits (README)."""
     asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
@@ -276,6 +284,45 @@ def meaning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.with_text(hits, prepare.chunk(answer.utterances_hit(hits, rows)))
 
 
+def _landed_log(spark: SparkSession, *exports: DataFrame) -> tuple[str, Callable[[DataFrame], None]]:
+    """A log of exports that have landed, and a function that lets another one land."""
+    landed, log, checkpoint = (scratch_path(spark, name) for name in ("landed", "log", "offsets"))
+
+    def land(export: DataFrame) -> None:
+        export_json(export, landed)
+        ingest_stream(spark, landed, log, checkpoint, buckets=BUCKETS)
+
+    for export in exports:
+        land(export)
+    return log, land
+
+
+def stored_meaning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages are stored by meaning once; requests are encoded with the stored model and meet stored vectors only."""
+    log, _ = _landed_log(spark, utterances(spark, sf_dir))
+    path = scratch_path(spark, "meaning-store")
+    meaning_store.build_meaning_store(spark, log, path, buckets=BUCKETS)
+    return meaning_store.stored_meaning_hits(spark, requests(spark, sf_dir), path, 3)
+
+
+def corrections(rows: DataFrame) -> DataFrame:
+    """Corrected system turns, meetings divisible by 7 whose text is taken back, and new meetings: those divisible by 5 plus 1000000."""
+    withdrawn = F.when(F.col("conv_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("corrected "), F.col("text")))
+    changed = rows.filter("role = 'system' OR conv_id % 7 = 0").withColumn("text", withdrawn)
+    return changed.unionByName(rows.filter("conv_id % 5 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000))
+
+
+def refreshed_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after corrections, withdrawals and new meetings: counts of what has changed are taken back and added."""
+    rows = utterances(spark, sf_dir)
+    log, land = _landed_log(spark, rows)
+    path = scratch_path(spark, "meaning-store")
+    meaning_store.build_meaning_store(spark, log, path, buckets=BUCKETS)
+    land(corrections(rows))
+    version = meaning_store.refresh_meaning(spark, log, path)
+    return meaning_store.stored_meaning_hits(spark, requests(spark, sf_dir), path, 3, version)
+
+
 def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors are stored; requests then name the meetings with a system turn, and only their buckets are read."""
     path = scratch_path(spark, "vectors")
@@ -340,10 +387,13 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "restricted_search": restricted_search,
         "term_search": term_search,
         "bm25_search": bm25_search,
+        "stored_bm25_search": stored_bm25_search,
         "lsh_search": lsh_search,
         "lsh_near_search": lsh_near_search,
         "meaning_search": meaning_search,
         "stored_search": stored_search,
+        "stored_meaning_search": stored_meaning_search,
+        "refresh_meaning": refreshed_meaning,
         "meeting_details": lambda spark, sf_dir: context.meeting_details(utterances(spark, sf_dir)),
         "neighbours": neighbours,
         "neighbours_spans": neighbours_spans,

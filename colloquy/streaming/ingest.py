@@ -8,6 +8,9 @@ from colloquy.schemas import CORRUPT
 from colloquy.sources.transcripts import export_reader, with_origin
 from colloquy.sources.vector_store import BUCKETS, bucket_of
 
+BATCH = 64 * 1024**3  # bytes of a micro-batch
+EVER = "3650000d"  # longer before the newest file than any time a file system can state
+
 
 def ingest_stream(
     spark: SparkSession,
@@ -18,13 +21,15 @@ def ingest_stream(
     buckets: int = BUCKETS,
     max_files_per_trigger: int | None = None,
     interval: str | None = None,
-    max_file_age: str = "3650d",
+    max_file_age: str = EVER,
+    max_bytes_per_trigger: int = BATCH,
 ) -> StreamingQuery:
     """Append the files in the folder `source` that the checkpoint has not seen to the log.
 
-    Files count as new whatever time they carry, up to `max_file_age` before the newest:
-    the stream remembers the names of that period. Without `interval` it takes what is there and ends; with one ("1 minute") it
-    keeps running. Nothing is dropped here: a corrected transcript is a later
+    Files count as new whatever time they carry: the stream remembers all names it has seen, or with a shorter
+    `max_file_age` those of that period, and then files that are older yet never arrive. Without `interval`
+    it takes what is there and ends, in micro-batches of `max_bytes_per_trigger` (or of so many files); with
+    one ("1 minute") it keeps running. Nothing is dropped here: a corrected transcript is a later
     version, and `current` picks it. A stateful de-duplication would keep the old
     text, and its state would grow for ever. The log is partitioned like the
     vector store, so that replacing a bucket reads only that bucket.
@@ -32,12 +37,15 @@ def ingest_stream(
     reader = export_reader(spark.readStream, format).option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     rows = with_origin(reader.load(source))
     # Records without a meeting are put aside later; until then they are spread, not heaped in one bucket.
     own = F.xxhash64("turn", "role", "text", CORRUPT, "source_file")
     bucket = F.when(F.col("conv_id").isNull(), F.pmod(own, F.lit(buckets)).cast("int")).otherwise(bucket_of(F.col("conv_id"), buckets))
-    # One task per bucket writes one file per micro-batch, however many tasks read.
-    rows = rows.withColumn("bucket", bucket).repartition("bucket")
+    # Adaptive execution gathers small buckets and cuts large ones, by the bytes of the micro-batch: small exports make few files, and
+    # a long meeting is written by several tasks.
+    rows = rows.withColumn("bucket", bucket).hint("rebalance", "bucket")
     writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")

@@ -87,6 +87,38 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert streamed.exceptAll(batch).count() == batch.exceptAll(streamed).count() == 0
 
 
+def test_a_file_of_any_age_arrives(spark, tmp_path):
+    folder, log, offsets = tmp_path / "landed", str(tmp_path / "log"), str(tmp_path / "offsets")
+    land(folder, "a.json", [turn(1, 0, "now")])
+    ingest_stream(spark, str(folder), log, offsets, buckets=4)
+    land(folder, "b.json", [turn(2, 0, "as new as the first")])
+    land(folder, "c.json", [turn(3, 0, "unpacked with the oldest time there is")], mtime=1)
+    ingest_stream(spark, str(folder), log, offsets, buckets=4)
+    ingest_stream(spark, str(folder), log, offsets, buckets=4)
+    assert sorted(r["conv_id"] for r in read_log(spark, log).collect()) == [1, 2, 3]
+
+
+def test_large_exports_are_written_by_several_tasks_and_small_ones_make_few_files(spark, tmp_path):
+    folder = tmp_path / "landed"
+    for name in ("a", "b", "c"):
+        land(folder, f"{name}.json", [turn(1, n, f"{name} {n}") for n in range(300)])
+    few, many = (str(tmp_path / name) for name in ("few", "many"))
+    ingest_stream(spark, str(folder), few, f"{few}-offsets", buckets=4)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1k")
+    try:
+        ingest_stream(spark, str(folder), many, f"{many}-offsets", buckets=4)
+    finally:
+        spark.conf.set(size, before)
+    files = lambda path: len(list(Path(path).rglob("part-*.parquet")))
+    assert files(few) == 1 < files(many)
+    assert read_log(spark, many).count() == read_log(spark, few).count() == 900
+    small = str(tmp_path / "batches")
+    ingest_stream(spark, str(folder), small, f"{small}-offsets", buckets=4, max_bytes_per_trigger=10_000)
+    assert files(small) > 1 and read_log(spark, small).count() == 900
+
+
 def test_parquet_exports_stream_too(spark, tmp_path):
     exports = str(tmp_path / "in")
     spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(3).write.parquet(exports)
