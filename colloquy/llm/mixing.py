@@ -16,8 +16,8 @@ sizes are added up per (source, bin), and only the bin with the edge is cut agai
 
 Results in special cases: a null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 take nothing and their source, if all are such, has target 0.
-Repeated rows (equal doc_id and text) have equal ranks and are taken or left together. An
-empty table gives an empty result. Other columns are kept, but columns named as the
+Repeated rows (equal doc_id and text) have equal ranks; at the edge as many of them are taken as
+come nearest to the target, and only then are they numbered. An empty table gives an empty result. Other columns are kept, but columns named as the
 results are replaced. Reruns agree, since u depends on doc_id, text and seed alone.
 """
 
@@ -84,6 +84,16 @@ def _edges(binned: DataFrame, keys: list[str], bin_: str, rest: str) -> DataFram
     return materialise(best.select(*keys, F.col(f"_e.{bin_}").alias("_edge"), F.col("_e._before").alias("_before")), "edges")
 
 
+def _counted(tied: DataFrame) -> DataFrame:
+    """Equal rows with `_number`, from 1 on within their source: numbered in their task once they are in a table, then by the tasks before."""
+    tied = materialise(tied.withColumn("_m", F.monotonically_increasing_id()), "tied").withColumn("_task", F.shiftright("_m", 33))
+    before = Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tied.groupBy("source", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    tasks = materialise(tasks.select("source", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "tied-tasks")
+    own = F.row_number().over(Window.partitionBy("source", "_task").orderBy("_m"))
+    return _join(tied, tasks, "source", "_task").withColumn("_number", (own + F.col("_before")).cast("int")).drop("_m", "_task", "_before")
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...], share: float = 1.5, cap: int = 2, seed: str = "mix", key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -125,21 +135,31 @@ def mix(
     inside = _join(drawn, edge, "source").where("_bin = _b1").withColumn("_rest", F.col("_rest") - F.col("_s1"))
     fine = _edges(inside, ["source"], "_fine", "_rest").withColumnRenamed("_edge", "_b2").withColumnRenamed("_before", "_s2")
     last = _join(inside, fine, "source").where("_fine = _b2").withColumn("_rest", F.col("_rest") - F.col("_s2"))
-    # Rows of one fine bin, in order: all before the edge, and the one at the edge if that is nearer.
-    order = Window.partitionBy("source").orderBy("_q", "size", "_u")
-    summed = last.withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    taken = summed.where((F.col("_upto") - F.col("size") < F.col("_rest")) & (F.col("_upto") - F.col("_rest") <= F.col("_rest") - F.col("_upto") + F.col("size")))
-    edges = taken.groupBy("source").agg(F.max(F.struct("_q", "size", "_u")).alias("_e"))
-    edges = edges.select("source", F.col("_e._q").alias("_lq"), F.col("_e.size").alias("_lsize"), F.col("_e._u").alias("_lu"))
+    # Rows of one fine bin, equal ones put together, in order: all before the edge, and of those at the edge as many as come nearest.
+    alike = last.groupBy("source", "_q", "size", "_u").agg(F.count(F.lit(1)).alias("_c"), F.first("_rest").alias("_rest"))
+    order = Window.partitionBy("source").orderBy("_q", "size", "_u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.sum(F.col("size") * F.col("_c")).over(order) - F.col("size") * F.col("_c")
+    nearest = F.floor((F.col("_rest") - begin) / F.col("size") + 0.5)
+    taken = alike.withColumn("_k", F.least(F.col("_c"), nearest)).where("_k > 0")
+    edges = taken.groupBy("source").agg(F.max(F.struct("_q", "size", "_u", "_k", "_c")).alias("_e"))
+    fields = {"_q": "_lq", "size": "_lsize", "_u": "_lu", "_k": "_lk", "_c": "_lc"}
+    edges = edges.select("source", *[F.col(f"_e.{c}").alias(name) for c, name in fields.items()])
     cut = _join(_join(edge, fine, "source"), materialise(edges, "last"), "source")
-    chosen = _join(ranked(sized(docs, "_text").withColumn("_u", u).withColumn("_like", liking)), materialise(cut, "cuts"), "source")
+    cut = materialise(cut, "cuts")
+    chosen = _join(ranked(sized(docs, "_text").withColumn("_u", u).withColumn("_like", liking)), cut, "source")
     here, last_taken = F.struct("_q", "size", "_u"), F.struct("_lq", "_lsize", "_lu")
+    parted = F.coalesce(F.col("_lq").isNotNull() & (here == last_taken) & (F.col("_lk") < F.col("_lc")), F.lit(False))
+    if cut.where("_lk < _lc").isEmpty():
+        chosen = chosen.withColumn("_number", F.lit(0))
+    else:
+        chosen = chosen.where(~parted).withColumn("_number", F.lit(0)).unionByName(_counted(chosen.where(parted)))
     extra = (
         F.when(F.col("_q").isNull(), False)
         .when(F.col("_b1").isNull(), F.col("_rest") > 0)
         .when(F.col("_bin") != F.col("_b1"), F.col("_bin") < F.col("_b1"))
         .when(F.col("_b2").isNull(), True)
         .when(F.col("_fine") != F.col("_b2"), F.col("_fine") < F.col("_b2"))
+        .when(parted, F.col("_number") <= F.col("_lk"))
         .otherwise(F.col("_lq").isNotNull() & (here <= last_taken))
     )
     count = F.col("_sure") + F.coalesce(extra, F.lit(False)).cast("long")

@@ -4,11 +4,13 @@ import collections
 import math
 from fractions import Fraction
 
+import duckdb
+import pyarrow as pa
 import pytest
 from conftest import words
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, mixing, quality
+from colloquy.llm import chat, mixing, quality, queries
 
 TALK = "conv_id long, turn long, role string, text string, _n int, window string"
 
@@ -141,3 +143,17 @@ def test_cutoffs_limit_false_rejection_and_need_evidence(spark, none):
     assert empty.count() == 0 and quality.judge(scored, empty, "lang").where("kept").count() == 1500
     blank = quality.features(none)
     assert quality.judge(blank, quality.learn(blank, table, "lang", 0.05, 0.05), "lang").count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 200, 3000])
+def test_repeated_rows_meet_the_target_as_in_sql(spark, copies):
+    same, n = " ".join(f"w{i}" for i in range(100)), 20
+    rows = [(7, same, "hot")] * copies + [(100 + i, f"other {i} " + "x " * (7 * i), "hot") for i in range(n)] + [(7, same, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = [(r["doc_id"], r["source"], r["size"], r["target"], r["copies"] * r["size"]) for r in mixing.mix(docs, (3, 1, 2)).collect()]
+    taken = {s: (sum(g[4] for g in got if g[1] == s), next(g[3] for g in got if g[1] == s)) for s in ("hot", None)}
+    assert all(abs(t - goal) <= 160 for t, goal in taken.values()), taken
+    connection = duckdb.connect()
+    connection.register("documents", pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows, strict=True)), strict=True))))
+    found = connection.execute(queries._MIX).fetchall()
+    assert sorted((str(g[0]), g[2], round(g[3], 6), g[4]) for g in got) == sorted((str(f[0]), f[1], round(f[3], 6), f[4]) for f in found)
