@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from colloquy.llm import mixing, near_dedup, packing, quality, toxicity  # isort: skip  first: where it is missing, nothing else is asked for
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import mixing, near_dedup, packing, quality, toxicity
 from colloquy.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
