@@ -4,6 +4,7 @@ TF-IDF and feature hashing are lexical: they match words, not meaning. Context
 vectors (operators.meaning) and a model passed to `encode` go beyond shared words.
 """
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import md5
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,22 +210,55 @@ def hash_vectors(units: DataFrame, dim: int = 256) -> DataFrame:
 Model = Callable[[list[str]], np.ndarray]
 
 
-def encode(units: DataFrame, load: Callable[[], Model], dim: int, encoder: str) -> DataFrame:
+def encode(
+    units: DataFrame,
+    load: Callable[[], Model],
+    dim: int,
+    encoder: str,
+    model_id: str | None = None,
+    profile: ResourceProfile | None = None,
+) -> DataFrame:
     """Encode with the user's own model: `load()` gives a function from texts to a (n, dim) array.
 
-    `load` runs once per task, not per batch. A result of another shape, or a
-    vector that is not, fails the job.
+    `load` runs once per task, or with a `model_id` once per Python worker: the worker keeps its last model for later tasks and
+    queries that name the same id, so another model needs another id. Workers outlive a task where
+    `spark.python.worker.reuse` is on, as it is by default. With a `profile` the encoding stage asks the cluster for its resources
+    (accelerators, memory). A result of another shape, or a vector that is not, fails the job.
     """
 
+    def model_of() -> Model:
+        if model_id is None:
+            return load()
+        kept = sys.__dict__.setdefault("_colloquy_model", {})
+        if model_id not in kept:
+            kept.clear()  # a worker holds one model
+            kept[model_id] = load()
+        return kept[model_id]
+
+    def vectors_of(model: Model, texts: pa.Array) -> pa.Array:
+        made = np.asarray(model([text or "" for text in texts.to_pylist()]), dtype=np.float32).reshape(len(texts), -1)
+        if made.shape[1] != dim or not np.isfinite(made).all():
+            raise ValueError(f"model must give finite vectors of length {dim}, got shape {made.shape}")
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(made.reshape(-1)))
+
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load()
+        model = model_of()
         for texts in batches:
-            made = np.asarray(model([text or "" for text in texts.to_pylist()]), dtype=np.float32).reshape(len(texts), -1)
-            if made.shape[1] != dim or not np.isfinite(made).all():
-                raise ValueError(f"model must give finite vectors of length {dim}, got shape {made.shape}")
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
-            yield pa.ListArray.from_arrays(offsets, pa.array(made.reshape(-1)))
+            yield vectors_of(model, texts)
+
+    kept = [c for c in units.columns if c != "text"]
 
-    dense = units.withColumn("vec", apply(F.col("text"))).drop("text")
+    def apply_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of()
+        for batch in batches:
+            columns = [*[batch.column(c) for c in kept], vectors_of(model, batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "vec"])
+
+    if profile is None:
+        dense = units.withColumn("vec", apply(F.col("text"))).drop("text")
+    else:
+        schema = T.StructType([units.schema[c] for c in kept]).add("vec", T.ArrayType(T.FloatType()))
+        dense = units.mapInArrow(apply_rows, schema, profile=profile)
     return _vectors(dense.withColumn("vec", checked(F.col("vec"), dim)), encoder, dim)

@@ -141,6 +141,30 @@ MEANING_PAIRS = f"""
     dots AS (SELECT req_id, {UNIT}, sum(rv.value * uv.value) AS d FROM rv JOIN uv USING (bucket) GROUP BY ALL),
     pairs AS (SELECT req_id, {UNIT}, coalesce(d, 0) / (a * b) AS score FROM rn CROSS JOIN un LEFT JOIN dots USING (req_id, {UNIT}))"""
 
+NEAREST = f"""
+    WITH means AS (
+      SELECT label, i, avg(x) AS x
+      FROM (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+      GROUP BY ALL),
+    requests AS (SELECT label AS req_id, list(x ORDER BY i) AS vec FROM means GROUP BY label),
+    scored AS (
+      SELECT req_id, vec_id, list_cosine_similarity(vec, CAST(embedding AS DOUBLE[])) AS score FROM requests, embeddings),
+    {ranked('scored', 'vec_id', 10)} SELECT * FROM hits"""
+
+REBUILT = f"WITH {CORRECTED}, {chunked('corrected')}, {counted('chunks', UNIT, 'tf')}, {hashed('tf', UNIT, 'hv')} {long_form()}"
+
+MERGED = """
+    marked AS (
+      SELECT *, CASE WHEN chunk * 30 > lag(chunk * 30 + 40) OVER w THEN 1 ELSE 0 END AS fresh
+      FROM hits WINDOW w AS (PARTITION BY req_id, conv_id, turn ORDER BY chunk)),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY req_id, conv_id, turn ORDER BY chunk) AS island FROM marked),
+    spans AS (
+      SELECT req_id, conv_id, turn, min(chunk) * 30 AS lo, max(chunk) * 30 + 40 AS hi, min(rank) AS rank
+      FROM islands GROUP BY req_id, conv_id, turn, island),
+    lines AS (
+      SELECT req_id, rank, role || ': ' || array_to_string(regexp_extract_all(text, '\\S+')[lo + 1 : hi], ' ') AS line
+      FROM spans JOIN conversations USING (conv_id, turn))"""
+
 VERSIONS = """
     SELECT conv_id, turn, role, text, TIMESTAMP '2026-01-02' AS seen, 'export-b' AS file FROM conversations
     UNION ALL SELECT conv_id, turn, role, 'corrected: ' || text, TIMESTAMP '2026-01-03', 'export-a' FROM conversations WHERE role = 'assistant'
@@ -168,8 +192,9 @@ def statements() -> dict[str, str]:
             SELECT conv_id, turn, role, text FROM ({VERSIONS})
             QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY seen DESC, file DESC, role DESC, text DESC) = 1""",
         "store_vectors": f"WITH {TF}, {hashed('tf', UNIT, 'hv')} {long_form()}",
-        "refresh_store": f"""
-            WITH {CORRECTED}, {chunked('corrected')}, {counted('chunks', UNIT, 'tf')}, {hashed('tf', UNIT, 'hv')} {long_form()}""",
+        "refresh_store": REBUILT,
+        "stream_to_store": REBUILT,
+        "compacted_view": f"WITH {CORRECTED} SELECT conv_id, turn, role, text FROM corrected",
         "chunk": f"WITH {chunked()} SELECT conv_id, turn, chunk, role, text FROM chunks",
         "sentences": r"""
             SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER) AS sentence, role, text
@@ -189,15 +214,8 @@ def statements() -> dict[str, str]:
                      CAST(length(text) - length(replace(lower(text), chr(CAST(96 + i AS INTEGER)), '')) AS DOUBLE) AS value
               FROM chunks, range(1, 27) letters(i))
             , hv AS (SELECT * FROM counts WHERE value <> 0) {long_form('hv', 'letters')}""",
-        "semantic_search": f"""
-            WITH means AS (
-              SELECT label, i, avg(x) AS x
-              FROM (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-              GROUP BY ALL),
-            requests AS (SELECT label AS req_id, list(x ORDER BY i) AS vec FROM means GROUP BY label),
-            scored AS (
-              SELECT req_id, vec_id, list_cosine_similarity(vec, CAST(embedding AS DOUBLE[])) AS score FROM requests, embeddings),
-            {ranked('scored', 'vec_id', 10)} SELECT * FROM hits""",
+        "semantic_search": NEAREST,
+        "pruned_search": NEAREST,
         "hash_search": f"WITH {HASHED}, {ranked('pairs', UNIT, 5)} SELECT * FROM hits",
         "restricted_search": f"""
             WITH {HASHED}, said AS (SELECT * FROM pairs WHERE role = 'user'), {ranked('said', UNIT, 3)} SELECT * FROM hits""",
@@ -254,6 +272,18 @@ def statements() -> dict[str, str]:
         "assemble_context": f"""
             WITH {TERM_HITS}, lines AS (SELECT req_id, rank, role || ': ' || text AS line FROM hits JOIN chunks USING ({UNIT}))
             {CONTEXT.format(budget=600)}""",
+        "merged_context": f"WITH {TERM_HITS}, {MERGED} {CONTEXT.format(budget=600)}",
+        "around_hits": f"""
+            WITH {TERM_HITS},
+            met AS (
+              SELECT req_id, conv_id, turn, CAST(row_number() OVER (PARTITION BY req_id ORDER BY min(rank)) AS INTEGER) AS rank
+              FROM hits GROUP BY req_id, conv_id, turn),
+            near AS (
+              SELECT conv_id, turn,
+                     coalesce(array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ','), '') AS before,
+                     coalesce(array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS after
+              FROM conversations)
+            SELECT req_id, rank, conv_id, turn, before, after FROM met JOIN near USING (conv_id, turn)""",
         "answer_contexts": f"""
             WITH {TERM_HITS},
             met AS (

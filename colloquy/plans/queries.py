@@ -10,14 +10,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import context, dense, encode, indexed, meaning, prepare, ranking, sparse
+from colloquy.operators import context, dense, encode, indexed, meaning, prepare, pruned, ranking, sparse
 from colloquy.plans import answer, meaning_store
 from colloquy.plans.store import build_store, refresh_store
 from colloquy.schemas import CHUNK_KEY, CORRUPT, UTTERANCE, UTTERANCE_KEY
 from colloquy.session import materialise, scratch_path, spread
-from colloquy.sources import term_index
+from colloquy.sources import compacted, term_index
 from colloquy.sources.transcripts import parse_lines, quarantine, quarantine_counts, read_log, read_transcripts
+from colloquy.sources.vector_cells import store_cells
 from colloquy.sources.vector_store import bucket_of, read_vectors, store_vectors
+from colloquy.streaming import upkeep
 from colloquy.streaming.ingest import ingest_stream
 
 COLUMNS = [field.name for field in UTTERANCE.fields]
@@ -188,6 +190,28 @@ def refreshed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- preparation ---------------------------------------------------------------------
 
 
+def streamed_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports land twice, the second time with corrections, withdrawals and new meetings; the stream keeps the store up."""
+    landed, log, checkpoint, path = (scratch_path(spark, name) for name in ("landed", "log", "offsets", "vectors"))
+    rows = utterances(spark, sf_dir)
+    for export in (rows, corrections(rows)):
+        export_json(export, landed)
+        upkeep.stream_to_store(spark, landed, log, checkpoint, lambda units: encode.hash_vectors(units, DIM), path, DIM, BUCKETS)
+    return _long(read_vectors(spark, path, f"hash-md5-{DIM}"))
+
+
+def compacted_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log, compacted after the first landing: the view is the compacted table and the log's tail."""
+    landed, log, checkpoint, path = (scratch_path(spark, name) for name in ("landed", "log", "offsets", "compacted"))
+    rows = utterances(spark, sf_dir)
+    export_json(rows, landed)
+    upkeep.follow(spark, landed, log, checkpoint, buckets=BUCKETS)
+    compacted.compact(spark, log, path, upkeep.marks(spark, log))
+    export_json(corrections(rows), landed)
+    upkeep.follow(spark, landed, log, checkpoint, buckets=BUCKETS)
+    return compacted.current_rows(spark, log, path)
+
+
 def restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What user and assistant said in meetings with a system turn."""
     rows = utterances(spark, sf_dir)
@@ -234,6 +258,15 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.semantic_search(asked, stored.select("vec_id", F.col("embedding").alias("vec")), 10, key=["vec_id"])
 
 
+def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over vectors stored in cells, of which only those that may hold a hit are read."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
+    path, dim = scratch_path(spark, "cells"), len(vectors.filter("vec IS NOT NULL").first()["vec"])
+    store_cells(vectors, path, dim, cells=64, key=["vec_id"])
+    asked = materialise(label_means(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "requests")
+    return pruned.pruned_search(spark, asked, path, 10, key=["vec_id"])
+
+
 def hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
     return dense.semantic_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K)
@@ -359,6 +392,20 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.assemble_context(hits, units, 600)
 
 
+def merged_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of one utterance that overlap are handed on as one span."""
+    hits = materialise(answer.lexical_hits(requests(spark, sf_dir), chunks(spark, sf_dir), K), "hits")
+    return context.merged_context(hits, utterances(spark, sf_dir), 600)
+
+
+def around_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two utterances on either side of every hit, found by their places."""
+    hits = answer.utterance_hits(answer.lexical_hits(requests(spark, sf_dir), chunks(spark, sf_dir), K))
+    near = context.around_hits(materialise(hits, "hits"), utterances(spark, sf_dir), r=2, span=3)
+    turns = lambda side: F.array_join(F.transform(side, lambda u: u["turn"].cast("string")), ",")
+    return near.select("req_id", "rank", *UTTERANCE_KEY, turns("before").alias("before"), turns("after").alias("after"))
+
+
 def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.contexts(requests(spark, sf_dir), utterances(spark, sf_dir), chunks(spark, sf_dir), K, 4000)
 
@@ -374,6 +421,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "current_view": current_view,
         "store_vectors": stored_vectors,
         "refresh_store": refreshed_store,
+        "stream_to_store": streamed_to_store,
+        "compacted_view": compacted_view,
         "chunk": chunks,
         "sentences": lambda spark, sf_dir: prepare.sentences(utterances(spark, sf_dir)),
         "terms": lambda spark, sf_dir: prepare.terms(chunks(spark, sf_dir)),
@@ -383,6 +432,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "context_vectors": context_vectors,
         "encode": encoded,
         "semantic_search": semantic_search,
+        "pruned_search": pruned_search,
         "hash_search": hash_search,
         "restricted_search": restricted_search,
         "term_search": term_search,
@@ -398,5 +448,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "neighbours": neighbours,
         "neighbours_spans": neighbours_spans,
         "assemble_context": assembled,
+        "merged_context": merged_context,
+        "around_hits": around_hits,
         "answer_contexts": answer_contexts,
     }

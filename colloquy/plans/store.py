@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.operators.prepare import chunk, current
 from colloquy.sources.transcripts import quarantine, read_log
 from colloquy.session import materialise
-from colloquy.sources.vector_store import BUCKETS, bucket_of, empty_buckets, store_vectors
+from colloquy.sources.vector_store import BUCKETS, bucket_of, store_vectors
 
 Encoder = Callable[[DataFrame], DataFrame]
 
@@ -36,6 +36,16 @@ def _new_files(log: DataFrame, path: str) -> DataFrame:
     return materialise(files.join(known, ["source_file", "file_mtime"], "left_anti"), "new-files")
 
 
+def rebuild(utterances: DataFrame, changed: list[int], encoder: Encoder, path: str, dim: int, buckets: int = BUCKETS) -> None:
+    """Replace the buckets `changed`, all of whose current utterances are given. A bucket without text is emptied."""
+    vectors = materialise(encoder(chunk(utterances)), "refreshed")
+    full = {row["b"] for row in vectors.select(bucket_of(F.col("conv_id"), buckets).alias("b")).distinct().collect()}
+    store_vectors(vectors, path, dim, buckets)
+    for bucket in changed:
+        if bucket not in full:  # dynamic overwriting of rows cannot replace a partition by nothing
+            vectors.limit(0).write.mode("overwrite").parquet(f"{path}/bucket={bucket}")
+
+
 def refresh_store(
     spark: SparkSession, log_path: str, encoder: Encoder, path: str, dim: int, buckets: int = BUCKETS
 ) -> list[int]:
@@ -51,9 +61,6 @@ def refresh_store(
     changed = sorted(row["bucket"] for row in files.select("bucket").distinct().collect())  # no more than there are buckets
     if changed:
         good, _ = quarantine(log.filter(F.col("bucket").isin(changed)))
-        vectors = materialise(encoder(chunk(current(good))), "refreshed")
-        full = {row["b"] for row in vectors.select(bucket_of(F.col("conv_id"), buckets).alias("b")).distinct().collect()}
-        store_vectors(vectors, path, dim, buckets)
-        empty_buckets(spark, path, [b for b in changed if b not in full])
+        rebuild(current(good), changed, encoder, path, dim, buckets)
         files.select("source_file", "file_mtime").distinct().write.mode("append").parquet(_taken(path))
     return changed

@@ -58,11 +58,3 @@ def in_buckets(meetings: DataFrame, buckets: int) -> Column:
     """Whether a row lies in a bucket of one of the meetings; the list is no longer than the number of buckets."""
     rows = meetings.select(bucket_of(F.col("conv_id"), buckets).alias("b")).distinct().collect()
     return F.col("bucket").isin(sorted(row["b"] for row in rows))
-
-
-def empty_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
-    """Replace buckets by tables without rows, which dynamic overwriting of rows cannot do."""
-    if buckets:
-        none = spark.read.parquet(path).drop("bucket").limit(0)
-        for bucket in buckets:
-            none.write.mode("overwrite").parquet(f"{path}/bucket={bucket}")

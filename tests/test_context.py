@@ -77,3 +77,41 @@ def test_rows_without_turn_or_meeting_keep_their_place_in_every_span(spark, span
     said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = sorted(map(repr, context.neighbours(said, r=2, span=span).collect()))
     assert got == sorted(map(repr, context.neighbours(said, r=2, span=1000).collect())) and len(got) == 13
+
+
+def test_places_count_along_meetings_whatever_the_turns(spark):
+    rows = [(1, 1_760_000_000_000 + 997 * i, "user", f"at {i}") for i in range(500)] + [(2, None, r, "x") for r in ("a", "b")] + [(None, 5, "u", "y")]
+    got = context.places(spark.createDataFrame(rows, SAID).repartition(5), block=40).collect()
+    by_meeting = {}
+    for row in sorted(got, key=lambda r: r["place"]):
+        by_meeting.setdefault(row["conv_id"], []).append((row["place"], row["text"], row["role"]))
+    assert by_meeting[1] == [(i, f"at {i}", "user") for i in range(500)]
+    assert by_meeting[2] == [(0, "x", "a"), (1, "x", "b")] and by_meeting[None] == [(0, "y", "u")]
+
+
+def test_hits_find_their_neighbours_by_place(spark, said):
+    hits = spark.createDataFrame([(1, 1, 5), (2, 1, 5), (1, 1, 398), (1, 2, 0), (1, 3, 1), (1, 9, 9)], "req_id long, conv_id long, turn long")
+    key = lambda r: (r["req_id"], r["conv_id"], r["turn"], r["role"], r["text"], str(r["before"]), str(r["after"]))
+    want = sorted(map(key, context.around_hits(hits, said, r=2).collect()))
+    got = sorted(map(key, context.around_hits(hits, said, r=2, span=10).collect()))
+    assert got == want and len(want) == 5
+
+
+def test_a_long_meeting_with_turns_in_milliseconds_is_not_sorted_whole(spark):
+    rows = spark.range(1_000_000).selectExpr("1L AS conv_id", "1760000000000 + id * 1009 AS turn", "'user' AS role", "concat('at ', id) AS text")
+    hits = spark.createDataFrame([(1, 1, 1760000000000 + i * 1009) for i in (0, 499_999, 999_999)], "req_id long, conv_id long, turn long")
+    near = context.around_hits(hits, rows, r=1)
+    got = sorted((r["turn"], [u["text"] for u in r["before"]], [u["text"] for u in r["after"]]) for r in near.collect())
+    assert [g[1:] for g in got] == [([], ["at 1"]), (["at 499998"], ["at 500000"]), (["at 999998"], [])]
+    assert "Window" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlapping_hits_become_one_span(spark):
+    utterances = spark.createDataFrame([(1, 0, "user", " ".join(f"w{i}" for i in range(200))), (1, 1, None, "b c")], SAID)
+    key = "req_id long, conv_id long, turn long, chunk int, rank int"
+    hits = spark.createDataFrame([(1, 1, 0, 1, 3), (1, 1, 0, 0, 2), (1, 1, 1, 0, 1), (1, 1, 0, 4, 4), (1, 1, 0, 4, 4), (2, 1, 0, 2, 1)], key)
+    spans = {(r["req_id"], r["turn"], r["lo"], r["hi"], r["rank"], r["n_chunks"]) for r in context.merge_hits(hits, 40, 10).collect()}
+    assert spans == {(1, 0, 0, 70, 2, 2), (1, 0, 120, 160, 4, 1), (1, 1, 0, 40, 1, 1), (2, 0, 60, 100, 1, 1)}
+    got = {r["req_id"]: r["context"] for r in context.merged_context(hits, utterances, 10_000).collect()}
+    said = lambda lo, hi: "user: " + " ".join(f"w{i}" for i in range(lo, hi))
+    assert got == {1: "\n".join(["b c", said(0, 70), said(120, 160)]), 2: said(60, 100)}
