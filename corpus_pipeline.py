@@ -45,10 +45,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the base rules or their language's cutoff reject go."""
-    scored = quality.features(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "base_failed", "badness")
-    scored = materialise(scored, "quality-features")
+    scored = materialise(quality.features(_apart(docs)), "quality-features")  # read twice, made once
     thresholds = quality.learn(scored, _labels(spark, sf_dir), "lang", risk=0.05, doubt=0.05)
-    return _back(quality.judge(quality.features(_apart(docs)), thresholds, "lang").where("kept"), docs)
+    return _back(quality.judge(scored, thresholds, "lang").where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
