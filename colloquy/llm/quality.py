@@ -99,9 +99,9 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.array_distinct(words)).cast("long").alias("d"),
         )
 
-    own = [c for c in docs.columns if c not in ADDED]
+    own = {f"_own{i}": c for i, c in enumerate(docs.columns) if c not in ADDED}  # numbered: no name of theirs can be one of ours
     counted = docs.select(
-        *[F.col(f"`{c}`") for c in own],
+        *[F.col(f"`{c}`").alias(name) for name, c in own.items()],
         let(words_of(t), counts).alias("_w"),
         F.length(_strip(t, WHITE)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(_strip(t, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -121,7 +121,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     failed = (F.col("_w.n") < 10) | (100 * F.col("_w.r") > 20 * F.col("_w.n"))
     return counted.select(
-        *[F.col(f"`{c}`") for c in own],
+        *[F.col(name).alias(c) for name, c in own.items()],
         F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.col("_w.r").alias("n_repeat_words"),
         failed.alias("base_failed"),
@@ -202,10 +202,15 @@ def learn(scored: DataFrame, labels: DataFrame, stratum: str, risk: float, doubt
 
 
 def judge(scored: DataFrame, thresholds: DataFrame, stratum: str) -> DataFrame:
-    """Adds kept: false if the base rules reject, or the badness exceeds its stratum's cutoff."""
+    """Adds kept: false if the base rules reject, or the badness exceeds its stratum's cutoff. A column `kept` is replaced."""
     cut = thresholds.select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_cutoff"))
     if measure(cut).within(BROADCAST_ROWS, BROADCAST_BYTES):
         cut = F.broadcast(cut)
-    joined = scored.join(cut, F.col(f"`{stratum}`").eqNullSafe(F.col("_stratum")), "left")
-    over = F.coalesce(F.col("badness") > F.col("_cutoff"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", "_cutoff")
+    own = {f"_own{i}": c for i, c in enumerate(scored.columns) if c != "kept"}
+    rows = scored.select(
+        *[F.col(f"`{c}`").alias(name) for name, c in own.items()],
+        F.col(f"`{stratum}`").alias("_of"), F.col("badness").alias("_badness"), F.col("base_failed").alias("_failed"),
+    )
+    over = F.coalesce(F.col("_badness") > F.col("_cutoff"), F.lit(False))
+    joined = rows.join(cut, F.col("_of").eqNullSafe(F.col("_stratum")), "left")
+    return joined.select(*[F.col(name).alias(c) for name, c in own.items()], (~F.col("_failed") & ~over).alias("kept"))
