@@ -29,9 +29,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.cuts import cut
 from colloquy.llm.ship import ship
 from colloquy.llm.words import Words, by_bytes, shingles
 from colloquy.session import materialise
@@ -235,6 +236,17 @@ def _counted_once(rows: DataFrame) -> DataFrame:
     return least.select("toxic", "mark", F.col("least.doc_id").alias("doc_id"), F.col("least.text").alias("text"))
 
 
+def _first_by_hash(labelled: DataFrame, n: int) -> DataFrame:
+    """(_key, _toxic) of the `n` rows with the least hash of their key; of keys with one hash the smallest."""
+    last = cut(labelled, "_hash", n)
+    if last is None:
+        return labelled.drop("_hash")
+    edge, before = last
+    order = Window.partitionBy("_hash").orderBy("_key")  # keys that share one 64-bit hash: hardly ever more than one
+    ties = labelled.where(F.col("_hash") == edge).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n - before)
+    return labelled.where(F.col("_hash") < edge).drop("_hash").unionByName(ties.drop("_hash", "_place"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from=None) -> Model:
     """Lexicon, context weights and regression from labelled documents; `learn_from` is a condition on labels' doc_id."""
     spark = docs.sparkSession
@@ -242,10 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from=Non
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if learn_from is not None:
         usable = usable.where(learn_from)
-    picked = (
-        usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_key")
-    )
+    labelled = usable.groupBy(F.col("doc_id").alias("_key")).agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
+    picked = _first_by_hash(materialise(labelled.withColumn("_hash", F.xxhash64("_key")), "toxic-labels"), sample)
     # At most `sample` rows of two numbers: small enough to broadcast at any size of the tables.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_key"))
 
