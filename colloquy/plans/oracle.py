@@ -92,10 +92,11 @@ HASH_PAIRS = f"""
 
 HASHED = f"{TF}, {RTF}, {hashed('tf', UNIT + ', role', 'hv')}, {hashed('rtf', 'req_id', 'rv')}, {HASH_PAIRS}"
 
-SIDES = """
+def sides(tables: int, bits: int) -> str:
+    return f"""
     planes AS (
       SELECT t, b, d AS bucket, CASE WHEN (strpos('0123456789abcdef', md5(t || ':' || b || ':' || d)[1]) - 1) % 2 = 0 THEN 1 ELSE -1 END AS s
-      FROM range(8) x(t), range(10) y(b), range(256) z(d))"""
+      FROM range({tables}) x(t), range({bits}) y(b), range(256) z(d))"""
 
 
 def signature(vectors: str, key: str, name: str) -> str:
@@ -250,15 +251,26 @@ def statements() -> dict[str, str]:
         "bm25_search": f"WITH {TF}, {RTF}, {DF}, {BM25_SCORES}, {ranked('scored', UNIT, 5)} SELECT * FROM hits",
         "stored_bm25_search": f"WITH {TF}, {RTF}, {DF}, {BM25_SCORES}, {ranked('scored', UNIT, 5)} SELECT * FROM hits",
         "lsh_search": f"""
-            WITH {HASHED}, {SIDES}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
+            WITH {HASHED}, {sides(40, 6)}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
             met AS (SELECT DISTINCT req_id, {UNIT} FROM rsig JOIN usig USING (t, code)),
             near AS (SELECT req_id, {UNIT}, score FROM pairs JOIN met USING (req_id, {UNIT})),
             {ranked('near', UNIT, 5)} SELECT * FROM hits""",
         "lsh_near_search": f"""
-            WITH {HASHED}, {SIDES.replace('range(8)', 'range(32)')}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
+            WITH {HASHED}, {sides(32, 10)}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
             met AS (SELECT DISTINCT req_id, {UNIT} FROM rsig JOIN usig USING (t) WHERE bit_count(xor(rsig.code::BIGINT, usig.code::BIGINT)) <= 1),
             near AS (SELECT req_id, {UNIT}, score FROM pairs JOIN met USING (req_id, {UNIT})),
             {ranked('near', UNIT, 5)} SELECT * FROM hits""",
+        "probed_search": f"""
+            WITH {HASHED}, {sides(1, 12)}, {signature('hv', UNIT, 'usig')}, {signature('rv', 'req_id', 'rsig')},
+            rside AS (SELECT req_id, b, sum(value * s) AS side FROM rv JOIN planes USING (bucket) GROUP BY ALL),
+            cost AS (
+              SELECT req_id, m, sum(CASE WHEN (m >> b) & 1 = 1 THEN side * side ELSE 0 END) AS cost
+              FROM rside CROSS JOIN range(4096) x(m) GROUP BY ALL),
+            probe AS (SELECT req_id, m FROM cost QUALIFY row_number() OVER (PARTITION BY req_id ORDER BY cost, m) <= 2048),
+            met AS (
+              SELECT req_id, {UNIT} FROM probe JOIN rsig USING (req_id) JOIN usig ON usig.code::BIGINT = xor(rsig.code::BIGINT, m)),
+            near AS (SELECT req_id, {UNIT}, score FROM pairs JOIN met USING (req_id, {UNIT})),
+            {ranked('near', UNIT, 5)} SELECT * FROM hits""",
         "meeting_details": r"""
             SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_speakers,
                    CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars,

@@ -10,12 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import context, dense, encode, indexed, meaning, prepare, pruned, ranking, sparse
+from colloquy.operators import context, dense, encode, indexed, meaning, prepare, probed, pruned, ranking, sparse
 from colloquy.plans import answer, meaning_store
 from colloquy.plans.store import build_store, refresh_store
 from colloquy.schemas import CHUNK_KEY, CORRUPT, UTTERANCE, UTTERANCE_KEY
 from colloquy.session import materialise, scratch_path, spread
 from colloquy.sources import compacted, term_index
+from colloquy.sources.code_lists import store_codes
 from colloquy.sources.transcripts import parse_lines, quarantine, quarantine_counts, read_log, read_transcripts
 from colloquy.sources.vector_cells import store_cells
 from colloquy.sources.vector_store import bucket_of, read_vectors, store_vectors
@@ -298,9 +299,9 @@ def stored_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL states it: equal codes in one of 8 tables of 10 bits, which miss most of the true hits (README)."""
+    """Units with the request's own code in one of 40 tables of 6 bits."""
     asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
-    return dense.lsh_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K, DIM, tables=8, bits=10, flips=0)
+    return dense.lsh_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K, DIM, tables=40, bits=6, flips=0)
 
 
 def lsh_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +310,14 @@ def lsh_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.lsh_search(asked, encode.hash_vectors(chunks(spark, sf_dir), DIM), K, DIM)
 
 
+def probed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors are stored in lists by code; requests look into the half of the lists that is nearest to them."""
+    path = scratch_path(spark, "codes")
+    store_codes(materialise(encode.hash_vectors(chunks(spark, sf_dir), DIM), "units"), path, DIM)
+    asked = materialise(encode.hash_vectors(requests(spark, sf_dir), DIM).select("req_id", "vec"), "requests")
+    return probed.probed_search(spark, asked, path, K)
+
+
 def meaning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each request the 3 passages closest in meaning, with speaker and text."""
     rows = utterances(spark, sf_dir)
@@ -440,6 +449,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_bm25_search": stored_bm25_search,
         "lsh_search": lsh_search,
         "lsh_near_search": lsh_near_search,
+        "probed_search": probed_search,
         "meaning_search": meaning_search,
         "stored_search": stored_search,
         "stored_meaning_search": stored_meaning_search,
