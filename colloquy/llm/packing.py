@@ -30,7 +30,7 @@ from colloquy.llm.words import by_bytes
 from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise, measure
 
 TOGETHER = 100  # words handed to the library as one text
-SLICE = 12 << 20  # bytes of text encoded at once
+SLICE = 2 << 20  # bytes of text encoded at once
 
 
 class Encoder:

@@ -23,6 +23,7 @@ WHITE = rf"\t-\r {WIDE_WHITE}"
 
 KNOWN = 300_000  # pieces kept per task, each of at most LONGEST bytes
 LONGEST = 64
+KEPT = 4 << 20  # bytes of words and their ids kept per task; beyond that only the words of the last column stay
 
 
 def spelled(pattern: str) -> str:
@@ -55,6 +56,10 @@ def together(made: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(made), "<u4"), np.cumsum([0, *map(len, made)]) // 4
 
 
+def listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.uint32()))
+
+
 class ColumnEncoder:
     """Ids of columns. `ids_of(piece)` gives a piece's ids as little-endian 32-bit numbers; a piece is UTF-8.
 
@@ -65,7 +70,8 @@ class ColumnEncoder:
     def __init__(self, ids_of: Callable[[bytes], bytes], words: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None, special: Sequence[str] = ()):
         import re
 
-        self.ids_of, self.words = ids_of, words or (lambda pieces: together(self._ids(pieces.to_pylist())))
+        self.ids_of, self.words = ids_of, words
+        self.seen, self.lists = pa.array([], pa.large_binary()), pa.array([], pa.large_list(pa.uint32()))
         self.apart = "|".join([f"[{WIDE_WHITE}]", *map(re.escape, special)])
         self.known: dict[bytes, bytes] = {}
 
@@ -82,6 +88,23 @@ class ColumnEncoder:
             out.append(ids)
         return out
 
+    def _word_lists(self, words: pa.Array) -> pa.Array:
+        """A list of ids per word. Words of columns before are looked up, so a column may be small without being encoded word by word again."""
+        if self.words is None:
+            return listed(*together(self._ids(words.to_pylist())))
+        at = pc.index_in(words, value_set=self.seen)
+        if at.null_count:
+            if self.seen.nbytes + self.lists.nbytes > KEPT:
+                met = at.drop_null()
+                self.seen, self.lists = self.seen.take(met), self.lists.take(met)
+                at = pa.array(np.cumsum(at.is_valid()) - 1, pa.int32(), mask=at.is_null().to_numpy(zero_copy_only=False))
+            new = at.is_null().to_numpy(zero_copy_only=False)
+            place = np.where(new, len(self.seen) + np.cumsum(new) - 1, at.fill_null(0).to_numpy())
+            fresh = words.filter(pa.array(new))
+            self.seen, self.lists = pa.concat_arrays([self.seen, fresh]), pa.concat_arrays([self.lists, listed(*self.words(fresh))])
+            at = pa.array(place)
+        return self.lists.take(at)
+
     def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(ids of all rows one after the other, first id of every row and the end)."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -95,8 +118,8 @@ class ColumnEncoder:
         first = np.searchsorted(start, offsets)  # piece of every row
         word = np.zeros(len(distinct), dtype=bool)  # a piece ends in white space only if it is nothing else
         word[codes] = ~_SPACE[raw[bounds[1:] - 1]] & ~np.repeat(whole, np.diff(first))
-        parts = self.words(distinct.filter(pa.array(word))), together(self._ids(distinct.filter(pa.array(~word)).to_pylist()))
-        lists = pa.concat_arrays([pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.uint32())) for ids, ends in parts])
+        others = listed(*together(self._ids(distinct.filter(pa.array(~word)).to_pylist())))
+        lists = pa.concat_arrays([self._word_lists(distinct.filter(pa.array(word))), others])
         place = np.where(word, np.cumsum(word) - 1, word.sum() + np.cumsum(~word) - 1)
         lists = lists.take(pa.array(place[codes]))
         return lists.values, lists.offsets.to_numpy()[first]

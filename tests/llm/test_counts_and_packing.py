@@ -1,9 +1,11 @@
 """Token counts and packing against the tokenizers' own libraries."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest import words  # noqa: F401  the fixtures' module
@@ -11,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from colloquy.llm import packing, token_counts
+from colloquy.llm import packing, pretokens, token_counts
+from colloquy.llm.words import by_bytes
 
 MODEL, JSON = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 SIGNS = "abeinot THE'sl1290.,!?-_()<>|/\\\n\t\r\x1c   　éßü日本語тест😀▁"
@@ -84,3 +87,29 @@ def test_packing_is_near_the_bound(scale):
     histogram = np.bincount(np.minimum(1024, rng.lognormal(5.5, 1, 3000).astype(int) + 1), minlength=1025) * scale
     sequences = sum(r for _, r in packing.plan(histogram, 1024))
     assert sequences <= 1.01 * -(-int((histogram * np.arange(1025)).sum()) // 1024) + 1
+
+
+@pytest.mark.parametrize("kept", [1 << 20, 100])
+def test_words_of_columns_before_are_looked_up(monkeypatch, kept):
+    monkeypatch.setattr(pretokens, "KEPT", kept)
+    library, columns, asked = Tokenizer.from_file(JSON), packing.Encoder(JSON).columns, []
+    encode = columns.words
+    columns.words = lambda words: asked.append(len(words)) or encode(words)
+    for texts in (["a new word here", "word  two\n x"], ["here two new"], ["other word", None, "here three new"], ["here three new"]):
+        ids, first = columns.encode(pa.array(texts, pa.string()))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids.to_pylist()[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == want
+    assert asked[0] == 7 and len(asked) == 3 and asked[1] <= 1
+
+
+def test_columns_are_cut_small():
+    """What numpy holds at once follows from SLICE, not from the batch."""
+    texts = pa.array([" ".join(f"w{i * j % 9973}" for i in range(2000)) for j in range(1, 800)])
+    columns = packing.Encoder(JSON).columns
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    tracemalloc.start()
+    for part in by_bytes(batch, "text", packing.SLICE):
+        columns.encode(part.column(0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 8 << 20 and peak < 20 << 20
