@@ -9,9 +9,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PLACES = 9  # digits of a score that count for its rank
 TILE = 4_000_000  # scores held in memory at a time
+PAIRS = 500_000  # words of units met with words of requests at a time
 
 
 def make_values():
@@ -22,6 +24,27 @@ def make_values():
     return values
 
 
+def make_places():
+    def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+        """Where each of the distinct `words` is in `known`, or -1. Only `words` become a hash table: `known` may be large and stays in Arrow."""
+        of = pc.index_in(known, value_set=words)
+        met = of.is_valid()
+        at = np.full(len(words), -1, dtype=np.int64)
+        at[of.filter(met).to_numpy()] = np.flatnonzero(met.to_numpy(zero_copy_only=False))
+        return at
+
+    return places
+
+
+def make_whole():
+    def whole(column) -> pa.Array:
+        """A column in one piece."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+    return whole
+
+
 def make_forbidden():
     def forbidden(conditions: dict, lo: int, hi: int, n: int, convs, roles) -> np.ndarray:
         """(units, requests) pairs that a condition of one of the requests lo..hi rules out."""

@@ -34,7 +34,7 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int, bm25: Bm25
     text, of which only those that a request has are counted.
     """
     key, conditions_of = list(key), [c for c in filters if c != "k"]
-    tile = inside.TILE
+    tile, pairs = inside.TILE, inside.PAIRS
     values, forbidden = inside.make_values(), inside.make_forbidden()
     start, candidates, offer, result = inside.make_keeper(key, limit)
 
@@ -85,9 +85,13 @@ def _searcher(key: Sequence[str], filters: Sequence[str], limit: int, bm25: Bm25
             keys = {c: values(batch.column(c)) for c in key}
             roles = values(batch.column("role")) if "roles" in conditions_of else None
             step = max(1, tile // max(1, n_asked))
-            for lo in range(0, len(lists), step):
-                n = min(len(lists) - lo, step)
-                a, b = np.searchsorted(unit, [lo, lo + n])
+            first = np.searchsorted(unit, np.arange(len(lists) + 1))
+            met = np.append(0, np.cumsum(count))[first]  # pairs of words before each unit
+            hi = 0
+            while hi < len(lists):  # units are taken while their scores and pairs fit, one at least
+                lo, hi = hi, min(len(lists), hi + step)
+                hi = max(lo + 1, min(hi, int(np.searchsorted(met, met[lo] + pairs, side="right")) - 1))
+                n, a, b = hi - lo, first[lo], first[hi]
                 if a == b:
                     continue
                 total = count[a:b]

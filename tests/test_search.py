@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -207,6 +209,39 @@ def test_bm25_equals_plain_python(spark, units, questions, words_path):
         assert hits[q] == plain_rank(scores, 5)
 
 
+def frequent_words(n_units=4_000, n_asked=100):
+    """Requests that share all of their words with each other and with all units, as what tasks get."""
+    names = [f"w{i}" for i in range(40)]
+    asked = pa.table({"req_id": np.repeat(np.arange(n_asked), 40), "term": names * n_asked, "weight": np.linspace(1, 2, 40 * n_asked)})
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n_units + 1, dtype=np.int32) * 40), pa.array(names * n_units))
+    keys = [pa.array(np.arange(n_units)), pa.array(np.zeros(n_units, np.int64)), pa.array(np.zeros(n_units, np.int32))]
+    return asked, pa.RecordBatch.from_arrays([*keys, lists], names=["conv_id", "turn", "chunk", "words"])
+
+
+def test_frequent_words_take_no_more_memory(monkeypatch):
+    asked, batch = frequent_words()  # 16 M pairs of words: 128 MB as one array of numbers
+    read, search = sparse._searcher(["conv_id", "turn", "chunk"], [], 5, (1.2, 0.75, 40.0))
+    tracemalloc.start()
+    hits = search(read(asked), iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    for pairs in (1, 10**9):
+        monkeypatch.setattr(inside, "PAIRS", pairs)
+        read, search = sparse._searcher(["conv_id", "turn", "chunk"], [], 5, (1.2, 0.75, 40.0))
+        assert search(read(asked), iter([batch])).equals(hits)
+
+
+def test_a_large_vocabulary_is_looked_up_in_arrow():
+    places, known = inside.make_places(), pa.array([f"word{i}" for i in range(300_000)])
+    tracemalloc.start()
+    at = places(pa.array(["word7", "none", "word299999", ""]), known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at.tolist() == [7, -1, 299_999, -1] and peak < 2 << 20
+    assert places(pa.array([], pa.string()), known).tolist() == [] and places(pa.array(["a"]), pa.array([], pa.string())).tolist() == [-1]
+
+
 def test_conditions_of_term_search(spark, units, questions, words_path):
     stats = encode.corpus_stats(units)
     limited = questions.withColumns({"roles": F.array(F.lit("user")), "exclude_conv": F.lit(0).cast("long"), "k": F.lit(2)})
