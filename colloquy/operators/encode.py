@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.resource import ResourceProfile
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.text import term_counts, words
 from colloquy.functions.vectors import checked, norm
+from colloquy.operators import inside
 from colloquy.operators.joins import join_small
 from colloquy.operators.prepare import by_utterance, terms
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
@@ -114,15 +114,17 @@ def _weighted_in_place(units: DataFrame, stats: CorpusStats, rest: list[str]) ->
         T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("weight", T.DoubleType()),
     ])))])
 
+    places, whole = inside.make_places(), inside.make_whole()
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pd.Index(shared.value.column("term").to_numpy())
+        known = whole(shared.value.column("term"))
         df = shared.value.column("df").to_numpy()
         for batch in batches:
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column("terms")), 0))
             lists = batch.column("terms")
             flat = lists.flatten()
             coded = flat.field("term").dictionary_encode()
-            at = known.get_indexer(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+            at = places(coded.dictionary, known)[coded.indices.to_numpy()]
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             keep = at >= 0  # others are words of units that the statistics do not cover
             tf, row = flat.field("tf").to_numpy()[keep], row[keep]

@@ -9,13 +9,13 @@ bits, and no vocabulary is held in one place. Words used alike get vectors alike
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import let, words
+from colloquy.operators import inside
 from colloquy.operators.encode import CorpusStats, tfidf_requests, tfidf_rows
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, Size, materialise, measure
@@ -71,16 +71,16 @@ def _folded(rows: DataFrame, vectors: DataFrame, dim: int, name: str = "vec") ->
     kept = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
+    places, whole = inside.make_places(), inside.make_whole()
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        known = pd.Index(table.column("term").to_numpy())
-        matrix = table.column("vec").combine_chunks()
-        matrix = (matrix.chunk(0) if isinstance(matrix, pa.ChunkedArray) else matrix).flatten().to_numpy().reshape(-1, dim)
+        known = whole(shared.value.column("term"))
+        matrix = whole(shared.value.column("vec")).flatten().to_numpy().reshape(-1, dim)
         for batch in batches:
             lists = batch.column("terms")
             flat = lists.flatten()
             coded = flat.field("term").dictionary_encode()
-            at = known.get_indexer(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+            at = places(coded.dictionary, known)[coded.indices.to_numpy()]
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             out = np.zeros((batch.num_rows, dim))
             use = np.flatnonzero(at >= 0)
