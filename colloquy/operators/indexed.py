@@ -4,7 +4,8 @@
    no more than the kth best score in the end.
 2. Words that even together stay under that bound cannot bring a unit in (they are the words that most units have). Only
    the others' postings are added up, but for blocks that stay under the bound with everything else at its largest. Units
-   whose sum stays under it with the former words at their largest are dropped.
+   whose sum stays under it with the former words at their largest are dropped. The kth best of these sums is a better bound,
+   and units that stay under that one are dropped too.
 3. For the units left, the block where each of the former words would have them is looked up, and what is there is added.
 """
 
@@ -56,11 +57,16 @@ def stored_bm25_search(spark: SparkSession, requests: DataFrame, path: str, k: i
     wanted = F.coalesce("k", F.lit(k)) if "k" in filters else F.lit(k)
     first = asked.filter(F.col("seen") < SEEDS)
     best = Window.partitionBy("req_id").orderBy(F.desc("part"))
-    seeds = _summed(_parts(first, postings(first), corpus, filters)).withColumn("_n", F.row_number().over(best))
     own = asked.groupBy("req_id").agg(*[F.first(c).alias(c) for c in filters]) if filters else asked.select("req_id").distinct()
-    bound = seeds.filter(F.col("_n") <= largest_k(requests, k)).join(own, "req_id").filter(F.col("_n") == wanted)
-    bound = bound.select("req_id", (F.col("part") - SLACK).alias("bound"))
-    asked = materialise(asked.join(bound, "req_id", "left").fillna({"bound": 0.0}), "bounded")
+    most = largest_k(requests, k)
+
+    def kth(sums: DataFrame, name: str) -> DataFrame:
+        """Per request the kth best of sums over some of its words, which the kth best score cannot be under."""
+        ranked = sums.select("req_id", "part").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most)
+        return ranked.join(own, "req_id").filter(F.col("_n") == wanted).select("req_id", (F.col("part") - SLACK).alias(name))
+
+    seeds = _summed(_parts(first, postings(first), corpus, filters))
+    asked = materialise(asked.join(kth(seeds, "bound"), "req_id", "left").fillna({"bound": 0.0}), "bounded")
 
     strong, weak = asked.filter("upto >= bound"), asked.filter("upto < bound")
     reached = postings(strong).join(strong.select("req_id", "term", "weight", "most", "total", "bound", *filters), "term")
@@ -69,7 +75,9 @@ def stored_bm25_search(spark: SparkSession, requests: DataFrame, path: str, k: i
     reached = reached.filter(admitted(filters)) if filters else reached
     sums = _summed(reached.select("req_id", *CHUNK_KEY, (F.col("weight") * corpus.share()).alias("part")))
     rest = asked.groupBy("req_id").agg(F.first("bound").alias("bound"), F.coalesce(F.max(F.when(F.col("upto") < F.col("bound"), F.col("upto"))), F.lit(0.0)).alias("rest"))
-    left = materialise(sums.join(rest, "req_id").filter(F.col("part") + F.col("rest") >= F.col("bound")).drop("bound", "rest"), "candidates")
+    left = materialise(sums.join(rest, "req_id").filter(F.col("part") + F.col("rest") >= F.col("bound")).drop("bound"), "candidates")
+    left = left.join(materialise(kth(left, "_better"), "better-bounds"), "req_id", "left").fillna({"_better": 0.0})
+    left = materialise(left.filter(F.col("part") + F.col("rest") >= F.col("_better")).drop("rest", "_better"), "better-candidates")
 
     sought = left.select("req_id", *CHUNK_KEY).join(weak.select("req_id", "term", "weight", "blocks"), "req_id")
     sought = sought.withColumn("block", block_of(F.col("blocks"))).drop("blocks")
@@ -79,4 +87,4 @@ def stored_bm25_search(spark: SparkSession, requests: DataFrame, path: str, k: i
     scored = scored.withColumnRenamed("part", "score")
     if "k" in filters:
         scored = scored.join(own.select("req_id", "k"), "req_id")
-    return rank_hits(scored, CHUNK_KEY, k, largest_k(requests, k))
+    return rank_hits(scored, CHUNK_KEY, k, most)

@@ -58,6 +58,26 @@ def test_stored_bm25_equals_bm25(spark, utterances, asked, tmp_path, monkeypatch
     assert rows(got) == rows(sparse.bm25_search(asked, units, k, encode.corpus_stats(units)))
 
 
+def test_sums_over_strong_words_leave_out_candidates(spark, tmp_path, monkeypatch):
+    """Units with one of four strong words each are candidates by the bound of the rarest, not by that of units with all."""
+    said = lambda i: " ".join(["the", f"other{i}", *[f"s{j}" for j in range(4) if i < 10 or i % 4 == j]])
+    rows = [(i, 0, 0, "user", said(i)) for i in range(400)]
+    units = spark.createDataFrame(rows, "conv_id long, turn long, chunk int, role string, text string")
+    asked = spark.createDataFrame([(1, "the s0 s1 s2 s3")], "req_id long, text string")
+    term_index.store_terms(units, str(tmp_path), buckets=4, block=16)
+    monkeypatch.setattr(indexed, "SEEDS", 1)
+    written = {}
+
+    def noted(df, name, make=indexed.materialise):
+        written[name] = make(df, name)
+        return written[name]
+
+    monkeypatch.setattr(indexed, "materialise", noted)
+    got = indexed.stored_bm25_search(spark, asked, str(tmp_path), 5).orderBy("rank").collect()
+    assert got == sparse.bm25_search(asked, units, 5, encode.corpus_stats(units)).orderBy("rank").collect()
+    assert written["candidates"].count() > 100 and written["better-candidates"].count() == 10
+
+
 def test_stored_bm25_with_conditions(spark, utterances, asked, tmp_path, monkeypatch):
     monkeypatch.setattr(indexed, "SEEDS", 40)
     units = chunk(utterances)
