@@ -46,6 +46,10 @@ class CorpusStats:
         """Words in so many units that there can be no more than HOT_WORDS of them: their frequencies add up to `n_words` at most."""
         return self.table.filter(F.col("df") * HOT_WORDS >= self.n_words)
 
+    def hot_df(self) -> int:
+        """The frequency from which on words are hot."""
+        return max(1, -(-self.n_words // HOT_WORDS))
+
     def tasks(self) -> int:
         """Partitions for work on all terms of the corpus: by its size, and at least one per core."""
         cores = self.table.sparkSession.sparkContext.defaultParallelism

@@ -7,6 +7,7 @@ bits, and no vocabulary is held in one place. Words used alike get vectors alike
 """
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import let, words
+from colloquy.functions.text import term_counts, words
 from colloquy.operators import inside
-from colloquy.operators.encode import CorpusStats, tfidf_requests, tfidf_rows
+from colloquy.operators.encode import CorpusStats, tfidf_requests
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
 from colloquy.session import BROADCAST_BYTES, BROADCAST_ROWS, Size, materialise, measure
 
@@ -25,113 +26,238 @@ WINDOW = 2
 SMALL = Size(BROADCAST_ROWS, BROADCAST_BYTES)
 
 
-def _index(word: Column, dim: int) -> Column:
-    """(bucket, sign) of a word: 8 hex digits of its md5 modulo dim, + if the next 4 are even."""
-    digest = F.md5(word)
-    number = lambda start, n: F.conv(F.substring(digest, start, n), 16, 10).cast("long")
-    sign = F.when(number(9, 4) % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).cast("long")
-    return F.struct((number(1, 8) % dim).cast("int").alias("bucket"), sign.alias("sign"))
-
-
 def context_counts(utterances: DataFrame, dim: int = DIM, window: int = WINDOW) -> DataFrame:
-    """(term, bucket, value): the non-zero entries of all context vectors. Summed up in the task before the shuffle."""
-    offsets = [o for o in range(-window, window + 1) if o]
-
-    def beside(said: Column) -> Column:
-        def around(codes: Column) -> Column:
-            near = lambda w, i: F.transform(
-                F.array(*[F.get(codes, i + o) for o in offsets]), lambda c: F.struct(w.alias("term"), c.alias("c"))
-            )
-            return F.filter(F.flatten(F.transform(said, near)), lambda x: x["c"].isNotNull())
-
-        return let(F.transform(said, lambda w: _index(w, dim)), around)
-
-    pairs = utterances.select(F.explode(let(words(F.coalesce("text", F.lit(""))), beside)).alias("p"))
-    summed = pairs.groupBy(F.col("p.term").alias("term"), F.col("p.c.bucket").alias("bucket")).agg(F.sum("p.c.sign").alias("value"))
-    return summed.filter("value <> 0")
-
-
-def _unit_vectors(counts: DataFrame, dim: int, *own: Column) -> DataFrame:
-    """(term, vec, own columns): entries (term, bucket, value) put together; a term without a bucket from 0 on has no vec."""
-    inside = F.when(F.col("bucket") >= 0, F.struct("bucket", "value"))
-    length = F.sqrt(F.sum(F.when(F.col("bucket") >= 0, F.col("value") * F.col("value"))).cast("double"))
-    whole = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(inside)).alias("_e"), length.alias("_l"), *own)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_e", i), F.lit(0)) / F.col("_l"))
-    return whole.withColumn("vec", F.when(F.col("_l") > 0, vec)).drop("_e", "_l")
-
-
-def word_vectors(counts: DataFrame, dim: int = DIM) -> DataFrame:
-    """(term, vec): context vectors of length 1, as a written table. A word without context has none."""
-    return materialise(_unit_vectors(counts, dim), "word-vectors")
+    """(term, bucket, value): the non-zero entries of all context vectors. Summed up in the task before the shuffle.
 
+    A word's index vector is made once per batch: 8 hex digits of its md5 modulo dim, + if the next 4 are even.
+    """
+    said = utterances.select(words(F.coalesce("text", F.lit(""))).alias("_words"))
+    most = inside.PAIRS
 
-def _folded(rows: DataFrame, vectors: DataFrame, dim: int, name: str = "vec") -> DataFrame:
-    """`rows` with the sum of the vectors of their `terms` as far as `vectors`, which goes to all tasks, has them."""
-    shared = rows.sparkSession.sparkContext.broadcast(vectors.select("term", "vec").toArrow())
-    kept = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-
-    places, whole = inside.make_places(), inside.make_whole()
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = whole(shared.value.column("term"))
-        matrix = whole(shared.value.column("vec")).flatten().to_numpy().reshape(-1, dim)
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("terms")
-            flat = lists.flatten()
-            coded = flat.field("term").dictionary_encode()
-            at = places(coded.dictionary, known)[coded.indices.to_numpy()]
+            lists = batch.column("_words")
+            coded = lists.flatten().dictionary_encode()
+            digests = [md5(word.encode()).hexdigest() for word in coded.dictionary.to_pylist()]
+            bucket = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
+            sign = np.array([1.0 - 2 * (int(d[8:12], 16) % 2) for d in digests])
+            code = coded.indices.to_numpy().astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            out = np.zeros((batch.num_rows, dim))
-            use = np.flatnonzero(at >= 0)
-            if len(use):
-                begins = np.flatnonzero(np.r_[True, row[use][1:] != row[use][:-1]])  # terms of a row lie side by side
-                out[row[use][begins]] = np.add.reduceat(flat.field("weight").to_numpy()[use, None] * matrix[at[use]], begins)
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vec], names=[*kept, name])
+            for lo in range(0, len(code), most):  # words lo.. of the batch, with those beside them on the right
+                pairs = []
+                for o in range(1, window + 1):
+                    left = np.arange(lo, min(lo + most, len(code) - o))
+                    left = left[row[left] == row[left + o]]
+                    pairs += [(code[left], code[left + o]), (code[left + o], code[left])]
+                of, near = (np.concatenate(side) for side in zip(*pairs))
+                entry, at = np.unique(of * dim + bucket[near], return_inverse=True)
+                value = np.bincount(at, weights=sign[near], minlength=len(entry)).astype(np.int64)
+                entry, value = entry[value != 0], value[value != 0]
+                columns = [coded.dictionary.take(pa.array(entry // dim)), pa.array((entry % dim).astype(np.int32)), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "bucket", "value"])
+
+    pairs = said.mapInArrow(beside, "term string, bucket int, value long")
+    return pairs.groupBy("term", "bucket").agg(F.sum("value").alias("value")).filter("value <> 0")
+
+
+def _entries(counts: DataFrame, *own: Column) -> DataFrame:
+    """(term, at, n, own columns): the buckets of a term from 0 on and its counts there, side by side; both are empty without any."""
+    listed = F.collect_list(F.when(F.col("bucket") >= 0, F.struct("bucket", "value")))
+    whole = counts.groupBy("term").agg(listed.alias("_e"), *own)
+    return whole.withColumns({"at": F.col("_e.bucket"), "n": F.col("_e.value")}).drop("_e")
+
+
+def _with_df(stats: CorpusStats, vectors: DataFrame) -> DataFrame:
+    """(term, df, at, n) of all words that have a frequency or a context."""
+    if "df" in vectors.columns:
+        return vectors.select("term", "df", "at", "n")
+    empty = lambda c: F.coalesce(c, F.array().cast(vectors.schema[c].dataType)).alias(c)
+    return vectors.join(stats.table, "term", "full").select("term", F.coalesce("df", F.lit(0)).alias("df"), empty("at"), empty("n"))
+
+
+def word_vectors(counts: DataFrame, dim: int = DIM, stats: CorpusStats | None = None) -> DataFrame:
+    """(term, at, n): context vectors by their entries below `dim`, as a written table; with `stats` also df, and all words of these.
+
+    A rare word has few entries, so what a large vocabulary adds is a few numbers a word, and not `dim`.
+    """
+    made = _entries(counts.filter(F.col("bucket") < dim))
+    return materialise(_with_df(stats, made) if stats else made, "word-vectors")
+
 
-    return rows.mapInArrow(fold, schema)
+# --- passages and requests ---------------------------------------------------------------
 
 
-def _summed(rows: DataFrame, vectors: DataFrame, key: Sequence[str], dim: int, small: Size, hot: DataFrame) -> DataFrame:
-    """`rows` with `terms` (term, weight) become rows with `vec`; those without a known word get zeros.
+def _make_fold(dim: int, n_units: int | None):
+    """Two functions for use inside tasks: one that spreads entries out to unit vectors, one that sums them up by row.
 
-    Word vectors measured to be small go to all tasks and the terms of a row are summed where they
-    are. Beyond that only the `hot` words, bounded in number, go to all tasks. What a row has of others
-    meets its vectors in a join on the word, which no hot word is left in, and a row's few
-    are put together again.
+    With `n_units` weights are counts of words, which become TF-IDF of length 1; otherwise they are used as they are.
+    """
+    tile = inside.TILE // dim
+
+    def spread_out(first: np.ndarray, count: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        begin = np.cumsum(count) - count
+        source = np.arange(count.sum()) + np.repeat(first - begin, count)
+        matrix = np.zeros((len(first), dim))
+        matrix[np.repeat(np.arange(len(first)), count), at[source]] = n[source]
+        length = np.sqrt((matrix * matrix).sum(axis=1))
+        return matrix / np.where(length > 0, length, 1)[:, None]
+
+    def fold(n_rows: int, row: np.ndarray, weight: np.ndarray, df: np.ndarray, word: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """(n_rows, dim); `row` ascends, and `word` is the place of a vector in `matrix`."""
+        if n_units is not None:
+            weight = (np.log(weight) + 1) * (np.log((n_units + 1) / (df + 1)) + 1)
+            weight = weight / np.sqrt(np.bincount(row, weights=weight * weight, minlength=n_rows))[row]
+        out = np.zeros((n_rows, dim))
+        starts = np.searchsorted(row, np.arange(n_rows + 1))
+        lo = 0
+        while lo < n_rows:  # whole rows at a time, so that sums do not depend on what else is in the batch
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + tile, "right")) - 1)
+            part = slice(starts[lo], starts[hi])
+            if starts[hi] > starts[lo]:
+                begins = np.flatnonzero(np.r_[True, row[part][1:] != row[part][:-1]])
+                out[row[part][begins]] = np.add.reduceat(weight[part, None] * matrix[word[part]], begins)
+            lo = hi
+        return out
+
+    return spread_out, fold
+
+
+def _vec_column(dim: int):
+    def vec_column(out: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.reshape(-1)))
+
+    return vec_column
+
+
+def _least_df(known: DataFrame, stats: CorpusStats, small: Size) -> int:
+    """Words in at least so many units go to all tasks: as many as `small` takes, by levels of frequency, and the hot ones in any case."""
+    width = F.octet_length("term") + 24 + 12 * F.size("at")
+    levels = known.groupBy(F.length(F.bin("df")).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).collect()
+    least, n, size = stats.hot_df(), 0, 0
+    for row in sorted(levels, key=lambda r: -r["level"]):  # 64 levels at most
+        n, size = n + row["n"], size + row["b"]
+        if not Size(n, size).within(small.rows, small.bytes):
+            return least
+        least = min(least, 1 << (row["level"] - 1))
+    return 0
+
+
+def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, small: Size, stats: CorpusStats, weigh: bool) -> DataFrame:
+    """`rows` with `terms` (term, weight) become rows with `vec`, the weighted sum of their words' vectors.
+
+    `known` is (term, df, at, n). As many of the most frequent words as `small` takes are sent to all tasks. If these are all,
+    nothing is shuffled. Others, which are rare and so have few entries, meet the words of rows in a join; rows and what they
+    have of these are put together again. With `weigh` weights are counts, and rows without a known word are left out.
     """
     rest = [c for c in rows.columns if c != "terms"]
-    if measure(vectors).within(small.rows, small.bytes):
-        return _folded(rows, vectors, dim).select(*rest, "vec")
-    hot = hot.select("term")
-    many = vectors.join(F.broadcast(hot), "term", "left_semi")
-    terms = rows.select(*key, F.explode("terms").alias("t")).select(*key, F.col("t.term").alias("term"), F.col("t.weight").alias("w"))
-    cold = terms.join(F.broadcast(hot), "term", "left_anti").join(vectors.hint("shuffle_merge"), "term")
-    parts = cold.groupBy(*key).agg(F.collect_list(F.struct("term", "w", "vec")).alias("_parts"))
-    vec = F.aggregate(
-        F.sort_array("_parts"), F.col("_hot"), lambda acc, p: F.zip_with(acc, p["vec"], lambda a, x: a + p["w"] * x)
-    )
-    made = _folded(rows, many, dim, "_hot").drop("terms").join(parts, list(key), "left")
-    return made.select(*rest, F.when(F.col("_parts").isNull(), F.col("_hot")).otherwise(vec).alias("vec"))
+    least = _least_df(known, stats, small)
+    shared = rows.sparkSession.sparkContext.broadcast(known.filter(F.col("df") >= least).select("term", "df", "at", "n").toArrow())
+    places, whole, vec_column = inside.make_places(), inside.make_whole(), _vec_column(dim)
+    spread_out, fold = _make_fold(dim, stats.n_units if weigh else None)
+    made = T.StructType([*[rows.schema[c] for c in rest], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def table_of():
+        columns = {c: whole(shared.value.column(c)) for c in ("term", "df", "at", "n")}
+        offsets = columns["at"].offsets.to_numpy()
+        return columns["term"], columns["df"].to_numpy(), offsets[:-1], np.diff(offsets), *(columns[c].values.to_numpy() for c in ("at", "n"))
+
+    def looked_up(batch: pa.RecordBatch, terms: pa.Array):
+        """Row, weight and place of all words of a batch; the words themselves."""
+        lists = batch.column("terms")
+        flat = lists.flatten()
+        coded = flat.field("term").dictionary_encode()
+        at = places(coded.dictionary, terms)
+        code = coded.indices.to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        return row, flat.field("weight").to_numpy(), at, code, flat.field("term")
+
+    def fold_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df, first, count, at, n = table_of()
+        for batch in batches:
+            row, weight, place, code, _ = looked_up(batch, terms)
+            met = np.where(place >= 0, place, 0) if len(terms) else np.zeros(len(place), dtype=np.int64)
+            keep = place[code] >= 0
+            row, weight, code = row[keep], weight[keep], code[keep]
+            matrix = spread_out(first[met], count[met], at, n) if len(terms) else np.zeros((len(place), dim))
+            vec = fold(batch.num_rows, row, weight, df[met[code]] if len(code) else weight, code, matrix)
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], vec_column(vec)], names=[*rest, "vec"])
+            yield out.filter(pa.array(np.bincount(row, minlength=batch.num_rows) > 0)) if weigh else out
+
+    if least == 0:
+        return rows.mapInArrow(fold_known, made)
+
+    cold = T.StructType().add("i", "integer").add("term", "string").add("weight", "double")
+    parted = T.StructType([*[rows.schema[c] for c in rest], T.StructField("_at", T.ArrayType(T.IntegerType()))])
+    parted = parted.add("_weight", T.ArrayType(T.DoubleType())).add("_rare", T.ArrayType(cold))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, *_ = table_of()
+        for batch in batches:
+            row, weight, place, code, flat = looked_up(batch, terms)
+            found = place[code]
+            order = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
+            ends = lambda use: pa.array(np.searchsorted(row[use], np.arange(batch.num_rows + 1)).astype(np.int32))
+            hot, rare = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+            others = pa.StructArray.from_arrays([pa.array(order[rare]), flat.take(pa.array(rare)), pa.array(weight[rare])], names=["i", "term", "weight"])
+            columns = [
+                pa.ListArray.from_arrays(ends(hot), pa.array(found[hot].astype(np.int32))),
+                pa.ListArray.from_arrays(ends(hot), pa.array(weight[hot])),
+                pa.ListArray.from_arrays(ends(rare), others),
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *columns], names=[*rest, "_at", "_weight", "_rare"])
+
+    def fold_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, df, first, count, at, n = table_of()
+        for batch in batches:
+            rows_of = lambda lists: np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            hot, parts = batch.column("_at"), batch.column("_parts")
+            flat = parts.flatten()
+            by_place = np.lexsort([flat.field("i").to_numpy(), rows_of(parts)])
+            here = flat.field("at")
+            offsets = here.offsets.to_numpy()
+            use, own = np.unique(hot.flatten().to_numpy(), return_inverse=True)
+            matrix = np.concatenate([
+                spread_out(first[use], count[use], at, n),
+                spread_out(offsets[:-1], np.diff(offsets), here.values.to_numpy(), flat.field("n").values.to_numpy()),
+            ])
+            row = np.concatenate([rows_of(hot), rows_of(parts)[by_place]])
+            order = np.argsort(row, kind="stable")
+            weight = np.concatenate([batch.column("_weight").flatten().to_numpy(), flat.field("weight").to_numpy()[by_place]])
+            known_df = np.concatenate([df[use][own], flat.field("df").to_numpy()[by_place]])
+            vec = fold(batch.num_rows, row[order], weight[order], known_df[order], np.concatenate([own, len(use) + by_place])[order], matrix)
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], vec_column(vec)], names=[*rest, "vec"])
+            yield out.filter(pa.array(np.bincount(row, minlength=batch.num_rows) > 0)) if weigh else out
+
+    split = materialise(rows.mapInArrow(part, parted), "split-words")
+    rare = known.filter(F.col("df") < least).select("term", "df", "at", "n").hint("shuffle_merge")
+    joined = split.select(*key, F.inline("_rare")).join(rare, "term")
+    parts = joined.groupBy(*key).agg(F.collect_list(F.struct("i", "weight", "df", "at", "n")).alias("_parts"))
+    both = split.drop("_rare").join(parts, list(key), "left")
+    none = F.array().cast(parts.schema["_parts"].dataType)
+    return both.withColumn("_parts", F.coalesce("_parts", none)).mapInArrow(fold_both, made)
 
 
 def meaning_vectors(
     units: DataFrame, stats: CorpusStats, vectors: DataFrame, dim: int = DIM, key: Sequence[str] = CHUNK_KEY, small: Size = SMALL
 ) -> DataFrame:
     """Units with the sum of their words' vectors, weighted by TF-IDF, instead of the text."""
-    return _summed(tfidf_rows(units, stats, key), vectors, key, dim, small, stats.hot())
+    rest = [c for c in units.columns if c != "text"]
+    counted = F.transform(term_counts(F.col("text")), lambda t: F.struct(t["term"].alias("term"), t["tf"].cast("double").alias("weight")))
+    rows = units.select(*rest, F.coalesce(counted, F.array().cast("array<struct<term:string,weight:double>>")).alias("terms"))
+    return _summed(rows, _with_df(stats, vectors).filter("df > 0"), key, dim, small, stats, True)
 
 
 def meaning_requests(requests: DataFrame, stats: CorpusStats, vectors: DataFrame, dim: int = DIM, small: Size = SMALL) -> DataFrame:
     """Requests as vectors, weighted by the statistics of the store they are asked of."""
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
     terms = tfidf_requests(requests, stats)
-    rows = terms.groupBy("req_id").agg(*[F.first(c).alias(c) for c in filters], F.collect_list(F.struct("term", "weight")).alias("terms"))
+    listed = F.sort_array(F.collect_list(F.struct("term", "weight")))
+    rows = terms.groupBy("req_id").agg(*[F.first(c).alias(c) for c in filters], listed.alias("terms"))
     named = terms.select("term").distinct()
+    known = _with_df(stats, vectors)
     if measure(named).within(small.rows, small.bytes):  # no more vectors than words are needed, however many there are
-        vectors = materialise(vectors.join(F.broadcast(named), "term", "left_semi"), "request-vectors")
-    return _summed(rows, vectors, ["req_id"], dim, small, stats.hot())
+        known = materialise(known.join(F.broadcast(named), "term", "left_semi"), "request-vectors")
+    return _summed(rows, known, ["req_id"], dim, small, stats, False)
 
 
 # --- the model as a table ----------------------------------------------------------------
@@ -162,8 +288,8 @@ def added(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term", "bucket").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
-def words_of(counts: DataFrame, dim: int = DIM) -> DataFrame:
-    """(term, df, vec) of MODEL rows. The row without a term has the number of units as df."""
+def words_of(counts: DataFrame) -> DataFrame:
+    """(term, df, n_words, at, n) of MODEL rows. The row without a term has the number of units as df."""
     df = F.coalesce(F.max(F.when(F.col("bucket") == DF, F.col("value"))), F.lit(0)).alias("df")
     total = F.max(F.when(F.col("bucket") == WORDS, F.col("value"))).alias("n_words")
-    return _unit_vectors(counts, dim, df, total)
+    return _entries(counts, df, total)

@@ -3,7 +3,7 @@
 Under `path` lie
     model/version=v   counts (operators.meaning.MODEL) that version v adds to those before it; a
                       correction subtracts what the old text had counted and adds the new text's
-    words/version=v   (term, df, n_words, vec): the vectors and frequencies of all words at version v
+    words/version=v   (term, df, n_words, at, n): the entries of vectors and the frequencies of all words at version v
     vectors/context-v the chunk vectors, a bucketed store whose `encoder` is context-v
     files/version=v   the export files that version v has taken in
     published         a row per version that is complete, with `dim` and `buckets`
@@ -80,7 +80,7 @@ def _changes(log: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _publish(spark: SparkSession, log: DataFrame, path: str, version: int, counts: DataFrame, files: DataFrame, dim: int, buckets: int) -> int:
     counts.write.mode("overwrite").parquet(f"{path}/model/version={version}")
     model = spark.read.schema(T.StructType([*MODEL.fields, T.StructField("version", T.IntegerType())])).parquet(f"{path}/model").filter(F.col("version") <= version)
-    words_of(added(model.select("term", "bucket", "value")), dim).write.mode("overwrite").parquet(f"{path}/words/version={version}")
+    words_of(added(model.select("term", "bucket", "value"))).write.mode("overwrite").parquet(f"{path}/words/version={version}")
     stats, vectors = read_model(spark, path, version)
     made = meaning_vectors(chunk(_utterances(log)), stats, vectors, dim)
     made = made.withColumns({"encoder": F.lit(encoder_of(version)), "dim": F.lit(dim)})
@@ -129,7 +129,7 @@ def read_model(spark: SparkSession, path: str, version: int) -> tuple[CorpusStat
     words = spark.read.parquet(f"{path}/words/version={version}")
     total = words.filter("term IS NULL").first()
     stats = CorpusStats(words.filter("term IS NOT NULL AND df > 0").select("term", "df"), total["df"] if total else 0, total["n_words"] if total else 0)
-    return stats, words.filter("term IS NOT NULL AND vec IS NOT NULL").select("term", "vec")
+    return stats, words.filter("term IS NOT NULL").select("term", "df", "at", "n")
 
 
 def _version(spark: SparkSession, path: str, version: int | None) -> int:

@@ -202,3 +202,18 @@ def test_vectors_by_any_vocabulary_are_the_same(spark, utterances, monkeypatch):
     assert "_salt" not in plan and "posexplode(vec" not in plan
     near = lambda df: sorted((r["conv_id"], r["turn"], r["chunk"], [round(x, 9) + 0.0 for x in r["vec"]]) for r in df.collect())
     assert near(small) == near(large) and 0 < stats.hot().count() <= 30
+
+
+def test_rare_words_cost_their_entries_and_meet_rows_alike(spark, utterances, monkeypatch):
+    units = chunk(utterances)
+    stats = encode.corpus_stats(units)
+    vectors = meaning.word_vectors(meaning.context_counts(utterances, 64), 64, stats)
+    once = meaning.word_vectors(meaning.context_counts(spark.createDataFrame([("a b c d e f g",)], "text string"), 64), 64)
+    assert all(len(r["at"]) == len(r["n"]) <= 4 for r in once.collect())  # two words on either side, and no 64 numbers
+    monkeypatch.setattr(encode, "HOT_WORDS", 5)
+    exact = lambda small: sorted(tuple(map(str, r)) for r in meaning.meaning_vectors(units, stats, vectors, 64, small=small).collect())
+    least = [meaning._least_df(vectors, stats, small) for small in (meaning.SMALL, Size(200, 1 << 30), Size(0, 0))]
+    assert least[0] == 0 < least[1] < least[2]
+    near = lambda rows: [(r[:4], [round(float(x), 9) + 0.0 for x in r[4][1:-1].split(",")]) for r in rows]
+    whole, some, few = (near(exact(small)) for small in (meaning.SMALL, Size(200, 1 << 30), Size(0, 0)))
+    assert whole == some == few and whole
