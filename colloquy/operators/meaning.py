@@ -11,11 +11,12 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import term_counts, words
+from colloquy.functions.text import words
 from colloquy.operators import inside
 from colloquy.operators.encode import CorpusStats, tfidf_requests
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS
@@ -26,13 +27,78 @@ WINDOW = 2
 SMALL = Size(BROADCAST_ROWS, BROADCAST_BYTES)
 
 
-def context_counts(utterances: DataFrame, dim: int = DIM, window: int = WINDOW) -> DataFrame:
-    """(term, bucket, value): the non-zero entries of all context vectors. Summed up in the task before the shuffle.
+# Counts of a word side by side: the places `at` they belong to, ascending, and how much they are, `n`. None is 0.
+LISTED = "term string, at array<int>, n array<long>"
+
+
+def _make_listed():
+    def listed(terms: pa.Array, code: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """LISTED rows, one per term that has any, of counts `n` at places `at` of the terms `code`; summed up as integers."""
+        low = int(at.min()) if len(at) else 0
+        width = int(at.max()) - low + 1 if len(at) else 1
+        entry = code.astype(np.int64) * width + (at - low)
+        order = np.argsort(entry, kind="stable")
+        entry, n = entry[order], n[order]
+        begins = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]][: len(entry)])
+        entry, n = entry[begins], np.add.reduceat(n, begins) if len(begins) else n
+        entry, n = entry[n != 0], n[n != 0]
+        code = entry // width
+        begins = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        offsets = pa.array(np.r_[begins, len(code)].astype(np.int32))
+        columns = [terms.take(pa.array(code[begins]))]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((entry % width + low).astype(np.int32), n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "at", "n"])
+
+    return listed
 
-    A word's index vector is made once per batch: 8 hex digits of its md5 modulo dim, + if the next 4 are even.
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """LISTED rows, one per term: what tasks have counted meets by term, in the order of terms, and is summed up run by run.
+
+    A task holds a batch and the last word of the one before. A word comes at most once per batch counted, so no word is many rows.
     """
+    listed = _make_listed()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = listed(pa.array([], pa.string()), *(np.zeros(0, dtype=np.int64) for _ in range(3)))
+        for batch in batches:
+            both = (held, batch)
+            coded = pa.concat_arrays([b.column("term") for b in both]).dictionary_encode(null_encoding="encode")
+            sizes = np.concatenate([np.diff(b.column("at").offsets.to_numpy()) for b in both])
+            at, n = (np.concatenate([b.column(c).flatten().to_numpy() for b in both]) for c in ("at", "n"))
+            out = listed(coded.dictionary, np.repeat(coded.indices.to_numpy(), sizes), at, n)
+            # The last word may go on in the next batch.
+            last = max(0, out.num_rows - 1)
+            yield out.slice(0, last)
+            held = pa.RecordBatch.from_arrays([c.take(pa.array(range(last, out.num_rows), pa.int64())) for c in out.columns], names=out.schema.names)
+        yield held
+
+    return lists.repartition("term").sortWithinPartitions("term").mapInArrow(merge, LISTED)
+
+
+def _rows(lists: DataFrame) -> DataFrame:
+    """LISTED rows as (term, bucket, value)."""
+    return lists.select("term", F.inline(F.arrays_zip(F.col("at").alias("bucket"), F.col("n").alias("value")))).toDF("term", "bucket", "value")
+
+
+def _lists(counts: DataFrame) -> DataFrame:
+    """Rows (term, bucket, value) as LISTED ones, one per term."""
+    listed = _make_listed()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("term").dictionary_encode(null_encoding="encode")
+            yield listed(coded.dictionary, coded.indices.to_numpy(), batch.column("bucket").to_numpy(), batch.column("value").to_numpy())
+
+    long_value = F.col("value").cast("long").alias("value")
+    return _merged(counts.select("term", "bucket", long_value).mapInArrow(pack, LISTED))
+
+
+def _context_parts(utterances: DataFrame, dim: int, window: int) -> DataFrame:
+    """LISTED rows of the context vectors as far as a task has met them. A word's index vector is made once per batch:
+    8 hex digits of its md5 modulo dim, + if the next 4 are even."""
     said = utterances.select(words(F.coalesce("text", F.lit(""))).alias("_words"))
-    most = inside.PAIRS
+    listed, most = _make_listed(), inside.PAIRS
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,31 +106,29 @@ def context_counts(utterances: DataFrame, dim: int = DIM, window: int = WINDOW)
             coded = lists.flatten().dictionary_encode()
             digests = [md5(word.encode()).hexdigest() for word in coded.dictionary.to_pylist()]
             bucket = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
-            sign = np.array([1.0 - 2 * (int(d[8:12], 16) % 2) for d in digests])
+            sign = np.array([1 - 2 * (int(d[8:12], 16) % 2) for d in digests], dtype=np.int64)
             code = coded.indices.to_numpy().astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             for lo in range(0, len(code), most):  # words lo.. of the batch, with those beside them on the right
                 pairs = []
                 for o in range(1, window + 1):
-                    left = np.arange(lo, min(lo + most, len(code) - o))
+                    left = np.arange(lo, max(lo, min(lo + most, len(code) - o)))
                     left = left[row[left] == row[left + o]]
                     pairs += [(code[left], code[left + o]), (code[left + o], code[left])]
                 of, near = (np.concatenate(side) for side in zip(*pairs))
-                entry, at = np.unique(of * dim + bucket[near], return_inverse=True)
-                value = np.bincount(at, weights=sign[near], minlength=len(entry)).astype(np.int64)
-                entry, value = entry[value != 0], value[value != 0]
-                columns = [coded.dictionary.take(pa.array(entry // dim)), pa.array((entry % dim).astype(np.int32)), pa.array(value)]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "bucket", "value"])
+                yield listed(coded.dictionary, of, bucket[near], sign[near])
 
-    pairs = said.mapInArrow(beside, "term string, bucket int, value long")
-    return pairs.groupBy("term", "bucket").agg(F.sum("value").alias("value")).filter("value <> 0")
+    return said.mapInArrow(beside, LISTED)
 
 
-def _entries(counts: DataFrame, *own: Column) -> DataFrame:
-    """(term, at, n, own columns): the buckets of a term from 0 on and its counts there, side by side; both are empty without any."""
-    listed = F.collect_list(F.when(F.col("bucket") >= 0, F.struct("bucket", "value")))
-    whole = counts.groupBy("term").agg(listed.alias("_e"), *own)
-    return whole.withColumns({"at": F.col("_e.bucket"), "n": F.col("_e.value")}).drop("_e")
+def context_entries(utterances: DataFrame, dim: int = DIM, window: int = WINDOW) -> DataFrame:
+    """(term, at, n): the non-zero entries of all context vectors, side by side. Summed up in the task before the shuffle."""
+    return _merged(_context_parts(utterances, dim, window))
+
+
+def context_counts(utterances: DataFrame, dim: int = DIM, window: int = WINDOW) -> DataFrame:
+    """(term, bucket, value): the same, a row each."""
+    return _rows(context_entries(utterances, dim, window))
 
 
 def _with_df(stats: CorpusStats, vectors: DataFrame) -> DataFrame:
@@ -76,11 +140,13 @@ def _with_df(stats: CorpusStats, vectors: DataFrame) -> DataFrame:
 
 
 def word_vectors(counts: DataFrame, dim: int = DIM, stats: CorpusStats | None = None) -> DataFrame:
-    """(term, at, n): context vectors by their entries below `dim`, as a written table; with `stats` also df, and all words of these.
+    """(term, at, n): context vectors by their entries, as a written table; with `stats` also df, and all words of these.
+
+    `counts` are entries, or rows as `context_counts` gives them, of which those with a bucket below `dim` count.
 
     A rare word has few entries, so what a large vocabulary adds is a few numbers a word, and not `dim`.
     """
-    made = _entries(counts.filter(F.col("bucket") < dim))
+    made = counts if "at" in counts.columns else _lists(counts.filter(F.col("bucket") < dim))
     return materialise(_with_df(stats, made) if stats else made, "word-vectors")
 
 
@@ -143,11 +209,11 @@ def _least_df(known: DataFrame, stats: CorpusStats, small: Size) -> int:
 
 
 def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, small: Size, stats: CorpusStats, weigh: bool) -> DataFrame:
-    """`rows` with `terms` (term, weight) become rows with `vec`, the weighted sum of their words' vectors.
+    """`rows` with `terms` (term, weight), or words to `weigh`, become rows with `vec`, the weighted sum of their words' vectors.
 
     `known` is (term, df, at, n). As many of the most frequent words as `small` takes are sent to all tasks. If these are all,
     nothing is shuffled. Others, which are rare and so have few entries, meet the words of rows in a join; rows and what they
-    have of these are put together again. With `weigh` weights are counts, and rows without a known word are left out.
+    have of these are put together again. With `weigh` weights are TF-IDF, and rows without a known word are left out.
     """
     rest = [c for c in rows.columns if c != "terms"]
     least = _least_df(known, stats, small)
@@ -162,19 +228,26 @@ def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, sma
         return columns["term"], columns["df"].to_numpy(), offsets[:-1], np.diff(offsets), *(columns[c].values.to_numpy() for c in ("at", "n"))
 
     def looked_up(batch: pa.RecordBatch, terms: pa.Array):
-        """Row, weight and place of all words of a batch; the words themselves."""
+        """Row, weight and code of all words of a batch, in the order of words if they are counted here; per code place and word."""
         lists = batch.column("terms")
         flat = lists.flatten()
-        coded = flat.field("term").dictionary_encode()
-        at = places(coded.dictionary, terms)
-        code = coded.indices.to_numpy()
         row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        return row, flat.field("weight").to_numpy(), at, code, flat.field("term")
+        coded = (flat if weigh else flat.field("term")).dictionary_encode()
+        named, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        if not weigh:
+            return row, flat.field("weight").to_numpy(), code, places(named, terms), named
+        order = pc.sort_indices(named)
+        rank = np.empty(len(named), dtype=np.int64)
+        rank[order.to_numpy()] = np.arange(len(named))
+        found, tf = np.unique(row * max(1, len(named)) + rank[code], return_counts=True)
+        row, code = np.divmod(found, max(1, len(named)))
+        named = named.take(order)
+        return row, tf.astype(np.float64), code, places(named, terms), named
 
     def fold_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, df, first, count, at, n = table_of()
         for batch in batches:
-            row, weight, place, code, _ = looked_up(batch, terms)
+            row, weight, code, place, _ = looked_up(batch, terms)
             met = np.where(place >= 0, place, 0) if len(terms) else np.zeros(len(place), dtype=np.int64)
             keep = place[code] >= 0
             row, weight, code = row[keep], weight[keep], code[keep]
@@ -193,12 +266,12 @@ def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, sma
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, *_ = table_of()
         for batch in batches:
-            row, weight, place, code, flat = looked_up(batch, terms)
+            row, weight, code, place, named = looked_up(batch, terms)
             found = place[code]
             order = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
             ends = lambda use: pa.array(np.searchsorted(row[use], np.arange(batch.num_rows + 1)).astype(np.int32))
             hot, rare = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
-            others = pa.StructArray.from_arrays([pa.array(order[rare]), flat.take(pa.array(rare)), pa.array(weight[rare])], names=["i", "term", "weight"])
+            others = pa.StructArray.from_arrays([pa.array(order[rare]), named.take(pa.array(code[rare])), pa.array(weight[rare])], names=["i", "term", "weight"])
             columns = [
                 pa.ListArray.from_arrays(ends(hot), pa.array(found[hot].astype(np.int32))),
                 pa.ListArray.from_arrays(ends(hot), pa.array(weight[hot])),
@@ -242,8 +315,7 @@ def meaning_vectors(
 ) -> DataFrame:
     """Units with the sum of their words' vectors, weighted by TF-IDF, instead of the text."""
     rest = [c for c in units.columns if c != "text"]
-    counted = F.transform(term_counts(F.col("text")), lambda t: F.struct(t["term"].alias("term"), t["tf"].cast("double").alias("weight")))
-    rows = units.select(*rest, F.coalesce(counted, F.array().cast("array<struct<term:string,weight:double>>")).alias("terms"))
+    rows = units.select(*rest, words(F.coalesce("text", F.lit(""))).alias("terms"))
     return _summed(rows, _with_df(stats, vectors).filter("df > 0"), key, dim, small, stats, True)
 
 
@@ -267,29 +339,46 @@ DF, UNITS, WORDS = -1, -1, -2
 MODEL = T.StructType().add("term", "string").add("bucket", "integer").add("value", "long")
 
 
+def _model_parts(utterances: DataFrame, units: DataFrame, dim: int, window: int) -> DataFrame:
+    """LISTED rows of what tasks have counted: contexts, and units and words of units."""
+    said = units.select(words(F.coalesce("text", F.lit(""))).alias("_words"))
+    listed, df, n_units, n_words = _make_listed(), DF, UNITS, WORDS
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column("_words").offsets.to_numpy())
+            coded = batch.column("_words").flatten().dictionary_encode()
+            many = len(coded.dictionary)
+            once = np.unique(np.repeat(np.arange(batch.num_rows), sizes) * max(1, many) + coded.indices.to_numpy()) % max(1, many)
+            terms = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)])
+            code, at = np.r_[np.arange(many), many, many], np.r_[np.full(many, df), n_units, n_words]
+            yield listed(terms, code, at, np.r_[np.bincount(once, minlength=many), np.count_nonzero(sizes), sizes.sum()].astype(np.int64))
+
+    return _context_parts(utterances, dim, window).unionByName(said.mapInArrow(seen, LISTED))
+
+
 def model_counts(utterances: DataFrame, units: DataFrame, dim: int = DIM, window: int = WINDOW) -> DataFrame:
     """All counts that context vectors and their weights depend on, as MODEL rows: integer sums over utterances and their units.
 
     Counts of parts of a corpus add up to those of the whole; what is taken back is added with the opposite sign.
     """
-    said = units.select(words(F.col("text")).alias("_words"))
-    distinct = F.array_append(F.array_distinct("_words"), F.lit(None).cast("string"))
-    rows = said.select(F.size("_words").alias("_n"), F.explode(F.when(F.size("_words") > 0, distinct)).alias("term"))
-    seen = rows.select("term", F.inline(F.array(
-        F.struct(F.lit(DF).alias("bucket"), F.lit(1).cast("long").alias("value")),
-        F.struct(F.when(F.col("term").isNull(), F.lit(WORDS)).alias("bucket"), F.col("_n").cast("long").alias("value")),
-    ))).filter("bucket IS NOT NULL")
-    context = context_counts(utterances, dim, window).select("term", "bucket", F.col("value").cast("long").alias("value"))
-    return added(context.unionByName(seen))
+    return _rows(_merged(_model_parts(utterances, units, dim, window)))
+
+
+def model_change(was: tuple[DataFrame, DataFrame], is_now: tuple[DataFrame, DataFrame], dim: int = DIM, window: int = WINDOW) -> DataFrame:
+    """MODEL rows that turn the counts of utterances and units as they were into those as they are."""
+    minus = _model_parts(*was, dim, window).withColumn("n", F.transform("n", lambda x: -x))
+    return _rows(_merged(minus.unionByName(_model_parts(*is_now, dim, window))))
 
 
 def added(counts: DataFrame) -> DataFrame:
     """MODEL rows summed up; what has been taken back altogether is gone."""
-    return counts.groupBy("term", "bucket").agg(F.sum("value").alias("value")).filter("value <> 0")
+    return _rows(_lists(counts))
 
 
 def words_of(counts: DataFrame) -> DataFrame:
-    """(term, df, n_words, at, n) of MODEL rows. The row without a term has the number of units as df."""
-    df = F.coalesce(F.max(F.when(F.col("bucket") == DF, F.col("value"))), F.lit(0)).alias("df")
-    total = F.max(F.when(F.col("bucket") == WORDS, F.col("value"))).alias("n_words")
-    return _entries(counts, df, total)
+    """(term, df, n_words, at, n) of MODEL rows, summed up. The row without a term has the number of units as df."""
+    count = lambda place: F.get("n", (F.array_position("at", F.lit(place)) - 1).cast("int"))
+    context = F.filter(F.arrays_zip("at", "n"), lambda e: e["at"] >= 0)
+    found = _lists(counts).select("term", F.coalesce(count(DF), F.lit(0)).alias("df"), count(WORDS).alias("n_words"), context.alias("_e"))
+    return found.select("term", "df", "n_words", F.col("_e.at").alias("at"), F.col("_e.n").alias("n"))

@@ -7,7 +7,7 @@ from colloquy.operators.context import around_hits, assemble_context, spoken
 from colloquy.operators.encode import corpus_stats, tfidf_requests, tfidf_rows
 from colloquy.operators.joins import join_small
 from colloquy.operators.dense import semantic_search
-from colloquy.operators.meaning import DIM, context_counts, meaning_requests, meaning_vectors, word_vectors
+from colloquy.operators.meaning import DIM, context_entries, meaning_requests, meaning_vectors, word_vectors
 from colloquy.operators.sparse import term_search
 from colloquy.schemas import CHUNK_KEY, REQUEST_FILTERS, UTTERANCE_KEY
 from colloquy.session import materialise
@@ -22,7 +22,7 @@ def lexical_hits(requests: DataFrame, units: DataFrame, k: int) -> DataFrame:
 def meaning_hits(requests: DataFrame, utterances: DataFrame, units: DataFrame, k: int, dim: int = DIM) -> DataFrame:
     """Hits of text requests over units by meaning, with word vectors from the utterances the units are cut from."""
     stats = corpus_stats(units)
-    vectors = word_vectors(context_counts(utterances, dim), dim, stats)
+    vectors = word_vectors(context_entries(utterances, dim), dim, stats)
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
     asked = meaning_requests(requests, stats, vectors, dim).select("req_id", *filters, "vec")
     return semantic_search(materialise(asked, "requests"), meaning_vectors(units, stats, vectors, dim), k)

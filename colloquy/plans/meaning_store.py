@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from colloquy.operators.dense import semantic_search
 from colloquy.operators.encode import CorpusStats
-from colloquy.operators.meaning import DIM, MODEL, added, meaning_requests, meaning_vectors, model_counts, words_of
+from colloquy.operators.meaning import DIM, MODEL, meaning_requests, meaning_vectors, model_change, model_counts, words_of
 from colloquy.operators.prepare import chunk, current
 from colloquy.schemas import UTTERANCE_KEY
 from colloquy.session import materialise
@@ -80,7 +80,7 @@ def _changes(log: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _publish(spark: SparkSession, log: DataFrame, path: str, version: int, counts: DataFrame, files: DataFrame, dim: int, buckets: int) -> int:
     counts.write.mode("overwrite").parquet(f"{path}/model/version={version}")
     model = spark.read.schema(T.StructType([*MODEL.fields, T.StructField("version", T.IntegerType())])).parquet(f"{path}/model").filter(F.col("version") <= version)
-    words_of(added(model.select("term", "bucket", "value"))).write.mode("overwrite").parquet(f"{path}/words/version={version}")
+    words_of(model).write.mode("overwrite").parquet(f"{path}/words/version={version}")
     stats, vectors = read_model(spark, path, version)
     made = meaning_vectors(chunk(_utterances(log)), stats, vectors, dim)
     made = made.withColumns({"encoder": F.lit(encoder_of(version)), "dim": F.lit(dim)})
@@ -119,8 +119,7 @@ def refresh_meaning(spark: SparkSession, log_path: str, path: str) -> int:
     if not touched:
         return known[-1]
     was, is_now = _changes(log.filter(F.col("bucket").isin(touched)), taken)
-    minus = model_counts(was, chunk(was), dim).withColumn("value", -F.col("value"))
-    delta = added(minus.unionByName(model_counts(is_now, chunk(is_now), dim)))
+    delta = model_change((was, chunk(was)), (is_now, chunk(is_now)), dim)
     return _publish(spark, log, path, known[-1] + 1, delta, new.select("source_file", "file_mtime").distinct(), dim, buckets)
 
 

@@ -217,3 +217,20 @@ def test_rare_words_cost_their_entries_and_meet_rows_alike(spark, utterances, mo
     near = lambda rows: [(r[:4], [round(float(x), 9) + 0.0 for x in r[4][1:-1].split(",")]) for r in rows]
     whole, some, few = (near(exact(small)) for small in (meaning.SMALL, Size(200, 1 << 30), Size(0, 0)))
     assert whole == some == few and whole
+
+
+def test_lists_of_counts_are_merged_whatever_the_batches(spark):
+    """Words go on over batches, some cancel out, one is NULL; sums are by word and place, ascending."""
+    counts = [(None if w == 9 else f"w{w:03}", i % 5 - 2, (i % 7) - 3) for i in range(4000) for w in (i % 97, 9, 50)]
+    expected = {}
+    for term, bucket, value in counts:
+        expected[term, bucket] = expected.get((term, bucket), 0) + value
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        lists = meaning._lists(spark.createDataFrame(counts, "term string, bucket int, value long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len({r["term"] for r in lists}) == len(lists) and all(r["at"] == sorted(r["at"]) for r in lists)
+    got = {(r["term"], b): v for r in lists for b, v in zip(r["at"], r["n"])}
+    assert got == {k: v for k, v in expected.items() if v}
