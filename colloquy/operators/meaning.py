@@ -195,17 +195,23 @@ def _vec_column(dim: int):
     return vec_column
 
 
-def _least_df(known: DataFrame, stats: CorpusStats, small: Size) -> int:
-    """Words in at least so many units go to all tasks: as many as `small` takes, by levels of frequency, and the hot ones in any case."""
-    width = F.octet_length("term") + 24 + 12 * F.size("at")
-    levels = known.groupBy(F.length(F.bin("df")).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).collect()
+def _least_df(known: DataFrame, stats: CorpusStats, small: Size) -> tuple[int, str]:
+    """Words in at least so many units go to all tasks: as many as `small` takes, by levels of frequency, and the hot ones in any case.
+
+    Also the type that all counts fit into.
+    """
+    widest = F.max(F.greatest(F.array_max("n"), -F.array_min("n")))
+    levels = known.groupBy(F.length(F.bin("df")).alias("level")).agg(
+        F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("term")).alias("b"), F.sum(F.size("at")).alias("entries"), widest.alias("widest")
+    ).collect()
+    kind = "int" if max([r["widest"] or 0 for r in levels], default=0) < 1 << 31 else "bigint"
     least, n, size = stats.hot_df(), 0, 0
     for row in sorted(levels, key=lambda r: -r["level"]):  # 64 levels at most
-        n, size = n + row["n"], size + row["b"]
+        n, size = n + row["words"], size + row["b"] + 20 * row["words"] + (6 if kind == "int" else 10) * row["entries"]
         if not Size(n, size).within(small.rows, small.bytes):
-            return least
+            return least, kind
         least = min(least, 1 << (row["level"] - 1))
-    return 0
+    return 0, kind
 
 
 def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, small: Size, stats: CorpusStats, weigh: bool) -> DataFrame:
@@ -216,8 +222,9 @@ def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, sma
     have of these are put together again. With `weigh` weights are TF-IDF, and rows without a known word are left out.
     """
     rest = [c for c in rows.columns if c != "terms"]
-    least = _least_df(known, stats, small)
-    shared = rows.sparkSession.sparkContext.broadcast(known.filter(F.col("df") >= least).select("term", "df", "at", "n").toArrow())
+    least, kind = _least_df(known, stats, small)
+    known = known.select("term", "df", F.col("at").cast("array<smallint>" if dim < 1 << 15 else "array<int>"), F.col("n").cast(f"array<{kind}>"))
+    shared = rows.sparkSession.sparkContext.broadcast(known.filter(F.col("df") >= least).toArrow())
     places, whole, vec_column = inside.make_places(), inside.make_whole(), _vec_column(dim)
     spread_out, fold = _make_fold(dim, stats.n_units if weigh else None)
     made = T.StructType([*[rows.schema[c] for c in rest], T.StructField("vec", T.ArrayType(T.DoubleType()))])
@@ -302,7 +309,7 @@ def _summed(rows: DataFrame, known: DataFrame, key: Sequence[str], dim: int, sma
             yield out.filter(pa.array(np.bincount(row, minlength=batch.num_rows) > 0)) if weigh else out
 
     split = materialise(rows.mapInArrow(part, parted), "split-words")
-    rare = known.filter(F.col("df") < least).select("term", "df", "at", "n").hint("shuffle_merge")
+    rare = known.filter(F.col("df") < least).hint("shuffle_merge")
     joined = split.select(*key, F.inline("_rare")).join(rare, "term")
     parts = joined.groupBy(*key).agg(F.collect_list(F.struct("i", "weight", "df", "at", "n")).alias("_parts"))
     both = split.drop("_rare").join(parts, list(key), "left")

@@ -212,7 +212,7 @@ def test_rare_words_cost_their_entries_and_meet_rows_alike(spark, utterances, mo
     assert all(len(r["at"]) == len(r["n"]) <= 4 for r in once.collect())  # two words on either side, and no 64 numbers
     monkeypatch.setattr(encode, "HOT_WORDS", 5)
     exact = lambda small: sorted(tuple(map(str, r)) for r in meaning.meaning_vectors(units, stats, vectors, 64, small=small).collect())
-    least = [meaning._least_df(vectors, stats, small) for small in (meaning.SMALL, Size(200, 1 << 30), Size(0, 0))]
+    least = [meaning._least_df(vectors, stats, small)[0] for small in (meaning.SMALL, Size(200, 1 << 30), Size(0, 0))]
     assert least[0] == 0 < least[1] < least[2]
     near = lambda rows: [(r[:4], [round(float(x), 9) + 0.0 for x in r[4][1:-1].split(",")]) for r in rows]
     whole, some, few = (near(exact(small)) for small in (meaning.SMALL, Size(200, 1 << 30), Size(0, 0)))
